@@ -13,7 +13,10 @@ from newsreach.plans.stand_ins import Roles, with_roles
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("corpus_queries", "outcome_queries",)
+MODULES = (
+    "corpus_queries", "outcome_queries", "effect_queries", "text_queries", "search_queries", "event_queries",
+    "evaluation_queries", "source_queries",
+)
 
 
 def query(name: str, sql: str | None = None, roles: str = "") -> Callable:
