@@ -10,19 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsreach import constants as K
 from newsreach.functions.moments import month_of, quarter_of
-from newsreach.operators.ranks import (
-    HOT_ROWS,
-    global_quantiles,
-    join_groups,
-    quantiles,
-    rank_table,
-    split_hot,
-)
+from newsreach.operators.ranks import HOT_ROWS, join_groups, mean_of, quantiles, rank_table, split_hot
 
 PROFILE = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90}
 
@@ -37,7 +30,7 @@ def profile(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Count, quantiles and standard deviation of each metric."""
     long = melt(df, metrics)
     spread = long.groupBy("metric").agg(F.stddev("value").alias("sd"))
-    return global_quantiles(long, ["metric"], "value", PROFILE).join(spread, "metric")
+    return quantiles(long, ["metric"], "value", PROFILE).join(spread, "metric")
 
 
 def value_histogram(df: DataFrame, value: str) -> DataFrame:
@@ -89,17 +82,23 @@ def by_ordinal(
     """
     order = [F.col(at), *[F.col(c) for c in tie]]
     ordinary, hot = split_hot(df, entity, hot_rows)
-    numbered = ordinary.withColumn("ordinal", F.row_number().over(Window.partitionBy(*entity).orderBy(*order)))
-    before = rank_table(hot, entity, at).select(*entity, at, F.col("before").alias("__before"))
+    rows = ordinary.withColumn("ordinal", F.row_number().over(Window.partitionBy(*entity).orderBy(*order)))
+    if hot is not None:
+        rows = rows.unionByName(_hot_ordinals(hot, entity, at, order, hot_rows))
+    long = melt(rows, outcomes, ["ordinal"])
+    return quantiles(
+        long, ["ordinal", "metric"], "value", {"median": 0.5}, extra={"mean": mean_of("value")}, hot_rows=hot_rows
+    )
+
+
+def _hot_ordinals(hot: DataFrame, entity: Sequence[str], at: str, order: Sequence[Column], hot_rows: int) -> DataFrame:
+    before = rank_table(hot, entity, at, hot_rows=hot_rows).select(*entity, at, F.col("before").alias("__before"))
     inside = F.row_number().over(Window.partitionBy(*entity, at).orderBy(*order))
-    counted = join_groups(hot.withColumn("__in", inside), before, [*entity, at]).withColumn(
-        "ordinal", (F.col("__before") + F.col("__in")).cast("int")
+    return (
+        join_groups(hot.withColumn("__in", inside), before, [*entity, at])
+        .withColumn("ordinal", (F.col("__before") + F.col("__in")).cast("int"))
+        .drop("__in", "__before")
     )
-    rows = numbered.unionByName(counted.select(*numbered.columns))
-    long = melt(rows, outcomes, ["ordinal"])
-    medians = quantiles(long, ["ordinal", "metric"], "value", {"median": 0.5}, hot_rows=hot_rows)
-    means = long.groupBy("ordinal", "metric").agg(F.avg("value").alias("mean"))
-    return medians.join(means, ["ordinal", "metric"])
 
 
 def paired_cells(
@@ -112,59 +111,48 @@ def paired_cells(
 ) -> DataFrame:
     """Both medians of every cell that has ``min_n`` rows on either side.
 
-    Ordinary cells take one aggregation with two conditional medians, thus one shuffle. Cells above
-    ``hot_rows`` rows go through cumulative counts.
+    Equal outcomes of a cell and side are counted before the shuffle, and a hot cell is split along its
+    outcomes. Only two medians per cell travel on to the comparison.
     """
-    rows = df.where(F.col(outcome).isNotNull() & F.col(flag).isNotNull()).select(
-        *cell, F.col(flag).alias("__flag"), F.col(outcome).cast("double").alias("__value")
-    )
-    ordinary, hot = split_hot(rows, cell, hot_rows)
-    yes, value = F.col("__flag"), F.col("__value")
-    plain = ordinary.groupBy(*cell).agg(
-        F.count_if(yes).alias("n_with"),
-        F.count_if(~yes).alias("n_without"),
-        F.percentile(F.when(yes, value), 0.5).alias("median_with"),
-        F.percentile(F.when(~yes, value), 0.5).alias("median_without"),
-    )
-    sides = global_quantiles(hot, [*cell, "__flag"], "__value", {"median": 0.5})
-    split = sides.groupBy(*cell).agg(
+    rows = df.where(F.col(flag).isNotNull()).select(*cell, F.col(flag).alias("__flag"), F.col(outcome).alias("__value"))
+    sides = quantiles(rows, [*cell, "__flag"], "__value", {"median": 0.5}, hot_rows=hot_rows)
+    return compare_sides(sides, cell).where((F.col("n_with") >= min_n) & (F.col("n_without") >= min_n))
+
+
+def compare_sides(sides: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """Put the two sides of a cell (column ``__flag``) into one row."""
+    yes = F.col("__flag")
+    return sides.groupBy(*cell).agg(
         F.coalesce(F.max(F.when(yes, F.col("n"))), F.lit(0)).alias("n_with"),
         F.coalesce(F.max(F.when(~yes, F.col("n"))), F.lit(0)).alias("n_without"),
         F.max(F.when(yes, F.col("median"))).alias("median_with"),
         F.max(F.when(~yes, F.col("median"))).alias("median_without"),
     )
-    return plain.unionByName(split).where((F.col("n_with") >= min_n) & (F.col("n_without") >= min_n))
 
 
-def summarize_cells(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def summarize_cells(cells: DataFrame, by: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Cells, mean and median difference, win rate, median ratio over cells; optionally per group.
 
-    A ratio with denominator zero is left out.
+    A ratio with denominator zero is left out. All figures come from one table of counted differences and
+    ratios, so the cells are computed once.
     """
-    difference = F.col("median_with") - F.col("median_without")
     ratio = F.when(F.col("median_without") != 0, F.col("median_with") / F.col("median_without"))
-    compared = cells.withColumns({"difference": difference, "ratio": ratio})
-    means = compared.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("cells"),
-        F.avg("difference").alias("mean_difference"),
-        F.avg((F.col("difference") > 0).cast("int")).alias("win_rate"),
-    )
-    medians = (
-        global_quantiles(melt(compared, ["difference", "ratio"], by), [*by, "metric"], "value", {"median": 0.5})
-        .groupBy(*by)
-        .agg(
-            F.max(F.when(F.col("metric") == "difference", F.col("median"))).alias("median_difference"),
-            F.max(F.when(F.col("metric") == "ratio", F.col("median"))).alias("median_ratio"),
-        )
+    compared = cells.select(*by, (F.col("median_with") - F.col("median_without")).alias("difference"), ratio.alias("ratio"))
+    wins = F.sum(F.when(F.col("value") > 0, F.col("cnt")).otherwise(F.lit(0))) / F.sum("cnt")
+    figures = quantiles(
+        melt(compared, ["difference", "ratio"], by), [*by, "metric"], "value", {"median": 0.5},
+        extra={"mean": mean_of("value"), "wins": wins}, hot_rows=hot_rows,
     )
-    if by:
-        return join_groups(means, medians, by, "left")
-    # one row on either side
-    return means.withColumns(
-        {
-            "median_difference": medians.select("median_difference").scalar(),
-            "median_ratio": medians.select("median_ratio").scalar(),
-        }
+
+    def pick(metric: str, column: str) -> Column:
+        return F.max(F.when(F.col("metric") == metric, F.col(column)))
+
+    return figures.groupBy(*by).agg(
+        F.coalesce(pick("difference", "n"), F.lit(0)).alias("cells"),
+        pick("difference", "mean").alias("mean_difference"),
+        pick("difference", "wins").alias("win_rate"),
+        pick("difference", "median").alias("median_difference"),
+        pick("ratio", "median").alias("median_ratio"),
     )
 
 
@@ -178,7 +166,7 @@ def paired_effect(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Effect of ``flag`` on ``outcome`` inside comparable cells."""
-    return summarize_cells(paired_cells(df, [*by, *cell], flag, outcome, min_n, hot_rows), by)
+    return summarize_cells(paired_cells(df, [*by, *cell], flag, outcome, min_n, hot_rows), by, hot_rows)
 
 
 def accepted(effects: DataFrame) -> DataFrame:
@@ -190,7 +178,8 @@ def accepted(effects: DataFrame) -> DataFrame:
 def month_normalized(df: DataFrame, at: str, outcome: str, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Divide an outcome by the median of its month, which removes a trend over time."""
     dated = df.withColumn("__month", month_of(at))
-    medians = quantiles(dated, ["__month"], outcome, {"__median": 0.5}, hot_rows=hot_rows).select("__month", "__median")
+    medians = quantiles(dated.select("__month", outcome), ["__month"], outcome, {"__median": 0.5}, hot_rows=hot_rows)
+    medians = medians.select("__month", "__median")
     value = F.when(F.col("__median") != 0, F.col(outcome) / F.col("__median"))
     return join_groups(dated, medians, ["__month"], "left").withColumn(out, value).drop("__month", "__median")
 
@@ -248,12 +237,8 @@ def one_vs_rest(
         .select(*cell, F.col("__g").alias(group))
     )
     rows = join_groups(able, counts, cell).withColumn("__flag", F.col("__g") == F.col(group))
-    sides = quantiles(rows, [group, *cell, "__flag"], "__value", {"median": 0.5}, "__c", hot_rows)
-    cells = sides.groupBy(group, *cell).agg(
-        F.max(F.when(F.col("__flag"), F.col("median"))).alias("median_with"),
-        F.max(F.when(~F.col("__flag"), F.col("median"))).alias("median_without"),
-    )
-    return summarize_cells(cells, [group])
+    sides = quantiles(rows, [group, *cell, "__flag"], "__value", {"median": 0.5}, "__c", hot_rows=hot_rows)
+    return summarize_cells(compare_sides(sides, [group, *cell]), [group], hot_rows)
 
 
 def rate_contrast(cases: DataFrame, media: DataFrame, keys: Sequence[str], flag: str, outlet: str) -> DataFrame:

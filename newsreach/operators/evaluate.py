@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from newsreach import constants as K
 from newsreach.operators.effects import melt
-from newsreach.operators.ranks import average_rank, avg_rank, global_quantiles, join_groups, rank_table
+from newsreach.operators.ranks import average_rank, avg_rank, join_groups, quantiles, rank_table
 from newsreach.operators.splits import entity_groups, fixed_groups, shuffle_key
 from newsreach.operators.vectors import Bonus, plan_score
+from newsreach.sources.workspace import materialize
 
 # Cumulative probabilities of the Poisson distribution with mean 1, up to 12 events.
 POISSON_ONE = (
@@ -31,15 +32,15 @@ def spearman(
 ) -> DataFrame:
     """Rank correlation with averaged ties, per group or over all rows (M3).
 
-    Ranks come from cumulative counts. Equal (prediction, actual) pairs are merged before they meet their
-    ranks, and the mean rank is known in advance, so one pass of sums gives the coefficient. NULL when a
-    side is constant.
+    Equal (prediction, actual) pairs are merged first, and both rank tables are built from the merged
+    pairs, so the rows are read once. The mean rank is known in advance, hence one pass of sums gives the
+    coefficient. NULL when a side is constant.
     """
     rows = df.where(F.col(pred).isNotNull() & F.col(actual).isNotNull())
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    pairs = rows.groupBy(*group, pred, actual).agg(amount.alias("__c"))
-    left = rank_table(rows, group, pred, weight).select(*group, pred, average_rank().alias("__p"), "n")
-    right = rank_table(rows, group, actual, weight).select(*group, actual, average_rank().alias("__a"))
+    pairs = materialize(rows.groupBy(*group, pred, actual).agg(amount.alias("__c")), "pairs")
+    left = rank_table(pairs, group, pred, "__c").select(*group, pred, average_rank().alias("__p"), "n")
+    right = rank_table(pairs, group, actual, "__c").select(*group, actual, average_rank().alias("__a"))
     ranked = join_groups(join_groups(pairs, left, [*group, pred]), right, [*group, actual])
     middle = (F.col("n") + 1) / 2
     p, a, c = F.col("__p") - middle, F.col("__a") - middle, F.col("__c")
@@ -129,7 +130,7 @@ def bootstrap_gap(
             - F.max(F.when(F.col("model") == second, F.col("spearman")))
         ).alias("gap")
     )
-    return global_quantiles(gaps, [], "gap", {"low": 0.025, "high": 0.975}).withColumnRenamed("n", "rounds")
+    return quantiles(gaps, [], "gap", {"low": 0.025, "high": 0.975}).withColumnRenamed("n", "rounds")
 
 
 def metric_report(
@@ -204,7 +205,7 @@ def lift_report(results: DataFrame, case: Sequence[str]) -> DataFrame:
         F.sum("leaks").alias("leaks"),
     )
     long = melt(lifted, ["before", "after", "lift"], ["arm"])
-    medians = global_quantiles(long, ["arm", "metric"], "value", {"median": 0.5})
+    medians = quantiles(long, ["arm", "metric"], "value", {"median": 0.5})
     wide = medians.groupBy("arm").agg(
         *[F.max(F.when(F.col("metric") == m, F.col("median"))).alias(f"{m}_median") for m in ("before", "after", "lift")]
     )
@@ -218,7 +219,7 @@ def arm_difference(results: DataFrame, case: Sequence[str], head: str, tail: str
         F.max(F.when(F.col("arm") == head, lift)).alias("a"), F.max(F.when(F.col("arm") == tail, lift)).alias("b")
     )
     gaps = paired.where("a IS NOT NULL AND b IS NOT NULL").withColumn("gap", F.col("a") - F.col("b"))
-    middle = global_quantiles(gaps, [], "gap", {"median": 0.5}).select("median")
+    middle = quantiles(gaps, [], "gap", {"median": 0.5}).select("median")
     return gaps.agg(
         F.count(F.lit(1)).alias("cases"), F.avg((F.col("gap") > 0).cast("int")).alias("win_rate")
     ).withColumn("median_gap", middle.scalar())

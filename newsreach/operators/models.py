@@ -25,6 +25,7 @@ from newsreach.functions.scoring import clip01, fill_category
 from newsreach.functions.text import presence_flag
 from newsreach.operators.evaluate import melt_models, rmse, spearman
 from newsreach.operators.splits import split_sizes
+from newsreach.sources.workspace import materialize
 
 CATEGORIES = ("category", "place")
 
@@ -111,7 +112,8 @@ def fit_ridge(
 
     Spark divides the squared error by n and the target by its deviation, hence the factor on alpha.
     """
-    train, valid = df.where(F.col("split") == "train"), df.where(F.col("split") == "valid")
+    rows = materialize(df.where(F.col("split").isin("train", "valid")).select(column, target, "split"), "ridge-rows")
+    train, valid = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "valid")
     stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev(target).alias("sd")).first()
     fitted: dict[float, LinearRegressionModel] = {}
     for alpha in alphas:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsreach import constants as K
 from newsreach.functions.moments import month_of
 from newsreach.operators.ranks import HOT_ROWS, midrank
+from newsreach.sources.workspace import materialize
 
 
 def placed_media(base: DataFrame, media: DataFrame, keys: Sequence[str], place: str) -> DataFrame:
@@ -109,7 +110,7 @@ def enrich(
     ``text`` has ``subtitle`` and ``body_head``, ``stat`` has ``page_view``; both have one row per key.
     """
     reach = regional_reach(base, media, keys, place, outlet, lift_min)
-    joined = (
+    joined = materialize(
         base.join(text, list(keys), "left")
         .join(stat, list(keys), "left")
         .join(reach, list(keys), "left")
@@ -120,6 +121,11 @@ def enrich(
                 "page_view": F.coalesce("page_view", F.lit(0)),
                 "regional_reach": F.coalesce("regional_reach", F.lit(0)),
             }
-        )
+        ),
+        "enriched",
     )
-    return place_midrank(month_midrank(joined, at, "page_view"), place, "regional_reach")
+    # ranks are computed on narrow rows; the texts are not shuffled for them
+    narrow = joined.select(*keys, at, place, "page_view", "regional_reach")
+    dated = materialize(month_midrank(narrow, at, "page_view"), "month-ranks")
+    ranks = place_midrank(dated, place, "regional_reach").select(*keys, "pv_score", "regional_score")
+    return joined.join(ranks, list(keys))

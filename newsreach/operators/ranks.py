@@ -2,15 +2,17 @@
 
 A window over ``partitionBy(group)`` or an exact ``percentile`` puts a whole group into one task. That is
 fine for ordinary groups and fatal for one that holds a third of the table, or for a rank over all rows.
-Everything here therefore splits the work:
-
-* ``split_hot`` separates the few groups above ``HOT_ROWS`` rows. Their number is at most rows / HOT_ROWS,
-  which bounds the broadcast that separates them.
-* ordinary groups use the plain Spark window or aggregate;
-* hot groups, and ranks without a group, use ``rank_table``: count equal values first (map-side), cut the
-  value axis into many small buckets by a fixed monotone function, run the cumulative count inside each
-  bucket, and add the count of all lower buckets. No task ever sees more than one bucket, the buckets
-  depend on the data alone (a recomputed task gets the same rows), and no action runs while planning.
+``rank_table`` is the one primitive behind every rank, median and quantile here:
+
+1. Equal values of a group are counted, map-side first; a value shared by many rows becomes one row. The
+   counts are written to the shared folder, so everything that feeds them is computed once.
+2. The group sizes are measured. Groups of at most ``HOT_ROWS`` rows take a plain window, whose size is
+   thereby bounded. Usually that is all.
+3. Larger groups, if there are any, are cut along the value axis into bands by a fixed, order-preserving
+   function. A cumulative count runs inside each band and the count of all lower bands is added. There are
+   at most rows / ``HOT_ROWS`` such groups, which bounds the broadcast that marks them.
+
+Bands depend on the data alone, so a task that is computed again after a loss gets the same rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsreach.sources.workspace import materialize
+
 HOT_ROWS = 1_000_000
 
 # 4096 buckets per doubling of the value, with full resolution down to 2**-20.
@@ -52,25 +56,38 @@ def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return left.join(renamed, condition, how).drop(*[f"__r_{key}" for key in keys])
 
 
-def split_hot(df: DataFrame, group: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary groups and rows of groups with more than ``hot_rows`` rows.
+def _same(group: Sequence[str], prefix: str) -> Column:
+    condition = F.lit(True)
+    for position, name in enumerate(group):
+        pair = F.col(name).eqNullSafe(F.col(prefix + name))
+        condition = pair if position == 0 else condition & pair
+    return condition
 
-    Where no group is hot, AQE sees the empty key list at run time and drops the second branch.
+
+def hot_keys(df: DataFrame, group: Sequence[str], rows: Column, hot_rows: int) -> DataFrame | None:
+    """Keys (renamed to ``__h_...``) of groups above ``hot_rows`` rows, or None if there is no such group.
+
+    There are at most (all rows) / ``hot_rows`` of them, so the list may be broadcast.
     """
-    keys = [f"__h_{name}" for name in group]
-    hot = (
-        df.groupBy(*[F.col(name).alias(key) for name, key in zip(group, keys, strict=True)])
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > hot_rows)
-        .select(*keys)
+    keys = [F.col(name).alias(f"__h_{name}") for name in group]
+    hot = df.groupBy(*keys).agg(rows.alias("__rows")).where(F.col("__rows") > hot_rows)
+    if not hot.limit(1).collect():
+        return None
+    return materialize(hot, "hot-groups").drop("__rows").withColumn("__hot", F.lit(True))
+
+
+def split_hot(
+    df: DataFrame, group: Sequence[str], hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary groups, and rows of groups with more than ``hot_rows`` rows if there are any."""
+    hot = hot_keys(df, group, F.count(F.lit(1)), hot_rows)
+    if hot is None:
+        return df, None
+    stored, listed = materialize(df, "hot-split"), F.broadcast(hot)
+    return (
+        stored.join(listed, _same(group, "__h_"), "left_anti"),
+        stored.join(listed, _same(group, "__h_"), "left_semi"),
     )
-    condition = None
-    for name, key in zip(group, keys, strict=True):
-        pair = F.col(name).eqNullSafe(F.col(key))
-        condition = pair if condition is None else condition & pair
-    # at most (rows of df) / hot_rows keys, so the broadcast is bounded
-    listed = F.broadcast(hot)
-    return df.join(listed, condition, "left_anti"), df.join(listed, condition, "left_semi")
 
 
 def rank_table(
@@ -79,39 +96,54 @@ def rank_table(
     value: str,
     weight: str | None = None,
     bucket: Column | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per group and distinct value: ``cnt`` rows, ``before`` rows with a smaller value, group size ``n``.
 
     NULL values are left out, as in every rank of the library. ``weight`` counts a row more than once.
     """
-    dtype = df.schema[value].dataType
-    band = value_bucket(F.col(value), dtype) if bucket is None else bucket
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*group, band.alias("__band"), F.col(value))
-        .agg(amount.alias("cnt"))
+    counts = materialize(
+        df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value)).agg(amount.alias("cnt")), "counts"
     )
-    inside = Window.partitionBy(*group, "__band").orderBy(value)
-    running = counts.withColumn(
-        "__inside", F.sum("cnt").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("cnt")
+    hot = hot_keys(counts, group, F.sum("cnt"), hot_rows)
+    start, here = Window.unboundedPreceding, Window.currentRow
+    if hot is None:
+        whole = Window.partitionBy(*group)
+        before = F.sum("cnt").over(whole.orderBy(value).rowsBetween(start, here)) - F.col("cnt")
+        return counts.select(*group, value, "cnt", before.alias("before"), F.sum("cnt").over(whole).alias("n"))
+    band = value_bucket(F.col(value), df.schema[value].dataType) if bucket is None else bucket
+    if group:
+        listed = counts.join(F.broadcast(hot), _same(group, "__h_"), "left")
+        # ordinary groups have the single band NULL
+        marked = listed.select(*group, value, "cnt", F.when(F.col("__hot"), band).alias("__band"))
+    else:
+        marked = counts.withColumn("__band", band)
+    inside = Window.partitionBy(*group, "__band")
+    running = marked.withColumns(
+        {
+            "__inside": F.sum("cnt").over(inside.orderBy(value).rowsBetween(start, here)) - F.col("cnt"),
+            "__size": F.sum("cnt").over(inside),
+        }
     )
-    bands = Window.partitionBy(*group).orderBy("__band")
-    totals = (
-        counts.groupBy(*group, "__band")
+    lower = Window.partitionBy(*group).orderBy("__band").rowsBetween(start, here)
+    below = (
+        marked.where(F.col("__band").isNotNull())
+        .groupBy(*group, "__band")
         .agg(F.sum("cnt").alias("__total"))
         .select(
-            *group,
-            "__band",
-            (
-                F.sum("__total").over(bands.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-                - F.col("__total")
-            ).alias("__below"),
-            F.sum("__total").over(Window.partitionBy(*group)).alias("n"),
+            *[F.col(name).alias(f"__b_{name}") for name in [*group, "__band"]],
+            (F.sum("__total").over(lower) - F.col("__total")).alias("__below"),
+            F.sum("__total").over(Window.partitionBy(*group)).alias("__n"),
         )
     )
-    return join_groups(running, totals, [*group, "__band"]).select(
-        *group, value, "cnt", (F.col("__below") + F.col("__inside")).alias("before"), "n"
+    placed = running.join(below, _same([*group, "__band"], "__b_"), "left")
+    return placed.select(
+        *group,
+        value,
+        "cnt",
+        (F.coalesce("__below", F.lit(0)) + F.col("__inside")).alias("before"),
+        F.coalesce("__n", "__size").alias("n"),
     )
 
 
@@ -136,7 +168,9 @@ def midrank(df: DataFrame, group: Sequence[str], value: str, out: str, hot_rows:
     ordinary, hot = split_hot(df, group, hot_rows)
     window = Window.partitionBy(*group).orderBy(value)
     ranked = ordinary.withColumn(out, (F.percent_rank().over(window) + F.cume_dist().over(window)) / 2)
-    table = rank_table(hot, group, value).select(*group, value, mid_percentile().alias(out))
+    if hot is None:
+        return ranked
+    table = rank_table(hot, group, value, hot_rows=hot_rows).select(*group, value, mid_percentile().alias(out))
     return ranked.unionByName(join_groups(hot, table, [*group, value]))
 
 
@@ -146,66 +180,40 @@ def avg_rank(df: DataFrame, value: str, out: str, group: Sequence[str] = ()) ->
     return join_groups(df, table, [*group, value], "left")
 
 
-def global_quantiles(
+def quantiles(
     df: DataFrame,
     group: Sequence[str],
     value: str,
     probabilities: Mapping[str, float],
     weight: str | None = None,
     bucket: Column | None = None,
+    extra: Mapping[str, Column] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Exact interpolated quantiles per group by way of ``rank_table``; safe for groups of any size."""
-    table = rank_table(df, group, value, weight, bucket)
-    row = F.col("cnt")
-    start = F.col("before")
-    cells = []
+    """Exact interpolated quantiles of ``value`` per group, with the count ``n`` of its non-NULL rows.
+
+    ``extra`` are further aggregates over the distinct values, each of which stands for ``cnt`` rows.
+    """
+    table = rank_table(df, group, value, weight, bucket, hot_rows)
+    number, start, end = F.col(value).cast("double"), F.col("before"), F.col("before") + F.col("cnt")
+    picks, results = [], []
     for name, p in probabilities.items():
         position = F.lit(float(p)) * (F.col("n") - 1)
         low, high = F.floor(position), F.ceil(position)
-        at_low = (start <= low) & (low < start + row)
-        at_high = (start <= high) & (high < start + row)
-        cells.append((name, position - low, at_low, at_high))
-    wanted = None
-    for _, _, at_low, at_high in cells:
-        wanted = at_low | at_high if wanted is None else wanted | at_low | at_high
-    number = F.col(value).cast("double")
-    picks = []
-    for name, fraction, at_low, at_high in cells:
         picks += [
-            F.max(F.when(at_low, number)).alias(f"__lo_{name}"),
-            F.max(F.when(at_high, number)).alias(f"__hi_{name}"),
-            F.max(fraction).alias(f"__f_{name}"),
+            F.max(F.when((start <= low) & (low < end), number)).alias(f"__lo_{name}"),
+            F.max(F.when((start <= high) & (high < end), number)).alias(f"__hi_{name}"),
+            F.max(position - low).alias(f"__f_{name}"),
         ]
-    found = table.where(wanted).groupBy(*group).agg(F.max("n").alias("n"), *picks)
-    return found.select(
-        *group,
-        "n",
-        *[
-            (F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * F.col(f"__f_{name}")).alias(name)
-            for name in probabilities
-        ],
+        low_value, high_value = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        results.append((low_value + (high_value - low_value) * F.col(f"__f_{name}")).alias(name))
+    more = dict(extra or {})
+    found = table.groupBy(*group).agg(
+        F.coalesce(F.max("n"), F.lit(0)).alias("n"), *picks, *[c.alias(name) for name, c in more.items()]
     )
+    return found.select(*group, "n", *results, *more)
 
 
-def quantiles(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    probabilities: Mapping[str, float],
-    weight: str | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Exact interpolated quantiles of ``value`` per group, with the count ``n`` of its non-NULL rows."""
-    if not group:
-        return global_quantiles(df, group, value, probabilities, weight)
-    ordinary, hot = split_hot(df.where(F.col(value).isNotNull()), group, hot_rows)
-    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    number = F.col(value).cast("double")
-
-    def direct(p: float) -> Column:
-        return F.percentile(number, p) if weight is None else F.percentile(number, p, F.col(weight))
-
-    plain = ordinary.groupBy(*group).agg(
-        size.alias("n"), *[direct(float(p)).alias(name) for name, p in probabilities.items()]
-    )
-    return plain.unionByName(global_quantiles(hot, group, value, probabilities, weight))
+def mean_of(value: str) -> Column:
+    """Mean over the rows behind the distinct values of a rank table."""
+    return F.sum(F.col(value).cast("double") * F.col("cnt")) / F.sum("cnt")

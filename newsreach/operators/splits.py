@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsreach import constants as K
-from newsreach.operators.ranks import global_quantiles, rank_table
+from newsreach.operators.ranks import quantiles, rank_table
 
 
 def shuffle_key(seed: int, keys: Sequence[str]) -> Column:
@@ -49,7 +49,7 @@ HOUR = 3_600_000_000
 def _cut(rows: DataFrame, keep: float) -> Column:
     """Interpolated quantile of the microseconds in ``__us``, found in bands of one hour."""
     bands = F.floor(F.col("__us") / HOUR)
-    return global_quantiles(rows.select("__us"), [], "__us", {"cut": keep}, bucket=bands).select("cut").scalar()
+    return quantiles(rows.select("__us"), [], "__us", {"cut": keep}, bucket=bands).select("cut").scalar()
 
 
 def temporal_split(

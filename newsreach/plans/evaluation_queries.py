@@ -14,7 +14,7 @@ from newsreach.operators.vectors import SCORE_DECIMALS
 from newsreach.plans.registry import query, rounded
 from newsreach.plans.search_queries import top_sql
 from newsreach.plans.stand_ins import KEY, Roles
-from newsreach.sources.workspace import fresh_path
+from newsreach.sources.workspace import fresh_path, materialize
 
 RANKED = "(rank() OVER ({w} ORDER BY {c}) + (count(*) OVER (PARTITION BY {p}{c}) - 1) / 2.0)::DOUBLE"
 
@@ -295,7 +295,10 @@ def m2(r: Roles) -> DataFrame:
 
 
 def learning_rows(r: Roles) -> DataFrame:
-    return M.features(split_vectors(r)).select("release_id", "company_id", "pv_score", "split", "features", "embedding", "category", "place", "title")
+    """Feature rows with their split, stored once because every fit passes over them many times."""
+    return materialize(M.features(split_vectors(r)).select(
+        "release_id", "company_id", "pv_score", "split", "features", "embedding", "category", "place", "title"
+    ), "features")
 
 
 def metrics_of(scored: DataFrame, model: str) -> DataFrame:
