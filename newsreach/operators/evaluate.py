@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsreach import constants as K
 from newsreach.operators.effects import melt
 from newsreach.operators.ranks import average_rank, avg_rank, join_groups, quantiles, rank_table
-from newsreach.operators.splits import entity_groups, fixed_groups, shuffle_key
+from newsreach.operators.splits import entity_groups, fixed_groups
 from newsreach.operators.vectors import Bonus, plan_score
 from newsreach.sources.workspace import materialize
 
@@ -93,13 +93,23 @@ def grouped_ndcg(
     )
 
 
-def poisson_weight(seed: int, keys: Sequence[str]):
-    """Poisson(1) draw of a row in a bootstrap round, from a seeded hash."""
-    uniform = F.conv(F.substring(shuffle_key(seed, keys), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    weight = F.lit(0)
-    for limit in POISSON_ONE:
-        weight = weight + (F.col("__u") >= limit).cast("int")
-    return uniform, weight
+def bootstrap_draws(seed: int, keys: Sequence[str], rounds: int) -> Column:
+    """Array of (round, w) with a Poisson(1) weight per round, from a hash of seed, round and key."""
+
+    def weigh(number: Column) -> Column:
+        text = F.concat_ws(":", F.lit(str(seed)), number.cast("string"), *[F.col(k).cast("string") for k in keys])
+        uniform = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+        def count(u: Column) -> Column:
+            weight = F.lit(0)
+            for limit in POISSON_ONE:
+                weight = weight + (u >= limit).cast("int")
+            return F.struct(number.alias("round"), weight.alias("w"))
+
+        # the hash is bound to a variable, so that it is computed once and not once per limit
+        return F.transform(F.array(uniform), count)[0]
+
+    return F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), weigh)
 
 
 def bootstrap_gap(
@@ -112,12 +122,11 @@ def bootstrap_gap(
     replacement. Both models see the same draw. A draw depends on seed, round and key only, so a lost
     task repeats it exactly. Rows are expanded once per round and weighed; nothing is collected.
     """
-    uniform, weight = poisson_weight(seed, ["round", *keys])
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = (
         df.select(*keys, first, second, actual)
-        .withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-        .withColumn("__u", uniform)
-        .withColumn("w", weight)
+        .repartition(spread, *keys)  # every row becomes `rounds` rows, so even a short table is worth spreading
+        .select(first, second, actual, F.inline(bootstrap_draws(seed, keys, rounds)))
         .where(F.col("w") > 0)
         .groupBy("round", first, second, actual)
         .agg(F.sum("w").alias("w"))

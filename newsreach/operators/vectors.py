@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from newsreach import constants as K
 from newsreach.functions.arrays import dot, l2_normalize
 from newsreach.functions.scoring import match_bonus, rarity
+from newsreach.sources.workspace import materialize
 
 # Queries up to this many vector cells (rows x dimensions) travel to the tasks as one broadcast: 64 MB
 BROADCAST_CELLS = 8_000_000
@@ -169,7 +170,8 @@ def nearest(
     """
     q_fields = [query_id, *bonus.matches, vector]
     c_fields = list(dict.fromkeys([*keys, *bonus.matches, *([bonus.reach_column] if bonus.reach else []), *carry, vector]))
-    q = queries.select(*q_fields).where(F.col(vector).isNotNull())
+    # stored once: they are measured first and read afterwards
+    q = materialize(queries.select(*q_fields).where(F.col(vector).isNotNull()), "queries")
     c = corpus.select(*c_fields).where(F.col(vector).isNotNull())
     out = T.StructType(
         [

@@ -190,7 +190,7 @@ def m15(r: Roles) -> DataFrame:
 
 def split_vectors(r: Roles) -> DataFrame:
     """Vectors with the random split by company."""
-    return S.entity_split(r.vectors(), ["company_id"])
+    return materialize(S.entity_split(r.vectors(), ["company_id"]), "split-vectors")
 
 
 @query("M17_knn_baseline", f"""
