@@ -14,6 +14,7 @@ from newsreach.operators.place import name_leaks, resolve_place
 from newsreach.plans.registry import query, rounded
 from newsreach.plans.stand_ins import KEY, OWN_OUTLET, Roles
 from newsreach.sources.database import key_slices
+from newsreach.sources.workspace import materialize
 
 
 @query("flagship_stratified_midrank", """
@@ -27,7 +28,8 @@ from newsreach.sources.database import key_slices
 def flagship(r: Roles) -> DataFrame:
     """Which announcements reached most outlets in their stratum, and how do they rank in their month?"""
     picked = C.stratified_top(r.reached().where("reach > 0"), ["category", "release_type", "place"], "reach", KEY, 5)
-    ranked = month_midrank(picked, "created_at", "page_view")
+    # ranks read their input more than once
+    ranked = month_midrank(materialize(picked, "picked"), "created_at", "page_view")
     return rounded(ranked.select("release_id", "category", "release_type", "place", "reach", "pv_score"), "pv_score", digits=9)
 
 

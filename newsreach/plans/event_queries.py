@@ -11,6 +11,8 @@ from newsreach.operators import events as E
 from newsreach.plans.registry import query, rounded
 from newsreach.plans.search_queries import top_sql
 from newsreach.plans.stand_ins import KEY, Roles
+from newsreach.sources.workspace import fresh_path
+from newsreach.streaming.calendar_sync import create_state, read_state, sync_stream
 
 
 @query("F3_events_between", """
@@ -87,7 +89,7 @@ def upsert_inputs(r: Roles) -> tuple[DataFrame, DataFrame]:
     return first.select("user_id", "external_id", "e.*"), events.drop("score").withColumn("seq", F.col("id"))
 
 
-@query("U1_upsert_events", """
+UPSERT_SQL = """
     WITH target AS (SELECT * FROM calendar WHERE title = 'purchase'
                     QUALIFY row_number() OVER (PARTITION BY user_id, external_id ORDER BY id) = 1),
     change AS (SELECT user_id, external_id, arg_max(title, id) AS title, arg_max(starts_at, id) AS starts_at,
@@ -95,12 +97,28 @@ def upsert_inputs(r: Roles) -> tuple[DataFrame, DataFrame]:
                FROM calendar GROUP BY 1, 2)
     SELECT c.user_id, c.external_id, coalesce(t.id, c.id) AS id, c.title, c.starts_at,
            CASE WHEN t.id IS NULL OR c.location <> '' THEN c.location ELSE t.location END AS location, t.score
-    FROM change c LEFT JOIN target t USING (user_id, external_id)""", "calendar")
+    FROM change c LEFT JOIN target t USING (user_id, external_id)"""
+
+
+@query("U1_upsert_events", UPSERT_SQL, "calendar")
 def u1(r: Roles) -> DataFrame:
     merged = E.upsert_events(*upsert_inputs(r))
     return merged.select("user_id", "external_id", "id", "title", "starts_at", "location", "score")
 
 
+@query("U1_stream_sync", UPSERT_SQL, "calendar")
+def u1_stream(r: Roles) -> DataFrame:
+    """The same upsert fed by a file stream into the bucketed event table."""
+    target, batch = upsert_inputs(r)
+    state, inbox = fresh_path(r.spark, "event-state"), fresh_path(r.spark, "event-inbox")
+    create_state(target, state)
+    batch.write.parquet(inbox)
+    stream = r.spark.readStream.schema(batch.schema).parquet(inbox)
+    query_handle = sync_stream(stream, state, fresh_path(r.spark, "event-stream"))
+    query_handle.awaitTermination()
+    return read_state(r.spark, state).select("user_id", "external_id", "id", "title", "starts_at", "location", "score")
+
+
 @query("U2_rescore_stale", f"""
     WITH stored AS (SELECT *, CASE WHEN title = 'view' THEN concat_ws(chr(10), title, nullif(location, ''), description) END AS scored_text
                     FROM calendar),

@@ -9,6 +9,7 @@ from newsreach.operators import rollup as R
 from newsreach.operators.effects import regional_supply
 from newsreach.plans.registry import query, rounded
 from newsreach.plans.stand_ins import KEY, LIFT_MIN, Roles
+from newsreach.sources.workspace import materialize
 
 
 def lift_table(r: Roles) -> DataFrame:
@@ -79,14 +80,19 @@ PLACE_RANK_SQL = """
     WINDOW m AS (PARTITION BY place ORDER BY regional_reach)"""
 
 
+def narrow_corpus(r: Roles) -> DataFrame:
+    """What the place rank needs, stored once because ranks read their input more than once."""
+    return materialize(r.corpus().select("release_id", "place", "regional_reach"), "narrow-corpus")
+
+
 @query("W5_place_midrank", PLACE_RANK_SQL, "corpus")
 def w5(r: Roles) -> DataFrame:
-    ranked = O.place_midrank(r.corpus().select("release_id", "place", "regional_reach"), "place", "regional_reach")
+    ranked = O.place_midrank(narrow_corpus(r), "place", "regional_reach")
     return rounded(ranked.select("release_id", "regional_score"), "regional_score", digits=9)
 
 
 @query("W5_place_midrank_split", PLACE_RANK_SQL, "corpus")
 def w5_split(r: Roles) -> DataFrame:
     """The same ranks with every place treated as a hot one."""
-    ranked = O.place_midrank(r.corpus().select("release_id", "place", "regional_reach"), "place", "regional_reach", hot_rows=0)
+    ranked = O.place_midrank(narrow_corpus(r), "place", "regional_reach", hot_rows=0)
     return rounded(ranked.select("release_id", "regional_score"), "regional_score", digits=9)

@@ -186,12 +186,14 @@ def c16(r: Roles) -> DataFrame:
 
 
 @query("C17_clean_refs", """
-    SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_transform(list_filter(list(l_linenumber), lambda n: n BETWEEN 1 AND 4), lambda n: n - 1))), ',') AS refs
-    FROM lineitem GROUP BY 1""")
+    SELECT l_orderkey, l_linenumber, l_partkey, array_to_string(list_sort(list_distinct(list_transform(list_filter(
+               [l_linenumber, l_linenumber + 2, 0, l_linenumber, 1], lambda n: n BETWEEN 1 AND 4), lambda n: n - 1))), ',') AS refs
+    FROM lineitem""")
 def c17(r: Roles) -> DataFrame:
-    """Line numbers of an order as citations of its first four cases; an order has few lines."""
-    cited = r.table("lineitem", "l_orderkey", "l_linenumber").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("cited"))
-    return cited.select("l_orderkey", joined(A.clean_refs("cited", 4).cast("array<string>")).alias("refs"))
+    n = F.col("l_linenumber")
+    cited = r.table("lineitem", "l_orderkey", "l_linenumber", "l_partkey").withColumn("cited", F.array(n, n + 2, F.lit(0), n, F.lit(1)))
+    refs = joined(A.clean_refs("cited", 4).cast("array<string>"))
+    return cited.select("l_orderkey", "l_linenumber", "l_partkey", refs.alias("refs"))
 
 
 @query("C18_parse_draft", """
