@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsreach import constants as K
 
@@ -11,6 +14,11 @@ from newsreach import constants as K
 ZONE = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 
+def wall_literal(value: datetime, dtype: T.DataType) -> Column:
+    """Literal of the column's own type, so that a comparison with it reaches the file scan."""
+    return F.lit(value.isoformat(sep=" ")).cast(dtype)
+
+
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 

@@ -12,7 +12,7 @@ from newsreach import constants as K
 
 def candidates(df: DataFrame, since: str = K.SINCE, at: str = "created_at", reach: str = "reach") -> DataFrame:
     """Rows recent enough, with positive reach and a title (F1)."""
-    return df.where((F.col(at) >= F.lit(since).cast("timestamp_ntz")) & (F.col(reach) > 0) & (F.col("title") != ""))
+    return df.where((F.col(at) >= F.lit(since).cast(df.schema[at].dataType)) & (F.col(reach) > 0) & (F.col("title") != ""))
 
 
 def _first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from newsreach import constants as K
 from newsreach.functions.moments import month_of, quarter_of
 from newsreach.operators.ranks import HOT_ROWS, join_groups, mean_of, quantiles, rank_table, split_hot
+from newsreach.sources.workspace import materialize
 
 PROFILE = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90}
 
@@ -224,10 +225,11 @@ def one_vs_rest(
     their own, ``min_n`` others) meet the counted outcomes of their cell, so the work grows with distinct
     outcomes times qualifying groups per cell, not with pairs of rows.
     """
-    counts = (
+    counts = materialize(
         df.where(F.col(outcome).isNotNull() & F.col(group).isNotNull())
         .groupBy(*cell, F.col(group).alias("__g"), F.col(outcome).cast("double").alias("__value"))
-        .agg(F.count(F.lit(1)).alias("__c"))
+        .agg(F.count(F.lit(1)).alias("__c")),
+        "outcomes",
     )
     own = counts.groupBy(*cell, "__g").agg(F.sum("__c").alias("__own"))
     whole = own.groupBy(*cell).agg(F.sum("__own").alias("__all"))
@@ -265,21 +267,39 @@ def segment_effect(
     return cells.withColumn("difference", F.col("median_with") - F.col("median_without"))
 
 
-def flag_terms(df: DataFrame, text: str, terms: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """One row per input row and term with ``has_term``; the text itself is not repeated."""
-    states = [
-        F.struct(F.lit(term).alias("term"), F.contains(F.col(text), F.lit(term)).alias("has_term")) for term in terms
-    ]
-    return df.where(F.col(text).isNotNull()).select(*keep, F.inline(F.array(*states)))
+def found_terms(text: str, terms: Sequence[str]) -> Column:
+    """Array of the listed terms that occur in the text."""
+    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda term: F.contains(F.col(text), term))
 
 
 def term_effect(
     df: DataFrame, text: str, terms: Sequence[str], cell: Sequence[str], outcome: str,
     min_n: int = K.MIN_PER_SIDE, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Paired-cell effect of each term of a list."""
-    flagged = flag_terms(df, text, terms, [*cell, outcome])
-    return paired_effect(flagged, cell, "has_term", outcome, min_n, ["term"], hot_rows)
+    """Paired-cell effect of each term of a list.
+
+    The texts are read once; from then on a row holds the few terms it contains. A term meets only the
+    cells in which it can be compared (``min_n`` rows with it and as many without), and there only the
+    counted (outcome, terms) combinations, so a long list of rare terms costs little.
+    """
+    found = df.where(F.col(text).isNotNull() & F.col(outcome).isNotNull()).select(
+        *cell, F.col(outcome).cast("double").alias("__value"), found_terms(text, terms).alias("__found")
+    )
+    rows = materialize(found.groupBy(*cell, "__value", "__found").agg(F.count(F.lit(1)).alias("__c")), "terms")
+    with_term = (
+        rows.select(*cell, "__c", F.explode("__found").alias("term"))
+        .groupBy(*cell, "term")
+        .agg(F.sum("__c").alias("__with"))
+    )
+    sizes = rows.groupBy(*cell).agg(F.sum("__c").alias("__all"))
+    able = (
+        join_groups(with_term, sizes, cell)
+        .where((F.col("__with") >= min_n) & (F.col("__all") - F.col("__with") >= min_n))
+        .select(*cell, "term")
+    )
+    flagged = join_groups(able, rows, cell).withColumn("__flag", F.array_contains("__found", F.col("term")))
+    sides = quantiles(flagged, ["term", *cell, "__flag"], "__value", {"median": 0.5}, "__c", hot_rows=hot_rows)
+    return summarize_cells(compare_sides(sides, ["term", *cell]), ["term"], hot_rows)
 
 
 def effect_correlation(left: DataFrame, right: DataFrame, on: str = "term", value: str = "win_rate") -> DataFrame:

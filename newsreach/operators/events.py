@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsreach import constants as K
-from newsreach.functions.moments import is_all_day, parse_moment
+from newsreach.functions.moments import is_all_day, parse_moment, wall_literal
 from newsreach.functions.text import event_text, fit_columns
 from newsreach.operators.place import resolve_place
 from newsreach.operators.vectors import SCORE_BONUS, plan_score
@@ -24,9 +24,9 @@ def events_between(
     if user is not None:
         df = df.where(F.col("user_id") == F.lit(user))
     if start is not None:
-        df = df.where(F.col("ends_at") >= F.lit(start))
+        df = df.where(F.col("ends_at") >= wall_literal(start, df.schema["ends_at"].dataType))
     if end is not None:
-        df = df.where(F.col("starts_at") <= F.lit(end))
+        df = df.where(F.col("starts_at") <= wall_literal(end, df.schema["starts_at"].dataType))
     return df.orderBy("starts_at", "id")
 
 
@@ -34,11 +34,16 @@ def _month_start(year_month: str) -> datetime:
     return datetime.strptime(year_month, "%Y-%m")  # noqa: DTZ007 - wall-clock month
 
 
+def _between(df: DataFrame, at: str, start: datetime, end: datetime) -> DataFrame:
+    dtype = df.schema[at].dataType
+    return df.where((F.col(at) >= wall_literal(start, dtype)) & (F.col(at) < wall_literal(end, dtype)))
+
+
 def in_month(df: DataFrame, year_month: str, at: str = "starts_at") -> DataFrame:
     """Rows of one month, written as a range so that it reaches the file scan."""
     first = _month_start(year_month)
     following = datetime(first.year + first.month // 12, first.month % 12 + 1, 1)  # noqa: DTZ001
-    return df.where((F.col(at) >= F.lit(first)) & (F.col(at) < F.lit(following)))
+    return _between(df, at, first, following)
 
 
 def ranked_month(df: DataFrame, year_month: str, at: str = "starts_at", score: str = "score") -> DataFrame:
@@ -64,7 +69,7 @@ def calendar_grid(months: DataFrame, month: str) -> DataFrame:
 def events_on(df: DataFrame, day: datetime, at: str = "starts_at") -> DataFrame:
     """Events of a single day."""
     start = datetime(day.year, day.month, day.day)  # noqa: DTZ001
-    return df.where((F.col(at) >= F.lit(start)) & (F.col(at) < F.lit(start + timedelta(days=1))))
+    return _between(df, at, start, start + timedelta(days=1))
 
 
 def clean_events(df: DataFrame) -> DataFrame:

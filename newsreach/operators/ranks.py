@@ -9,8 +9,9 @@ fine for ordinary groups and fatal for one that holds a third of the table, or f
 2. The group sizes are measured. Groups of at most ``HOT_ROWS`` rows take a plain window, whose size is
    thereby bounded. Usually that is all.
 3. Larger groups, if there are any, are cut along the value axis into bands by a fixed, order-preserving
-   function. A cumulative count runs inside each band and the count of all lower bands is added. There are
-   at most rows / ``HOT_ROWS`` such groups, which bounds the broadcast that marks them.
+   function. A cumulative count runs inside each band and the count of all lower bands is added. The list
+   of such groups is a stored table of known size, so Spark broadcasts it when it is small and shuffles
+   otherwise; no hint forces either.
 
 Bands depend on the data alone, so a task that is computed again after a loss gets the same rows.
 """
@@ -65,10 +66,7 @@ def _same(group: Sequence[str], prefix: str) -> Column:
 
 
 def hot_keys(df: DataFrame, group: Sequence[str], rows: Column, hot_rows: int) -> DataFrame | None:
-    """Keys (renamed to ``__h_...``) of groups above ``hot_rows`` rows, or None if there is no such group.
-
-    There are at most (all rows) / ``hot_rows`` of them, so the list may be broadcast.
-    """
+    """Keys (renamed to ``__h_...``) of groups above ``hot_rows`` rows, or None if there is no such group."""
     keys = [F.col(name).alias(f"__h_{name}") for name in group]
     hot = df.groupBy(*keys).agg(rows.alias("__rows")).where(F.col("__rows") > hot_rows)
     if not hot.limit(1).collect():
@@ -83,11 +81,8 @@ def split_hot(
     hot = hot_keys(df, group, F.count(F.lit(1)), hot_rows)
     if hot is None:
         return df, None
-    stored, listed = materialize(df, "hot-split"), F.broadcast(hot)
-    return (
-        stored.join(listed, _same(group, "__h_"), "left_anti"),
-        stored.join(listed, _same(group, "__h_"), "left_semi"),
-    )
+    stored, same = materialize(df, "hot-split"), _same(group, "__h_")
+    return stored.join(hot, same, "left_anti"), stored.join(hot, same, "left_semi")
 
 
 def rank_table(
@@ -114,7 +109,7 @@ def rank_table(
         return counts.select(*group, value, "cnt", before.alias("before"), F.sum("cnt").over(whole).alias("n"))
     band = value_bucket(F.col(value), df.schema[value].dataType) if bucket is None else bucket
     if group:
-        listed = counts.join(F.broadcast(hot), _same(group, "__h_"), "left")
+        listed = counts.join(hot, _same(group, "__h_"), "left")
         # ordinary groups have the single band NULL
         marked = listed.select(*group, value, "cnt", F.when(F.col("__hot"), band).alias("__band"))
     else:

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsreach.functions.moments import wall_literal
 from newsreach.functions.scoring import log_score
 from newsreach.functions.text import text_flags
 from newsreach.operators.ranks import quantiles
@@ -23,7 +24,8 @@ def project_release(
     at: str = "created_at",
 ) -> DataFrame:
     """One time slice with lengths and presence flags instead of long texts."""
-    part = df.where((F.col(at) >= F.lit(start)) & (F.col(at) < F.lit(end)))
+    dtype = df.schema[at].dataType
+    part = df.where((F.col(at) >= wall_literal(start, dtype)) & (F.col(at) < wall_literal(end, dtype)))
     derived = [f"{name}_len" for name in lengths] + [f"has_{name}" for name in flags]
     return text_flags(part, lengths, flags).select(*keep, *derived)
 
