@@ -116,6 +116,16 @@ def a21_split(r: Roles) -> DataFrame:
     return rounded(E.paired_effect(flagged(r), ["company_id"], "flag", "reach", hot_rows=0), *SUMMARY)
 
 
+@query("A21_accepted_effects", f"""
+    WITH {FLAGGED}, {cells_sql('category, release_type, place', 'flag', 'reach', 'flagged')},
+    effects AS (SELECT category, {SUMMARY_SQL} FROM cells GROUP BY category)
+    SELECT *, coalesce(win_rate >= 0.6 AND median_ratio >= 1.15, false) AS accepted FROM effects""", "reached")
+def a21_accepted(r: Roles) -> DataFrame:
+    """Effect per category, judged by the rule for win rate and median ratio."""
+    effects = E.paired_effect(flagged(r), ["release_type", "place"], "flag", "reach", by=["category"])
+    return E.accepted(rounded(effects, *SUMMARY))
+
+
 TIMED_SQL = f"""
     WITH {FLAGGED},
     months AS (SELECT date_trunc('month', created_at) AS m, median(page_view) AS med FROM flagged GROUP BY 1),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsreach import constants as K
+from newsreach.functions.arrays import dot
 from newsreach.operators import vectors as V
 from newsreach.plans.case_retrieval import case_bundle
 from newsreach.plans.registry import query, rounded
@@ -26,12 +27,12 @@ def top_sql(k: int, source: str = "scored") -> str:
         FROM {source} QUALIFY rank <= {k})"""
 
 
-@query("V1_hashed_embedding")
+@query("V1_hashed_embedding", """
+    SELECT doc_id, 64::INTEGER AS dimensions, CASE WHEN regexp_matches(text, '\\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS length
+    FROM documents""")
 def v1(r: Roles) -> DataFrame:
     """Default vectors of all documents; 1 where the vector has unit length."""
     docs = V.hashed_embedding(r.table("documents", "doc_id", "text"), "text", 64)
-    from newsreach.functions.arrays import dot
-
     return docs.select("doc_id", F.size("embedding").alias("dimensions"), F.round(dot("embedding", "embedding"), 4).alias("length"))
 
 
@@ -114,18 +115,30 @@ def distinctive(r: Roles) -> tuple[DataFrame, DataFrame]:
     return V.distinctive(cases, r.media(), r.frequency(), r.total(), "query_id", KEY, "outlet")
 
 
-@query("V6_case_bundle", f"""
-    WITH {SEARCH}, {top_sql(24)},
-    lifted AS (SELECT *, round(score + 0.02 * 3 * (coalesce((q_category = category)::INT, 0) + coalesce((q_place = place)::INT, 0)), 9) AS lifted FROM top),
-    kept AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lifted DESC, rank)::INTEGER AS new_rank FROM lifted QUALIFY new_rank <= 8)
-    SELECT query_id, string_agg(release_id::VARCHAR, ',' ORDER BY new_rank) AS cases, count(*) AS n FROM kept GROUP BY 1""",
-    "vectors")
+BUNDLE_SQL = f"""
+    WITH {SEARCH}, {top_sql(24).replace("top AS", "fetched AS", 1)},
+    lifted AS (SELECT *, round(score + 0.02 * 3 * (coalesce((q_category = category)::INT, 0) + coalesce((q_place = place)::INT, 0)), 9) AS lifted FROM fetched),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lifted DESC, rank)::INTEGER AS new_rank FROM lifted QUALIFY new_rank <= 8),
+    {DISTINCTIVE},
+    listed AS (SELECT query_id, release_id, string_agg(outlet::VARCHAR, '+' ORDER BY rank) AS media FROM by_case GROUP BY 1, 2),
+    cases AS (SELECT query_id, string_agg(release_id || ':' || coalesce(media, ''), ',' ORDER BY new_rank) AS cases
+              FROM top LEFT JOIN listed USING (query_id, release_id) GROUP BY 1),
+    overall AS (SELECT query_id, string_agg(outlet::VARCHAR, ',' ORDER BY rank) AS media FROM by_set GROUP BY 1)
+    SELECT query_id, cases, coalesce(media, '') AS media FROM cases LEFT JOIN overall USING (query_id)"""
+
+
+@query("V6_case_bundle", BUNDLE_SQL, "vectors media frequency")
 def v6(r: Roles) -> DataFrame:
     bundle = case_bundle(
         r.queries().withColumn("open_count", F.lit(3)), r.vectors(), r.media(), r.frequency(), r.total(), "query_id", KEY, "outlet"
     )
-    listed = F.concat_ws(",", F.transform("cases", lambda c: c["release_id"].cast("string")))
-    return bundle.select("query_id", listed.alias("cases"), F.size("cases").cast("bigint").alias("n"))
+
+    def case(c):
+        outlets = F.concat_ws("+", F.transform(c["media"], lambda m: m.cast("string")))
+        return F.concat_ws(":", c["release_id"].cast("string"), outlets)
+
+    media = F.concat_ws(",", F.transform("media", lambda m: m.cast("string")))
+    return bundle.select("query_id", F.concat_ws(",", F.transform("cases", case)).alias("cases"), media.alias("media"))
 
 
 @query("J10_vector_top_k", """

@@ -67,6 +67,17 @@ def c6(r: Roles) -> DataFrame:
     return r.drafts().select("draft_id", text.alias("query_text"))
 
 
+@query("C6_advised_text", """
+    SELECT draft_id, concat_ws(' ', title, nullif(place, ''), nullif(array_to_string(partner, ' '), ''), novelty, observation,
+                               'call ' || asked, 'add a photo') AS advised_text
+    FROM drafts""", "drafts")
+def c6_advised(r: Roles) -> DataFrame:
+    """Text of a plan after two proposals were added to it."""
+    plan = X.query_text("title", "place", "partner", "novelty", "observation")
+    actions = F.array(F.concat(F.lit("call "), F.col("asked")), F.lit("add a photo"))
+    return r.drafts().select("draft_id", X.advised_text(plan, actions).alias("advised_text"))
+
+
 MOMENTS = """moments AS (
     SELECT event_id, ts, event_type, CASE event_type WHEN 'view' THEN strftime(ts, '%Y-%m-%d')
            WHEN 'click' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || 'Z' WHEN 'error' THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:00'

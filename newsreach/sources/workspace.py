@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
+_stored: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
@@ -37,5 +39,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     outlives executors, so a lost executor costs a re-read and not a recomputation.
     """
     path = fresh_path(df.sparkSession, name)
+    _stored.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process has stored; gives their number.
+
+    Call it once the results that rest on them have been written.
+    """
+    dropped = 0
+    while _stored:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        dropped += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+    return dropped

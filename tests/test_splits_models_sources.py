@@ -167,6 +167,23 @@ def test_key_slices(spark):
     assert got == {0: (3, 2), 1: (1, 1)}
 
 
+def test_database_ranges_cover_the_keys(spark, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    asked = {}
+    monkeypatch.setattr(DataFrameReader, "jdbc", lambda self, **options: asked.update(options))
+    D.read_partitioned(spark, "jdbc:x", "(SELECT 1) t", "company_id", 0, 190_000, 2000, {"fetchsize": "10000"})
+    assert asked["column"] == "company_id" and asked["numPartitions"] == 95
+    assert (asked["lowerBound"], asked["upperBound"]) == (0, 190_000)
+
+
+def test_stored_tables_can_be_dropped(spark, monkeypatch):
+    monkeypatch.setattr(W, "_stored", [])
+    path = W.materialize(spark.range(2), "gone").inputFiles()[0].removeprefix("file:").removeprefix("//")
+    assert os.path.exists(path)
+    assert W.drop_materialized(spark) == 1 and not os.path.exists(path)
+
+
 def test_intermediate_tables_go_to_the_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     stored = W.materialize(spark.range(3), "t")
