@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsreach import constants as K
 from newsreach.operators.effects import melt
-from newsreach.operators.ranks import average_rank, avg_rank, join_groups, quantiles, rank_table
+from newsreach.operators.ranks import HOT_ROWS, average_rank, avg_rank, hot_keys, join_groups, quantiles, rank_table
 from newsreach.operators.splits import entity_groups, fixed_groups
 from newsreach.operators.vectors import Bonus, plan_score
 from newsreach.sources.workspace import materialize
@@ -28,20 +28,35 @@ def melt_models(df: DataFrame, models: Sequence[str], keep: Sequence[str]) -> Da
 
 
 def spearman(
-    df: DataFrame, pred: str, actual: str, group: Sequence[str] = (), weight: str | None = None
+    df: DataFrame, pred: str, actual: str, group: Sequence[str] = (), weight: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rank correlation with averaged ties, per group or over all rows (M3).
 
-    Equal (prediction, actual) pairs are merged first, and both rank tables are built from the merged
-    pairs, so the rows are read once. The mean rank is known in advance, hence one pass of sums gives the
-    coefficient. NULL when a side is constant.
+    Equal (prediction, actual) pairs are merged and stored first, so the rows are read once. Groups of
+    bounded size then take windows over the pairs, others the two rank tables of the pairs. The mean rank
+    is known in advance, hence one pass of sums gives the coefficient. NULL when a side is constant.
     """
     rows = df.where(F.col(pred).isNotNull() & F.col(actual).isNotNull())
     amount = F.count(F.lit(1)) if weight is None else F.sum(weight)
     pairs = materialize(rows.groupBy(*group, pred, actual).agg(amount.alias("__c")), "pairs")
-    left = rank_table(pairs, group, pred, "__c").select(*group, pred, average_rank().alias("__p"), "n")
-    right = rank_table(pairs, group, actual, "__c").select(*group, actual, average_rank().alias("__a"))
-    ranked = join_groups(join_groups(pairs, left, [*group, pred]), right, [*group, actual])
+    if hot_keys(pairs, group, hot_rows) is None:
+
+        def rank(column: str) -> Column:
+            upto = F.sum("__c").over(Window.partitionBy(*group).orderBy(column))
+            same = F.sum("__c").over(Window.partitionBy(*group, column))
+            return upto - same + (same + 1) / 2
+
+        size = F.sum("__c").over(Window.partitionBy(*group))
+        ranked = pairs.withColumns({"__p": rank(pred), "n": size}).withColumn("__a", rank(actual))
+    else:
+        left = rank_table(pairs, group, pred, "__c", hot_rows=hot_rows).select(
+            *group, pred, average_rank().alias("__p"), "n"
+        )
+        right = rank_table(pairs, group, actual, "__c", hot_rows=hot_rows).select(
+            *group, actual, average_rank().alias("__a")
+        )
+        ranked = join_groups(join_groups(pairs, left, [*group, pred]), right, [*group, actual])
     middle = (F.col("n") + 1) / 2
     p, a, c = F.col("__p") - middle, F.col("__a") - middle, F.col("__c")
     sums = ranked.groupBy(*group).agg(
@@ -128,8 +143,6 @@ def bootstrap_gap(
         .repartition(spread, *keys)  # every row becomes `rounds` rows, so even a short table is worth spreading
         .select(first, second, actual, F.inline(bootstrap_draws(seed, keys, rounds)))
         .where(F.col("w") > 0)
-        .groupBy("round", first, second, actual)
-        .agg(F.sum("w").alias("w"))
     )
     long = melt_models(drawn, [first, second], ["round", actual, "w"])
     scores = spearman(long, "pred", actual, ["round", "model"], "w")

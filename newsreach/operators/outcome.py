@@ -126,6 +126,5 @@ def enrich(
     )
     # ranks are computed on narrow rows; the texts are not shuffled for them
     narrow = joined.select(*keys, at, place, "page_view", "regional_reach")
-    dated = materialize(month_midrank(narrow, at, "page_view"), "month-ranks")
-    ranks = place_midrank(dated, place, "regional_reach").select(*keys, "pv_score", "regional_score")
+    ranks = place_midrank(month_midrank(narrow, at, "page_view"), place, "regional_reach").select(*keys, "pv_score", "regional_score")
     return joined.join(ranks, list(keys))

@@ -6,8 +6,8 @@ fine for ordinary groups and fatal for one that holds a third of the table, or f
 
 1. Equal values of a group are counted, map-side first; a value shared by many rows becomes one row. The
    counts are written to the shared folder, so everything that feeds them is computed once.
-2. The group sizes are measured. Groups of at most ``HOT_ROWS`` rows take a plain window, whose size is
-   thereby bounded. Usually that is all.
+2. The group sizes are measured on the stored counts. Groups of at most ``HOT_ROWS`` distinct values take
+   a plain window, whose size is thereby bounded. A short table needs no more than its row count for that.
 3. Larger groups, if there are any, are cut along the value axis into bands by a fixed, order-preserving
    function. A cumulative count runs inside each band and the count of all lower bands is added. The list
    of such groups is a stored table of known size, so Spark broadcasts it when it is small and shuffles
@@ -65,23 +65,33 @@ def _same(group: Sequence[str], prefix: str) -> Column:
     return condition
 
 
-def hot_keys(df: DataFrame, group: Sequence[str], rows: Column, hot_rows: int) -> DataFrame | None:
-    """Keys (renamed to ``__h_...``) of groups above ``hot_rows`` rows, or None if there is no such group."""
+def hot_keys(stored: DataFrame, group: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """Keys (renamed to ``__h_...``) of groups above ``hot_rows`` rows, or None if there is no such group.
+
+    ``stored`` is a stored table; its row count comes from the file footers.
+    """
+    if stored.count() <= hot_rows:
+        return None
     keys = [F.col(name).alias(f"__h_{name}") for name in group]
-    hot = df.groupBy(*keys).agg(rows.alias("__rows")).where(F.col("__rows") > hot_rows)
-    if not hot.limit(1).collect():
+    hot = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows)
+    found = materialize(hot, "hot-groups")
+    if found.count() == 0:
         return None
-    return materialize(hot, "hot-groups").drop("__rows").withColumn("__hot", F.lit(True))
+    return found.drop("__rows").withColumn("__hot", F.lit(True))
 
 
 def split_hot(
     df: DataFrame, group: Sequence[str], hot_rows: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary groups, and rows of groups with more than ``hot_rows`` rows if there are any."""
-    hot = hot_keys(df, group, F.count(F.lit(1)), hot_rows)
+    """Rows of ordinary groups, and rows of groups with more than ``hot_rows`` rows if there are any.
+
+    The rows are stored first, so that whatever computes them runs once.
+    """
+    stored = materialize(df, "ranked-rows")
+    hot = hot_keys(stored, group, hot_rows)
     if hot is None:
-        return df, None
-    stored, same = materialize(df, "hot-split"), _same(group, "__h_")
+        return stored, None
+    same = _same(group, "__h_")
     return stored.join(hot, same, "left_anti"), stored.join(hot, same, "left_semi")
 
 
@@ -101,7 +111,7 @@ def rank_table(
     counts = materialize(
         df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value)).agg(amount.alias("cnt")), "counts"
     )
-    hot = hot_keys(counts, group, F.sum("cnt"), hot_rows)
+    hot = hot_keys(counts, group, hot_rows)
     start, here = Window.unboundedPreceding, Window.currentRow
     if hot is None:
         whole = Window.partitionBy(*group)

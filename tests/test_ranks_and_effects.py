@@ -133,11 +133,15 @@ def test_term_position(spark):
     assert (row.rows, row.mean_position) == (2, pytest.approx((0 + 2 / 3) / 2))
 
 
-def test_spearman_equals_pandas(spark):
+@pytest.mark.parametrize("hot_rows", [0, 10**6])
+def test_spearman_equals_pandas(spark, hot_rows):
     rng = np.random.default_rng(2)
     frame = pd.DataFrame({"p": rng.integers(0, 9, 200).astype(float), "a": rng.normal(size=200)})
     want = frame.p.rank().corr(frame.a.rank())
-    assert V.spearman(spark.createDataFrame(frame), "p", "a").first().spearman == pytest.approx(want)
+    frame["g"] = "x"
+    df = spark.createDataFrame(frame)
+    assert V.spearman(df, "p", "a", hot_rows=hot_rows).first().spearman == pytest.approx(want)
+    assert V.spearman(df, "p", "a", ["g"], hot_rows=hot_rows).first().spearman == pytest.approx(want)
     constant = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "p double, a double")
     assert V.spearman(constant, "p", "a").first().spearman is None
 
