@@ -13,6 +13,7 @@ from newsreach.functions.moments import is_all_day, parse_moment, wall_literal
 from newsreach.functions.text import event_text, fit_columns
 from newsreach.operators.place import resolve_place
 from newsreach.operators.vectors import SCORE_BONUS, plan_score
+from newsreach.sources.workspace import materialize
 
 EVENT_KEY = ("user_id", "external_id")
 
@@ -200,7 +201,8 @@ def rescore_stale(
         changed = resolve_place(changed, "location", places, "place")
     else:
         changed = changed.withColumn("place", F.lit(None).cast("int"))
-    queries = changed.withColumn("category", F.lit(None).cast("int")).where(F.col("embedding").isNotNull())
+    found = changed.where(F.col("embedding").isNotNull()).withColumn("category", F.lit(None).cast("int"))
+    queries = materialize(found.select("id", "new_text", "embedding", "category", "place"), "stale-events")
     scored = plan_score(queries, corpus, "id", keys, k=k, bonus=SCORE_BONUS)
     fresh = scored.join(queries.select("id", F.col("new_text").alias("__text")), "id")
     done = F.col("__text").isNotNull()

@@ -155,6 +155,7 @@ def nearest(
     vector: str = "embedding",
     broadcast_cells: int = BROADCAST_CELLS,
     block_rows: int = BLOCK_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
     """The k corpus rows of highest similarity plus bonuses for every query.
 
@@ -166,12 +167,16 @@ def nearest(
     * A larger query set forms a grid: both sides are hashed into blocks of about ``block_rows`` rows and
       each (query block, corpus block) pair is one bounded group. Nothing passes through the driver.
 
+    ``stored`` says that ``queries`` is a stored table already.
+
     Result: query id, corpus keys, carried columns, ``score`` and ``rank`` (1 = best; equal scores by key).
     """
     q_fields = [query_id, *bonus.matches, vector]
     c_fields = list(dict.fromkeys([*keys, *bonus.matches, *([bonus.reach_column] if bonus.reach else []), *carry, vector]))
-    # stored once: they are measured first and read afterwards
-    q = materialize(queries.select(*q_fields).where(F.col(vector).isNotNull()), "queries")
+    q = queries.select(*q_fields).where(F.col(vector).isNotNull())
+    if not stored:
+        # they are measured first and read afterwards
+        q = materialize(q, "queries")
     c = corpus.select(*c_fields).where(F.col(vector).isNotNull())
     out = T.StructType(
         [
@@ -269,9 +274,10 @@ def plan_score(
     Reach earns no bonus here, or well-known cases would be near everything. The median is taken over
     at most k rows, so the aggregate buffer is bounded.
     """
-    near = nearest(queries, corpus, query_id, keys, k, bonus, [score])
+    asked = materialize(queries.select(query_id, *bonus.matches, "embedding"), "queries")
+    near = nearest(asked, corpus, query_id, keys, k, bonus, [score], stored=True)
     medians = near.groupBy(query_id).agg(F.median(score).alias("plan_score"))
-    return queries.select(query_id).join(medians, query_id, "left")
+    return asked.select(query_id).join(medians, query_id, "left")
 
 
 def with_frequency(media: DataFrame, frequency: DataFrame, outlet: str) -> DataFrame:
@@ -295,11 +301,11 @@ def distinctive(
     Score = cases of the set that the outlet took, times its rarity. Outlets that took more than half of
     the set (but more than one case) would have taken anything and are dropped. Name settles ties.
     """
-    members = cases.select(query_id, *keys)
+    members = materialize(cases.select(query_id, *keys), "cases")
     taken = members.join(media.select(*keys, outlet), list(keys))
     sizes = members.groupBy(query_id).agg(F.count(F.lit(1)).alias("__cases"))
     hits = taken.groupBy(query_id, outlet).agg(F.count(F.lit(1)).alias("hits"))
-    scored = (
+    rare = (
         with_frequency(hits.join(sizes, query_id), frequency, outlet)
         .where(F.col("hits") <= F.greatest(F.col("__cases") * F.lit(K.UBIQUITOUS_RATIO), F.lit(1.0)))
         .withColumn("__total", total.select("case_count").scalar())
@@ -307,6 +313,7 @@ def distinctive(
         .withColumn("score", F.round(F.col("hits") * rarity("__total", "case_count"), SCORE_DECIMALS))
         .select(query_id, outlet, "hits", "score")
     )
+    scored = materialize(rare, "outlet-scores")
     by_set = top_k(scored, [query_id], "score", [outlet], overall)
     by_case = top_k(
         taken.join(scored.select(query_id, outlet, "score"), [query_id, outlet]),

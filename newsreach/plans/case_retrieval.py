@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsreach import constants as K
 from newsreach.operators import vectors as V
+from newsreach.sources.workspace import materialize
 
 
 def case_bundle(
@@ -33,7 +34,7 @@ def case_bundle(
         query_id, "open_count", F.col("category").alias("__q_category"), F.col("place").alias("__q_place")
     )
     matches = {"category": ("__q_category", "category"), "place": ("__q_place", "place")}
-    kept = V.rerank(fetched.join(wanted, query_id), query_id, matches, "open_count")
+    kept = materialize(V.rerank(fetched.join(wanted, query_id), query_id, matches, "open_count"), "cases")
     by_case, by_set = V.distinctive(kept, media, frequency, total, query_id, keys, outlet)
 
     def names(found: DataFrame, group: Sequence[str], out: str) -> DataFrame:
