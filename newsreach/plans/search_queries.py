@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsreach import constants as K
 from newsreach.functions.arrays import dot
 from newsreach.operators import vectors as V
+from newsreach.operators.rollup import outlet_frequency, outlet_total
 from newsreach.plans.case_retrieval import case_bundle
 from newsreach.plans.registry import query, rounded
 from newsreach.plans.stand_ins import KEY, Roles
+from newsreach.sources.workspace import materialize
 
 SCORED = """scored AS (
     SELECT q.release_id AS query_id, c.release_id, c.pv_score, q.category AS q_category, q.place AS q_place,
@@ -38,8 +41,6 @@ def v1(r: Roles) -> DataFrame:
 
 def letter_counts(texts: list[str]):
     """Example of a user's embedding function: letter counts."""
-    import numpy as np
-
     return np.array([[text.count(chr(97 + i)) for i in range(26)] for text in texts], dtype=float)
 
 
@@ -112,7 +113,13 @@ def v5_set(r: Roles) -> DataFrame:
 
 def distinctive(r: Roles) -> tuple[DataFrame, DataFrame]:
     cases = V.search(r.queries(), r.vectors(), "query_id", KEY).select("query_id", *KEY)
-    return V.distinctive(cases, r.media(), r.frequency(), r.total(), "query_id", KEY, "outlet")
+    return V.distinctive(cases, *lookups(r), "query_id", KEY, "outlet")
+
+
+def lookups(r: Roles) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Outlets per case, their frequency and the number of cases: tables that a search finds ready."""
+    media = materialize(r.media(), "media")
+    return media, outlet_frequency(media, KEY, "outlet"), outlet_total(media, KEY)
 
 
 BUNDLE_SQL = f"""
@@ -130,7 +137,7 @@ BUNDLE_SQL = f"""
 @query("V6_case_bundle", BUNDLE_SQL, "vectors media frequency")
 def v6(r: Roles) -> DataFrame:
     bundle = case_bundle(
-        r.queries().withColumn("open_count", F.lit(3)), r.vectors(), r.media(), r.frequency(), r.total(), "query_id", KEY, "outlet"
+        r.queries().withColumn("open_count", F.lit(3)), r.vectors(), *lookups(r), "query_id", KEY, "outlet"
     )
 
     def case(c):

@@ -114,7 +114,9 @@ def c7(r: Roles) -> DataFrame:
                           ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' END AS start_text
     FROM events""")
 def c8(r: Roles) -> DataFrame:
-    events = r.table("events", "event_id", "ts", "event_type").withColumn("moment", F.col("ts").cast("timestamp"))
+    # the wall time of the table is UTC, whatever the session zone is
+    instant = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")
+    events = r.table("events", "event_id", "ts", "event_type").withColumn("moment", instant)
     return events.select("event_id", M.render_moment("moment", F.col("event_type") == "view").alias("start_text"))
 
 

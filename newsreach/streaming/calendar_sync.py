@@ -53,19 +53,18 @@ def apply_batch(path: str, batch: DataFrame, key: Sequence[str] = EVENT_KEY, ord
 
 def sync_stream(
     stream: DataFrame, path: str, checkpoint: str, key: Sequence[str] = EVENT_KEY, order: str = "seq",
-    buckets: int = BUCKETS,
+    buckets: int = BUCKETS, every: str | None = None,
 ) -> StreamingQuery:
-    """Keep the event table up to date from a stream of fetched entries."""
+    """Keep the event table up to date from a stream of fetched entries.
+
+    Processes what is there and stops, or goes on in steps of ``every`` (such as "1 minute").
+    """
 
     def step(batch: DataFrame, _: int) -> None:
         apply_batch(path, batch, key, order, buckets)
 
-    return (
-        stream.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def rescore_state(
