@@ -20,6 +20,8 @@ from newsreach.llm.subwords import Examples, WordTable, scatter
 
 #: Documents the classifiers are fitted on, at most (in expectation).
 SAMPLE_ROWS = 2000
+#: Steps of gradient descent, at least; a small sample is gone through more often.
+LEAST_STEPS = 160
 SIZES = (1, 2, 3)
 BITS = 16
 UNKNOWN = "und"
@@ -103,7 +105,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rounds: in
     weights, bias, hits = np.zeros((1 << BITS, width)), np.zeros(width), np.zeros(width)
     place = {name: i for i, name in enumerate(classes)}
     target = code[[place[x] for x in data.labels]] if len(data) else np.zeros((0, width))
-    steps, seen = max(1, rounds * -(-int((data.sizes > 0).sum()) // batch)), 0
+    round_steps = max(1, -(-int((data.sizes > 0).sum()) // batch))
+    rounds, seen = max(rounds, -(-LEAST_STEPS // round_steps)), 0
+    steps = rounds * round_steps
     for step, (docs, bucket, count, share) in enumerate(data.batches(batch, rounds, seed) if width else ()):
         pace = rate * (1 - step / steps)
         word = np.repeat(np.arange(len(count)), count)

@@ -20,6 +20,8 @@ from newsreach.llm.subwords import Examples, WordTable, scatter
 
 #: Documents the model is fitted on, at most (in expectation).
 SAMPLE_ROWS = 3000
+#: Steps of gradient descent, at least; a small sample is gone through more often.
+LEAST_STEPS = 160
 SIZES = (2, 3, 4)
 BITS = 17
 AGAIN = "\x04again"
@@ -64,7 +66,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", dim: in
     target[np.arange(len(data)), (data.labels == "1").astype(int)] = 1
     if len(data):
         bias = np.log((target.sum(axis=0) + 1) / (len(data) + 2))
-    steps = max(1, rounds * -(-int((data.sizes > 0).sum()) // batch))
+    round_steps = max(1, -(-int((data.sizes > 0).sum()) // batch))
+    rounds = max(rounds, -(-LEAST_STEPS // round_steps))
+    steps = rounds * round_steps
     for step, (docs, bucket, count, share) in enumerate(data.batches(batch, rounds, seed)):
         pace = rate * (1 - step / steps)
         word = np.repeat(np.arange(len(count)), count)
