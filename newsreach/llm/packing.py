@@ -9,7 +9,9 @@ what is left of its classes in the end goes into shared sequences, largest piece
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,24 +41,55 @@ def cut(tokens: int, capacity: int = CAPACITY, short: int = SHORT) -> list[int]:
     return pieces + [rest] * (rest > 0)
 
 
+#: A word of plain letters with punctuation behind it: the tokenizers meant here lower-case it and part it there.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+PROBES = ("the", "The", "ÉTÉ", "straße", "don.", "end!!", "a,", "Ouwhea", "x")
+
+
+def byte_letters() -> dict[int, str]:
+    """Byte -> the letter that byte-level tokenizers write for it: itself if printable, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder(dict):
-    """White-space word -> its ids as little-endian 32-bit bytes, by a tokenizer whose tokens never hold white space."""
+    """White-space word -> its ids as little-endian 32-bit bytes, by a tokenizer whose tokens never hold white space.
 
-    def __init__(self, description: str, limit: int = 300_000):
+    Plain words skip normalisation and pre-tokenisation and go straight to the tokenizer's merges, if that gives
+    the library's own ids for probe words.
+    """
+
+    def __init__(self, description: str, limit: int = 500_000):
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_str(description), limit
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts. New words are encoded together, each once."""
-        if len(self) > self.limit:
-            self.clear()
-        lists = [text.replace("\n", " ").replace("\t", " ").split(" ") for text in texts]
-        fresh = [word for word in dict.fromkeys(word for words in lists for word in words) if word not in self]
-        for at in range(0, len(fresh), 5000):
-            run = fresh[at : at + 5000]
-            for word, found in zip(run, self.tokenizer.encode_batch_fast(run, add_special_tokens=False)):
-                self[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, words)) for words in lists]
+        self.letters = str.maketrans(byte_letters())
+        self.direct = True
+        self.direct = all(self[word] == self.whole(word) for word in PROBES)
+        self.clear()
+
+    def whole(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word) if self.direct else None
+        if plain is None:
+            found = self.whole(word)
+        else:
+            head, tail = plain.groups()
+            low = head.lower()
+            if tail or low != head:
+                found = self[low] + (self.whole(tail) if tail else b"")
+            else:
+                spelled = low.encode().decode("latin-1").translate(self.letters)
+                found = array("I", [token.id for token in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        if len(self) < self.limit:
+            self[word] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a whole text."""
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
 
 
 class Packer:
@@ -99,16 +132,6 @@ class Packer:
         self.open = {}
 
 
-def runs(texts: list[str], most_chars: int = 1 << 22) -> Iterator[slice]:
-    start = chars = 0
-    for at, text in enumerate(texts):
-        chars += len(text)
-        if chars >= most_chars:
-            yield slice(start, at + 1)
-            start, chars = at + 1, 0
-    yield slice(start, len(texts))
-
-
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of every document: where it starts, its length, the CRC-32 of its ids, its sequence and its place there.
 
@@ -135,13 +158,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
         for batch in batches:
             texts = [x if isinstance(x, str) else "" for x in batch["text"]]
             keys = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
-            for part in runs(texts):
-                for key, ids in zip(keys[part], encoder.encode(texts[part])):
-                    ids += end
-                    tokens, start, view = len(ids) // 4, 0, memoryview(ids)
-                    for length in cut(tokens, capacity):
-                        packer.add((key, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), tokens))
-                        start += length
+            for key, text in zip(keys, texts):
+                ids = encoder.encode(text) + end
+                tokens, start, view = len(ids) // 4, 0, memoryview(ids)
+                for length in cut(tokens, capacity):
+                    packer.add((key, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), tokens))
+                    start += length
             yield out()
         packer.finish()
         yield out()
