@@ -41,9 +41,11 @@ def _set(codes: Column) -> Column:
 
 
 def parse_draft(text: Column | str) -> Column:
-    """Read a stored draft; NULL when it is absent or unreadable."""
-    parsed = F.from_json(F.col(text) if isinstance(text, str) else text, DRAFT_SCHEMA, {"mode": "PERMISSIVE"})
-    return F.when(parsed["title"].isNotNull(), parsed)
+    """Read a stored draft; NULL when it is absent, unreadable or holds a field of a wrong type."""
+    schema = T.StructType([*DRAFT_SCHEMA.fields, T.StructField("__corrupt", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}
+    parsed = F.from_json(F.col(text) if isinstance(text, str) else text, schema, options)
+    return F.when(parsed["title"].isNotNull() & parsed["__corrupt"].isNull(), parsed.dropFields("__corrupt"))
 
 
 def has_value(code: str) -> Column:

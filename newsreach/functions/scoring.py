@@ -13,8 +13,9 @@ def _col(value: Column | str) -> Column:
 
 
 def clip01(value: Column | str) -> Column:
-    """Limit a prediction to 0..1 (F8)."""
-    return F.least(F.greatest(_col(value), F.lit(0.0)), F.lit(1.0))
+    """Limit a prediction to 0..1 (F8). A missing prediction (NULL or NaN) stays missing: NULL."""
+    found = _col(value)
+    return F.when(found.isNotNull() & ~F.isnan(found), F.least(F.greatest(found, F.lit(0.0)), F.lit(1.0)))
 
 
 def fill_category(value: Column | str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -85,12 +87,12 @@ def advised_text(plan_text: Column | str, actions: Column | str) -> Column:
 
 def presence_flag(title: Column | str, keywords: Sequence[str] = K.PRESENCE_KEYWORDS) -> Column:
     """1.0 where the title holds one of the presence keywords."""
-    return F.coalesce(_col(title), F.lit("")).rlike("|".join(keywords)).cast("float")
+    return F.coalesce(_col(title), F.lit("")).rlike("|".join(map(re.escape, keywords))).cast("float")
 
 
 def bare_name(name: Column | str, forms: Sequence[str] = K.LEGAL_FORMS) -> Column:
     """Company name without its legal form (C11)."""
-    bare = F.regexp_replace(_col(name), "|".join(forms), "")
+    bare = F.regexp_replace(_col(name), "|".join(map(re.escape, forms)), "")
     return F.regexp_replace(bare, r"(?U)^\s+|\s+$", "")
 
 

@@ -38,7 +38,7 @@ def value_histogram(df: DataFrame, value: str) -> DataFrame:
     """Rows per value, and whether the value is the (lowest) mode."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("rows"))
     mode = counts.agg(F.min_by(value, F.struct(-F.col("rows"), F.col(value)))).scalar()
-    return counts.withColumn("is_mode", F.coalesce(F.col(value) == mode, F.lit(False)))
+    return counts.withColumn("is_mode", F.col(value).eqNullSafe(mode))
 
 
 def zero_rate(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -79,10 +79,11 @@ def by_ordinal(
     """Outcome by whether a row is the entity's first, second, third, ....
 
     The ordinal of a row in an ordinary entity is a window; in an entity above ``hot_rows`` rows it is
-    the cumulative count of all earlier moments plus the position inside the moment.
+    the cumulative count of all earlier moments plus the position inside the moment. A row without a moment
+    has no ordinal and is left out, in an entity of any size.
     """
     order = [F.col(at), *[F.col(c) for c in tie]]
-    ordinary, hot = split_hot(df, entity, hot_rows)
+    ordinary, hot = split_hot(df.where(F.col(at).isNotNull()), entity, hot_rows)
     rows = ordinary.withColumn("ordinal", F.row_number().over(Window.partitionBy(*entity).orderBy(*order)))
     if hot is not None:
         rows = rows.unionByName(_hot_ordinals(hot, entity, at, order, hot_rows))

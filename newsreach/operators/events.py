@@ -230,13 +230,27 @@ def attach_draft(events: DataFrame, drafts: DataFrame, on: str = "id") -> DataFr
 
 
 def diff_versions(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys that are new, changed or gone between two versions of a table (U4)."""
-    rest = [c for c in old.columns if c not in keys]
-    before = old.select(*keys, F.xxhash64(*rest).alias("__old"))
-    after = new.select(*keys, F.xxhash64(*rest).alias("__new"))
+    """Keys that are new, changed or gone between two versions of a table (U4).
+
+    Columns of either version count; one that a version lacks is NULL there. NULL is a value and a key like any other.
+    """
+    rest = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c not in keys]
+
+    def digest(version: DataFrame) -> Column:
+        # The hash passes over NULL, so where the NULLs are is hashed too.
+        cells = [F.col(c) if c in version.columns else F.lit(None).cast("string") for c in rest]
+        return F.xxhash64(*[part for cell in cells for part in (cell, cell.isNull())])
+
+    before = old.select(*keys, digest(old).alias("__old"))
+    after = new.select(*[F.col(key).alias(f"__n_{key}") for key in keys], digest(new).alias("__new"))
+    same = F.lit(True)
+    for position, key in enumerate(keys):
+        pair = F.col(key).eqNullSafe(F.col(f"__n_{key}"))
+        same = pair if position == 0 else same & pair
     change = (
         F.when(F.col("__old").isNull(), "new")
         .when(F.col("__new").isNull(), "gone")
         .when(F.col("__old") != F.col("__new"), "changed")
     )
-    return before.join(after, list(keys), "full_outer").select(*keys, change.alias("change")).where("change IS NOT NULL")
+    named = [F.when(F.col("__old").isNull(), F.col(f"__n_{key}")).otherwise(F.col(key)).alias(key) for key in keys]
+    return before.join(after, same, "full_outer").select(*named, change.alias("change")).where("change IS NOT NULL")

@@ -96,7 +96,7 @@ def fit_gbt(df: DataFrame, target: str = "pv_score", column: str = "features", r
 
 
 def fit_forest(
-    df: DataFrame, target: str = "pv_score", column: str = "features", trees: int = K.FOREST_TREES, depth: int = 12
+    df: DataFrame, target: str = "pv_score", column: str = "features", trees: int = K.FOREST_TREES, depth: int = 30
 ) -> Model:
     """Random forest on the train rows."""
     return RandomForestRegressor(

@@ -168,15 +168,11 @@ def midrank(df: DataFrame, group: Sequence[str], value: str, out: str, hot_rows:
     """Add the mid-rank percentile of ``value`` inside ``group``.
 
     0 is the lowest, 1 the highest, ties share the middle, a group of one gets 0.5. NULL group keys form
-    one group. Values must not be NULL.
+    one group. A row whose value is NULL gets NULL and does not count for the others, whatever the size of
+    its group. Only the counts of (group, value) are ranked; the rows themselves are joined with them.
     """
-    ordinary, hot = split_hot(df, group, hot_rows)
-    window = Window.partitionBy(*group).orderBy(value)
-    ranked = ordinary.withColumn(out, (F.percent_rank().over(window) + F.cume_dist().over(window)) / 2)
-    if hot is None:
-        return ranked
-    table = rank_table(hot, group, value, hot_rows=hot_rows).select(*group, value, mid_percentile().alias(out))
-    return ranked.unionByName(join_groups(hot, table, [*group, value]))
+    table = rank_table(df, group, value, hot_rows=hot_rows).select(*group, value, mid_percentile().alias(out))
+    return join_groups(df, table, [*group, value], "left")
 
 
 def avg_rank(df: DataFrame, value: str, out: str, group: Sequence[str] = ()) -> DataFrame:

@@ -85,16 +85,17 @@ def hashed_embedding(
     return counted.withColumn(out, unit).drop("__words", "__counts", "__dense")
 
 
-def _codes(frame: pd.DataFrame, name: str, missing: float) -> np.ndarray:
-    return frame[name].astype("float64").fillna(missing).to_numpy()
+def _same_class(queries: pd.DataFrame, corpus: pd.DataFrame, name: str, null_matches_null: bool) -> np.ndarray:
+    """Whether query and corpus row have the same class, of any type; missing ones agree only if asked for."""
+    codes, _ = pd.factorize(pd.concat([queries[name], corpus[name]], ignore_index=True))
+    left, right = codes[: len(queries), None], codes[None, len(queries) :]
+    return (left == right) & ((left >= 0) | null_matches_null)
 
 
 def _scores(queries: pd.DataFrame, corpus: pd.DataFrame, q_vec: np.ndarray, c_vec: np.ndarray, bonus: Bonus) -> np.ndarray:
     scores = q_vec @ c_vec.T
     for name, weight in bonus.matches.items():
-        left = _codes(queries, name, -1.0)
-        right = _codes(corpus, name, -1.0 if bonus.null_matches_null else -2.0)
-        scores += weight * (left[:, None] == right[None, :])
+        scores += weight * _same_class(queries, corpus, name, bonus.null_matches_null)
     if bonus.reach:
         scores += bonus.reach * corpus[bonus.reach_column].to_numpy(dtype=np.float64)[None, :]
     return np.round(scores, SCORE_DECIMALS)
@@ -124,11 +125,15 @@ def _best_of_block(
     for start in range(0, len(queries), QUERY_STEP):
         part = slice(start, start + QUERY_STEP)
         scores = _scores(queries.iloc[part], corpus, q_vec[part], c_vec, bonus)
+        # A vector that gives no number is nobody's neighbour and must not push others out.
+        scores = np.where(np.isnan(scores), -np.inf, scores)
         if scores.shape[1] > k:
             cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
             row, col = np.nonzero(scores >= cut[:, None])
         else:
             row, col = (x.ravel() for x in np.indices(scores.shape))
+        real = scores[row, col] > -np.inf
+        row, col = row[real], col[real]
         keep = _keep_best(row, scores[row, col], [corpus[key].to_numpy()[col] for key in keys], k)
         rows.append(row[keep] + start)
         cols.append(col[keep])

@@ -168,3 +168,34 @@ def test_bootstrap_is_repeatable_and_brackets_the_gap(spark):
     assert (first.low, first.high) == pytest.approx((second.low, second.high))
     assert first.rounds == 40
     assert 0 < first.low < point < first.high
+
+
+@pytest.mark.parametrize("hot_rows", [0, 1_000_000])
+def test_null_values_have_no_rank_and_no_ordinal_at_any_size(spark, hot_rows):
+    from newsreach.operators import effects as E
+
+    df = spark.createDataFrame([(1, 1.0), (1, None), (1, 3.0), (1, 2.0)], "g int, v double")
+    got = {r.v: r.s for r in R.midrank(df, ["g"], "v", "s", hot_rows).collect()}
+    assert got[None] is None and round(got[1.0], 6) == round(1 / 6, 6) and got[3.0] == 1.0 and len(got) == 4
+    rows = spark.createDataFrame([(1, None, 1, 5.0), (1, 10, 2, 7.0), (1, 20, 3, 9.0)], "e int, at int, k int, o double")
+    found = {r.ordinal: r["median"] for r in E.by_ordinal(rows, ["e"], "at", ["k"], ["o"], hot_rows).collect()}
+    assert found == {1: 7.0, 2: 9.0}
+
+
+def test_small_wrong_answers_stay_right(spark):
+    from newsreach.functions import fields, scoring, text
+    from newsreach.operators import effects as E
+    from newsreach.operators import events
+
+    old = spark.createDataFrame([(1, None, "a"), (None, "x", "y")], "k int, p string, q string")
+    new = spark.createDataFrame([(1, "a", None), (None, "x", "y")], "k int, p string, q string")
+    assert [(r.k, r.change) for r in events.diff_versions(old, new, ["k"]).collect()] == [(1, "changed")]
+    assert [(r.k, r.change) for r in events.diff_versions(old, old.withColumn("z", F.lit(1)), ["k"]).where("k = 1").collect()] == [(1, "changed")]
+    one = spark.range(1)
+    nothing, nan, high = one.select(scoring.clip01(F.lit(None).cast("double")), scoring.clip01(F.lit(float("nan"))), scoring.clip01(F.lit(2.0))).first()
+    assert nothing is None and nan is None and high == 1.0
+    assert one.select(text.bare_name(F.lit("X(株)Y"), ["(株)"])).first()[0] == "XY"
+    drafts = spark.createDataFrame([('{"title":"x","partner":"nolist"}',), ('{"title":"x"}',)], "d string").select(fields.parse_draft("d").alias("p")).collect()
+    assert drafts[0].p is None and drafts[1].p.title == "x"
+    modes = {r.v: r.is_mode for r in E.value_histogram(spark.createDataFrame([(None,), (None,), (1,)], "v int"), "v").collect()}
+    assert modes == {None: True, 1: False}

@@ -145,3 +145,19 @@ def test_rerank_lifts_matches_and_is_stable(spark):
     assert [r.k for r in got] == [12, 10, 11]
     none = V.rerank(df.withColumn("open_count", F.lit(0)), "q", {"c": ("qc", "c"), "p": ("qp", "p")}, "open_count").orderBy("new_rank")
     assert [r.k for r in none.collect()] == [10, 11, 12, 13]
+
+
+def test_bad_vectors_and_text_classes_do_not_hide_neighbours():
+    import numpy as np
+    import pandas as pd
+
+    from newsreach.operators import vectors as V
+
+    same = V._same_class(pd.DataFrame({"c": ["a", None, "b"]}), pd.DataFrame({"c": ["b", None, "a"]}), "c", False)
+    assert same.tolist() == [[False, False, True], [False, False, False], [True, False, False]]
+    numbers = V._same_class(pd.DataFrame({"c": [-1.0, None]}), pd.DataFrame({"c": [None, -1.0]}), "c", False)
+    assert numbers.tolist() == [[False, True], [False, False]]
+    corpus = pd.DataFrame({"id": range(5), "v": [[1.0, 0.0], [np.nan, 0.0], [0.9, 0.0], [np.nan, 1.0], [0.5, 0.0]]})
+    queries = pd.DataFrame({"q": [1]})
+    got = V._best_of_block(queries, np.array([[1.0, 0.0]]), corpus, "v", ["id"], [], V.Bonus(matches={}, reach=0.0), 3)
+    assert got["id"].tolist() == [0, 2, 4]
