@@ -81,7 +81,7 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     shares = [i / count for i in range(1, count)]
     found = base.agg(F.percentile_approx(F.col("doc_id").cast("double"), shares, 10 * count)).first()[0] or []
-    borders = [float("-inf"), *sorted(set(found)), float("inf")]
+    borders = [float("-inf"), *(sorted(set(found)) or [0.0]), float("inf")]
     cut = Bucketizer(splits=borders, inputCol="place", outputCol="range", handleInvalid="keep")
     placed = cut.transform(base.withColumn("place", F.col("doc_id").cast("double")))
     return placed.select("doc_id", "text", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("range")).cast("int").alias("range"))
