@@ -82,6 +82,8 @@ BOOST_STEP = 0.03
 BOOST_FEATURES = "0.2"
 BOOST_SUBSAMPLE = 0.8
 BOOST_MIN_LEAF = 50
+BOOST_ROUNDS = 4000
+BOOST_PATIENCE = 100
 
 # Effect analysis
 MIN_PER_SIDE = 3

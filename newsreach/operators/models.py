@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Model
 from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     GBTRegressor,
     LinearRegression,
@@ -25,10 +25,13 @@ from newsreach.functions.scoring import clip01, fill_category
 from newsreach.functions.text import presence_flag
 from newsreach.operators.evaluate import melt_models, rmse, spearman
 from newsreach.operators.splits import split_sizes
-from newsreach.sources.workspace import materialize
+from newsreach.sources.workspace import materialize, shared_dir
 
 CATEGORIES = ("category", "place")
 
+# Spark's own number of bins; class columns with more ids get one per id
+LEAST_BINS = 32
+
 
 def features(df: DataFrame, vector: str = "embedding", title: str = "title", out: str = "features") -> DataFrame:
     """Vector, category, place and presence flag as one ML vector, in this order (M1)."""
@@ -85,24 +88,80 @@ def encode(df: DataFrame, encoder: Encoder, vector: str = "embedding", title: st
     return dense.drop("__vector", "__presence", *codes, *hot)
 
 
-def fit_gbt(df: DataFrame, target: str = "pv_score", column: str = "features", rounds: int = 100, depth: int = 5) -> Model:
-    """Gradient-boosted trees on the train rows, stopped early by the validation rows."""
-    used = df.where(F.col("split").isin("train", "valid")).withColumn("__valid", F.col("split") == "valid")
-    return GBTRegressor(
-        featuresCol=column, labelCol=target, predictionCol="gbt", maxIter=rounds, maxDepth=depth, stepSize=K.BOOST_STEP,
-        subsamplingRate=K.BOOST_SUBSAMPLE, featureSubsetStrategy=K.BOOST_FEATURES, minInstancesPerNode=K.BOOST_MIN_LEAF,
-        validationIndicatorCol="__valid", validationTol=0.0, seed=K.SEED,
-    ).fit(used)
+def with_nominal_classes(train: DataFrame, column: str = "features") -> tuple[DataFrame, int]:
+    """The rows with class ids declared as unordered, and the number of bins that trees need for them.
+
+    Ids must not be negative. Vectors are laid out as by ``features``: classes before the presence flag.
+    """
+    found = train.agg(
+        F.max(F.size(vector_to_array(column))).alias("size"), *[F.max(c).alias(c) for c in CATEGORIES], F.min(F.least(*CATEGORIES)).alias("least")
+    ).first()
+    if found["size"] is None:
+        raise ValueError("no train rows")
+    if found["least"] < 0:
+        raise ValueError("class ids must not be negative")
+    first = found["size"] - len(CATEGORIES) - 1
+    nominal = [{"idx": first + i, "name": c, "num_vals": int(found[c]) + 1} for i, c in enumerate(CATEGORIES)]
+    layout = {"ml_attr": {"attrs": {"nominal": nominal}, "num_attrs": found["size"]}}
+    bins = max(LEAST_BINS, *[n["num_vals"] for n in nominal])
+    return train.withColumn(column, F.col(column).alias(column, metadata=layout)), bins
+
+
+def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Round (from 1) of the least error before ``patience`` rounds without a better one; whether that end is reached."""
+    best = 0
+    for place, error in enumerate(errors):
+        if error < errors[best]:
+            best = place
+        elif place - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_gbt(
+    df: DataFrame, target: str = "pv_score", column: str = "features", rounds: int = K.BOOST_ROUNDS, depth: int = 5,
+    patience: int = K.BOOST_PATIENCE,
+) -> Model:
+    """Gradient-boosted trees on the train rows, up to the round that is best on the validation rows.
+
+    Fits of doubling length go on until ``patience`` rounds have brought nothing better or ``rounds`` are reached.
+    The trees of a shorter fit are the first ones of a longer fit, so a last fit ends at the best round. Without
+    validation rows all ``rounds`` are fitted.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        # the residuals' lineage grows with every round
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    train, bins = with_nominal_classes(df.where(F.col("split") == "train"), column)
+    valid = df.where(F.col("split") == "valid")
+
+    def boosted(length: int) -> Model:
+        return GBTRegressor(
+            featuresCol=column, labelCol=target, predictionCol="gbt", maxIter=length, maxDepth=depth, stepSize=K.BOOST_STEP,
+            subsamplingRate=K.BOOST_SUBSAMPLE, featureSubsetStrategy=K.BOOST_FEATURES, minInstancesPerNode=K.BOOST_MIN_LEAF,
+            maxBins=bins, seed=K.SEED,
+        ).fit(train)
+
+    if valid.isEmpty():
+        return boosted(rounds)
+    length = min(rounds, patience + max(1, patience // 4))
+    while True:
+        model = boosted(length)
+        best, ended = best_round(model.evaluateEachIteration(valid, "squared"), patience)
+        if ended or length == rounds:
+            return model if best == length else boosted(best)
+        length = min(rounds, 2 * length)
 
 
 def fit_forest(
     df: DataFrame, target: str = "pv_score", column: str = "features", trees: int = K.FOREST_TREES, depth: int = 30
 ) -> Model:
     """Random forest on the train rows."""
+    train, bins = with_nominal_classes(df.where(F.col("split") == "train"), column)
     return RandomForestRegressor(
         featuresCol=column, labelCol=target, predictionCol="forest", numTrees=trees, maxDepth=depth,
-        featureSubsetStrategy=K.FOREST_FEATURES, minInstancesPerNode=K.FOREST_MIN_LEAF, seed=K.SEED,
-    ).fit(df.where(F.col("split") == "train"))
+        featureSubsetStrategy=K.FOREST_FEATURES, minInstancesPerNode=K.FOREST_MIN_LEAF, maxBins=bins, seed=K.SEED,
+    ).fit(train)
 
 
 def fit_ridge(
@@ -138,16 +197,23 @@ def predict(model: Model, df: DataFrame, out: str) -> DataFrame:
 
 
 def save_run(
-    models: Mapping[str, Model], scored: DataFrame, path: str, meta: Mapping[str, object], target: str = "pv_score"
+    models: Mapping[str, Model], scored: DataFrame, path: str, meta: Mapping[str, object], target: str = "pv_score",
+    encoder: Encoder | None = None,
 ) -> DataFrame:
     """Store fitted models below ``path`` with a table of run data, and give that table back.
 
+    The one-hot ``encoder`` is stored with them, so that ``load_encoder`` makes new rows fit for the models.
+
     ``scored`` holds the predictions of every model and a ``split`` column; the table has the rank
     correlation of each model on the validation rows, split sizes, and ``meta``.
     """
     spark = scored.sparkSession
     for name, model in models.items():
         model.write().overwrite().save(f"{path}/{name}")
+    if encoder is not None:
+        encoder.model.write().overwrite().save(f"{path}/encoder")
+        widths = spark.createDataFrame(list(encoder.widths.items()), "name string, width int")
+        widths.coalesce(1).write.mode("overwrite").json(f"{path}/encoder-widths")
     valid = melt_models(scored.where(F.col("split") == "valid"), list(models), [target])
     quality = spearman(valid, "pred", target, ["model"]).select(
         F.concat(F.lit("valid_spearman_"), "model").alias("name"), F.col("spearman").cast("string").alias("value")
@@ -158,6 +224,12 @@ def save_run(
     return spark.read.schema("name string, value string").json(f"{path}/meta")
 
 
+def load_encoder(spark: SparkSession, path: str) -> Encoder:
+    """Reload the encoder of a run stored below ``path``."""
+    stored = {r["name"]: r["width"] for r in spark.read.schema("name string, width int").json(f"{path}/encoder-widths").collect()}
+    return Encoder({c: stored[c] for c in CATEGORIES}, load_model(spark, f"{path}/encoder"))
+
+
 def load_model(spark: SparkSession, path: str) -> Model:
     """Reload a stored model of any kind."""
     from pyspark.ml.util import DefaultParamsReader

@@ -172,7 +172,8 @@ def nearest(
     * A larger query set forms a grid: both sides are hashed into blocks of about ``block_rows`` rows and
       each (query block, corpus block) pair is one bounded group. Nothing passes through the driver.
 
-    ``stored`` says that ``queries`` is a stored table already.
+    ``stored`` says that ``queries`` is a stored table already. Vectors of another length than the longest query,
+    and those that give no number, have no neighbours and are none.
 
     Result: query id, corpus keys, carried columns, ``score`` and ``rank`` (1 = best; equal scores by key).
     """
@@ -200,6 +201,8 @@ def nearest(
 
     width = q.select(F.max(F.size(vector)).alias("w"), F.count(F.lit(1)).alias("n")).first()
     rows, dims = width["n"], width["w"] or 1
+    # vectors of another length cannot be compared
+    q, c = q.where(F.size(vector) == dims), c.where(F.size(vector) == dims)
     if rows * dims <= broadcast_cells:
         local = q.toPandas()
         if local.empty:

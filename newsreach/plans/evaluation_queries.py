@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -310,7 +311,7 @@ def metrics_of(scored: DataFrame, model: str) -> DataFrame:
 @query("M12_boosted_trees")
 def m12(r: Roles) -> DataFrame:
     rows = learning_rows(r)
-    return metrics_of(M.predict(M.fit_gbt(rows, rounds=20), rows, "gbt"), "gbt")
+    return metrics_of(M.predict(M.fit_gbt(rows), rows, "gbt"), "gbt")
 
 
 @query("M13_random_forest")
@@ -327,6 +328,23 @@ def m14(r: Roles) -> DataFrame:
     return metrics_of(M.predict(model, encoded, "ridge"), "ridge")
 
 
+@query("M14_two_features", f"""
+    WITH ordered AS (SELECT company_id, row_number() OVER (ORDER BY {hash_sql(K.SEED, 'company_id')}) - 1 AS p, count(*) OVER () AS n
+                     FROM (SELECT DISTINCT company_id FROM vectors)),
+    train AS (SELECT embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, pv_score AS y FROM vectors JOIN ordered USING (company_id)
+              WHERE p >= floor((0.2::DOUBLE + 0.1::DOUBLE) * n)),
+    sums AS (SELECT count(*) * var_pop(a) + 10 AS aa, count(*) * var_pop(b) + 10 AS bb, count(*) * covar_pop(a, b) AS ab,
+                    count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(b, y) AS by_ FROM train)
+    SELECT round((ay * bb - by_ * ab) / (aa * bb - ab * ab), 4) AS first, round((by_ * aa - ay * ab) / (aa * bb - ab * ab), 4) AS second
+    FROM sums""", "vectors")
+def m14_two(r: Roles) -> DataFrame:
+    """Ridge coefficients of two features beside the solution of the normal equations."""
+    pair = array_to_vector(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 2))
+    model, _ = M.fit_ridge(split_vectors(r).withColumn("dense", pair), alphas=(10.0,))
+    found = [tuple(float(x) for x in model.coefficients)]
+    return rounded(r.spark.createDataFrame(found, "first double, second double"), "first", "second", digits=4)
+
+
 @query("M16_predictions")
 def m16(r: Roles) -> DataFrame:
     rows = learning_rows(r)
@@ -354,6 +372,19 @@ def m19(r: Roles) -> DataFrame:
     encoded = M.encode(rows, M.fit_encoder(rows.where("split = 'train'")))
     (model, alpha), seconds = M.timed(M.fit_ridge, encoded)
     path = fresh_path(r.spark, "run")
-    table = M.save_run({"ridge": model}, M.predict(model, encoded, "ridge"), path, {"alpha": alpha, "timed": seconds > 0})
-    M.load_model(r.spark, f"{path}/ridge")
-    return table
+    return M.save_run({"ridge": model}, M.predict(model, encoded, "ridge"), path, {"alpha": alpha, "timed": seconds > 0})
+
+
+@query("M19_reloaded_run", "SELECT release_id, true AS same FROM vectors", "vectors")
+def m19_reloaded(r: Roles) -> DataFrame:
+    """Every row predicted by the fitted model and by the stored and reloaded encoder and model."""
+    rows = learning_rows(r)
+    encoder = M.fit_encoder(rows.where("split = 'train'"))
+    encoded = M.encode(rows, encoder)
+    model, alpha = M.fit_ridge(encoded)
+    fitted = M.predict(model, encoded, "ridge")
+    path = fresh_path(r.spark, "run")
+    M.save_run({"ridge": model}, fitted, path, {"alpha": alpha}, encoder=encoder)
+    again = M.predict(M.load_model(r.spark, f"{path}/ridge"), M.encode(rows, M.load_encoder(r.spark, path)), "ridge")
+    pairs = fitted.select("release_id", "ridge").join(again.select("release_id", F.col("ridge").alias("again")), "release_id")
+    return pairs.select("release_id", F.col("ridge").eqNullSafe(F.col("again")).alias("same"))

@@ -44,6 +44,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> bool:
+    """Delete a folder that is not needed any more; whether there was one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+
+
 def drop_materialized(spark: SparkSession) -> int:
     """Delete the intermediate tables this process has stored; gives their number.
 
@@ -51,6 +57,5 @@ def drop_materialized(spark: SparkSession) -> int:
     """
     dropped = 0
     while _stored:
-        target = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
-        dropped += bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
+        dropped += discard(spark, _stored.pop())
     return dropped

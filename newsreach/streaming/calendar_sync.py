@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from newsreach.operators.events import EVENT_KEY, rescore_stale, upsert_events
-from newsreach.sources.workspace import fresh_path
+from newsreach.operators.events import EVENT_KEY, rescore_stale, stale, upsert_events
+from newsreach.sources.workspace import discard, fresh_path
 
 BUCKETS = 64
 
@@ -34,21 +34,25 @@ def apply_batch(path: str, batch: DataFrame, key: Sequence[str] = EVENT_KEY, ord
     """Upsert a batch into the bucketed table; buckets the batch does not touch are neither read nor written.
 
     The merged buckets are first written to the shared folder and then replace the old ones. Because the
-    upsert is idempotent, a batch that is repeated after a failure gives the same table.
+    upsert is idempotent, a batch that is repeated after a failure gives the same table. Rows without an external id
+    are inserted unless their id is stored already; such a row without an id is inserted each time.
     """
     spark = batch.sparkSession
-    keyed = batch.where(F.col(key[-1]).isNotNull())
-    touched = [r["bucket"] for r in keyed.select(bucket_of(key, buckets).alias("bucket")).distinct().collect()]
+    touched = [r["bucket"] for r in batch.select(bucket_of(key, buckets).alias("bucket")).distinct().collect()]
     if not touched:
         return
     stored = spark.read.parquet(path)
     current = stored.where(F.col("bucket").isin(touched)).drop("bucket")
-    merged = upsert_events(current, keyed, key, order).withColumn("bucket", bucket_of(key, buckets))
+    own = current.where(F.col(key[-1]).isNull()).select("id")
+    loose = batch.where(F.col(key[-1]).isNull()).join(own, "id", "left_anti")
+    fresh = batch.where(F.col(key[-1]).isNotNull()).unionByName(loose)
+    merged = upsert_events(current, fresh, key, order).withColumn("bucket", bucket_of(key, buckets))
     staging = fresh_path(spark, "event-batch")
     merged.repartition("bucket").write.partitionBy("bucket").parquet(staging)
     spark.read.schema(merged.schema).parquet(staging).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("bucket").parquet(path)
+    discard(spark, staging)
 
 
 def sync_stream(
@@ -71,10 +75,15 @@ def rescore_state(
     spark: SparkSession, path: str, corpus: DataFrame, keys: Sequence[str],
     embed_fn: Callable[[DataFrame], DataFrame], key: Sequence[str] = EVENT_KEY, buckets: int = BUCKETS,
 ) -> None:
-    """Re-score the stale events of the table and store the result."""
-    scored = rescore_stale(read_state(spark, path), corpus, keys, embed_fn)
+    """Re-score the stale events of the table and store the result; only their buckets are written."""
+    stored = spark.read.parquet(path)
+    touched = [r["bucket"] for r in stale(stored).select("bucket").distinct().collect()]
+    if not touched:
+        return
+    scored = rescore_stale(stored.where(F.col("bucket").isin(touched)).drop("bucket"), corpus, keys, embed_fn)
     staging = fresh_path(spark, "event-scores")
     scored.withColumn("bucket", bucket_of(key, buckets)).repartition("bucket").write.partitionBy("bucket").parquet(staging)
     spark.read.parquet(staging).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "bucket"
     ).parquet(path)
+    discard(spark, staging)

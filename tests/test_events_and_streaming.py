@@ -144,6 +144,17 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     assert sorted(map(str, read_state(spark, state).select(*target.columns).collect())) == want
 
 
+def test_stream_inserts_rows_without_external_id_once(spark, tmp_path):
+    target = stored(spark, ("1", "a", "old", "", 0.5), ("2", None, "own", "", 0.1))
+    new = batch(spark, ("7", "a", "new", ""), ("8", None, "loose", ""), ("9", None, "loose", ""))
+    want = sorted(map(str, E.upsert_events(target, new).collect()))
+    state = str(tmp_path / "state")
+    create_state(target, state, buckets=4)
+    for _ in range(2):
+        apply_batch(state, new, buckets=4)
+        assert sorted(map(str, read_state(spark, state).select(*target.columns).collect())) == want
+
+
 def test_rescored_state(spark, tmp_path):
     state = str(tmp_path / "state")
     create_state(stored(spark, ("1", "a", "t", "", None), ("2", "b", "t", "", None)), state, buckets=4)

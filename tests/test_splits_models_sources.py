@@ -90,15 +90,21 @@ def test_models_beat_the_mean_and_survive_storage(spark, learning, tmp_path):
     assert len(rows.first().features) == 9
     mean = float(np.sqrt(np.mean((y[200:] - y[:160].mean()) ** 2)))
     forest = M.predict(M.fit_forest(rows, trees=20, depth=6), rows, "forest")
-    boosted = M.predict(M.fit_gbt(rows, rounds=40, depth=3), rows, "gbt")
+    model = M.fit_gbt(rows, rounds=40, depth=3, patience=8)
+    boosted = M.predict(model, rows, "gbt")
+    errors = model.evaluateEachIteration(rows.where("split = 'valid'"), "squared")
+    assert len(errors) <= 40 and min(errors) == errors[-1]
+    assert M.best_round([3.0, 2.0, 2.5, 2.4, 1.0], 2) == (2, True) and M.best_round([3.0, 2.0, 2.5], 2) == (2, False)
     assert error(forest, "forest") < mean and error(boosted, "gbt") < mean
     encoded = M.encode(df, M.fit_encoder(df.where("split = 'train'")))
     ridge, alpha = M.fit_ridge(encoded)
     scored = M.predict(ridge, encoded, "ridge")
     assert error(scored, "ridge") < mean / 2
-    table = {r.name: r.value for r in M.save_run({"ridge": ridge}, scored, str(tmp_path / "run"), {"alpha": alpha}).collect()}
+    stored = M.save_run({"ridge": ridge}, scored, str(tmp_path / "run"), {"alpha": alpha}, encoder=M.fit_encoder(df.where("split = 'train'")))
+    table = {r.name: r.value for r in stored.collect()}
     assert float(table["valid_spearman_ridge"]) > 0.8 and table["rows_train"] == "160" and float(table["alpha"]) == alpha
-    again = M.predict(M.load_model(spark, str(tmp_path / "run" / "ridge")), encoded, "ridge")
+    afresh = M.encode(df, M.load_encoder(spark, str(tmp_path / "run")))
+    again = M.predict(M.load_model(spark, str(tmp_path / "run" / "ridge")), afresh, "ridge")
     assert error(again, "ridge") == pytest.approx(error(scored, "ridge"))
 
 
