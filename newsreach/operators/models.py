@@ -169,11 +169,11 @@ def fit_ridge(
 ) -> tuple[LinearRegressionModel, float]:
     """Ridge regression; the penalty is the one with the lowest error on the validation rows.
 
-    Spark divides the squared error by n and the target by its deviation, hence the factor on alpha.
+    Spark divides the squared error by n and the target by its deviation (over n, not n - 1), hence the factor on alpha.
     """
     rows = materialize(df.where(F.col("split").isin("train", "valid")).select(column, target, "split"), "ridge-rows")
     train, valid = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "valid")
-    stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev(target).alias("sd")).first()
+    stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("sd")).first()
     fitted: dict[float, LinearRegressionModel] = {}
     for alpha in alphas:
         fitted[alpha] = LinearRegression(

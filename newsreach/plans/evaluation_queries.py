@@ -311,7 +311,7 @@ def metrics_of(scored: DataFrame, model: str) -> DataFrame:
 @query("M12_boosted_trees")
 def m12(r: Roles) -> DataFrame:
     rows = learning_rows(r)
-    return metrics_of(M.predict(M.fit_gbt(rows), rows, "gbt"), "gbt")
+    return metrics_of(M.predict(M.fit_gbt(rows, rounds=100, patience=20), rows, "gbt"), "gbt")
 
 
 @query("M13_random_forest")
@@ -335,14 +335,14 @@ def m14(r: Roles) -> DataFrame:
               WHERE p >= floor((0.2::DOUBLE + 0.1::DOUBLE) * n)),
     sums AS (SELECT count(*) * var_pop(a) + 10 AS aa, count(*) * var_pop(b) + 10 AS bb, count(*) * covar_pop(a, b) AS ab,
                     count(*) * covar_pop(a, y) AS ay, count(*) * covar_pop(b, y) AS by_ FROM train)
-    SELECT round((ay * bb - by_ * ab) / (aa * bb - ab * ab), 4) AS first, round((by_ * aa - ay * ab) / (aa * bb - ab * ab), 4) AS second
+    SELECT round((ay * bb - by_ * ab) / (aa * bb - ab * ab), 9) AS first, round((by_ * aa - ay * ab) / (aa * bb - ab * ab), 9) AS second
     FROM sums""", "vectors")
 def m14_two(r: Roles) -> DataFrame:
     """Ridge coefficients of two features beside the solution of the normal equations."""
     pair = array_to_vector(F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 2))
     model, _ = M.fit_ridge(split_vectors(r).withColumn("dense", pair), alphas=(10.0,))
     found = [tuple(float(x) for x in model.coefficients)]
-    return rounded(r.spark.createDataFrame(found, "first double, second double"), "first", "second", digits=4)
+    return rounded(r.spark.createDataFrame(found, "first double, second double"), "first", "second", digits=9)
 
 
 @query("M16_predictions")
