@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from newsreach.llm import ann, components, fingerprints, language, licenses, near_duplicates, packing, pieces, quality, toxicity, warc
+from newsreach.llm import ann, components, fingerprints, language, licenses, near_duplicates, packing, pieces, quality, similar_texts, toxicity, warc
 from newsreach.llm.queries import PIECE_MODEL, WORD_BPE
 from newsreach.llm.rows import table
 from newsreach.sources.workspace import fresh_path
@@ -305,3 +305,32 @@ def test_pipeline_keeps_columns_and_one_of_each_group(spark, tables, docs):
     repeated = docs.union(docs.limit(3))
     assert corpus_pipeline.near_duplicate_filter(spark, repeated, tables).count() == corpus_pipeline.near_duplicate_filter(spark, docs, tables).count()
     assert corpus_pipeline.run(spark, tables).columns == [x.split()[0] for x in packing.PIECES.split(", ")]
+
+
+def test_pipeline_removes_near_copies_by_exact_shingle_similarity(spark, tables):
+    """Kept texts against brute-force Jaccard similarity of five-word shingles, over all pairs."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(30, 300))]
+        texts.append(" ".join(words))
+        for edits in range(1, 9):
+            copy = list(words)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += ["a b c", "A  b c", "a b d", "one two three four five", None, ""]
+    sets = []
+    for text in texts:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    name = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and name[i] != name[j]:
+                old, new = max(name[i], name[j]), min(name[i], name[j])
+                name = [new if x == old else x for x in name]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_filter(spark, rows, tables).collect())
+    assert kept == sorted(set(name)) and 12 < len(kept) < len(texts) - 30
+    assert similar_texts.similar_texts(rows.limit(0)).count() == 0
