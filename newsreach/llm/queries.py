@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsreach.llm import ann, fingerprints, language, licenses, near_duplicates, packing, pieces, quality, toxicity, warc
+from newsreach.llm import (
+    ann, fingerprints, html_text, language, lexical, licenses, near_duplicates, packing, periodic, pieces, quality, toxicity, warc,
+)
 from newsreach.llm.rows import table
 
 #: Where the public tokenizers' vocabularies lie; parameters of the operators that read them.
@@ -57,6 +59,18 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, language.fit_from_documents(docs))
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extracted(table(spark, folder, "pages"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(table(spark, folder, "documents"), echo=True))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pruned_graph_search": op1_pruned_graph_search,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -68,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_html_text": op12_html_text,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_ranked_search": lexical.RANKED_SQL}
