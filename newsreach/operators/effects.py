@@ -79,27 +79,29 @@ def by_ordinal(
     """Outcome by whether a row is the entity's first, second, third, ....
 
     The ordinal of a row in an ordinary entity is a window; in an entity above ``hot_rows`` rows it is
-    the cumulative count of all earlier moments plus the position inside the moment. A row without a moment
+    the cumulative count of all rows before it by (moment, ties), cut into bands. A row without a moment
     has no ordinal and is left out, in an entity of any size.
     """
     order = [F.col(at), *[F.col(c) for c in tie]]
     ordinary, hot = split_hot(df.where(F.col(at).isNotNull()), entity, hot_rows)
     rows = ordinary.withColumn("ordinal", F.row_number().over(Window.partitionBy(*entity).orderBy(*order)))
     if hot is not None:
-        rows = rows.unionByName(_hot_ordinals(hot, entity, at, order, hot_rows))
+        rows = rows.unionByName(_hot_ordinals(hot, entity, order, hot_rows))
     long = melt(rows, outcomes, ["ordinal"])
     return quantiles(
         long, ["ordinal", "metric"], "value", {"median": 0.5}, extra={"mean": mean_of("value")}, hot_rows=hot_rows
     )
 
 
-def _hot_ordinals(hot: DataFrame, entity: Sequence[str], at: str, order: Sequence[Column], hot_rows: int) -> DataFrame:
-    before = rank_table(hot, entity, at, hot_rows=hot_rows).select(*entity, at, F.col("before").alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(*entity, at).orderBy(*order))
+def _hot_ordinals(hot: DataFrame, entity: Sequence[str], order: Sequence[Column], hot_rows: int) -> DataFrame:
+    """Ordinals from the ranks of (moment, ties), so that rows of one moment are split as well."""
+    placed = hot.withColumn("__order", F.struct(*order))
+    before = rank_table(placed, entity, "__order", hot_rows=hot_rows).select(*entity, "__order", F.col("before").alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*entity, "__order").orderBy("__order"))
     return (
-        join_groups(hot.withColumn("__in", inside), before, [*entity, at])
+        join_groups(placed.withColumn("__in", inside), before, [*entity, "__order"])
         .withColumn("ordinal", (F.col("__before") + F.col("__in")).cast("int"))
-        .drop("__in", "__before")
+        .drop("__in", "__before", "__order")
     )
 
 

@@ -8,12 +8,13 @@ fine for ordinary groups and fatal for one that holds a third of the table, or f
    counts are written to the shared folder, so everything that feeds them is computed once.
 2. The group sizes are measured on the stored counts. Groups of at most ``HOT_ROWS`` distinct values take
    a plain window, whose size is thereby bounded. A short table needs no more than its row count for that.
-3. Larger groups, if there are any, are cut along the value axis into bands by a fixed, order-preserving
-   function. A cumulative count runs inside each band and the count of all lower bands is added. The list
-   of such groups is a stored table of known size, so Spark broadcasts it when it is small and shuffles
-   otherwise; no hint forces either.
+3. Larger groups, if there are any, are cut into bands of about equally many distinct values: Spark samples
+   the counted table for splitters and deals its rows by (group, value) range. The band of each row is written
+   with it. A cumulative count runs inside each band and the count of all lower bands is added. Any type that
+   has an order will do, also a struct of a moment and what breaks its ties. The list of such groups is a
+   stored table of known size, so Spark broadcasts it when it is small and shuffles otherwise.
 
-Bands depend on the data alone, so a task that is computed again after a loss gets the same rows.
+Bands are stored, so a task that is computed again after a loss reads the same ones.
 """
 
 from __future__ import annotations
@@ -22,29 +23,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from newsreach.sources.workspace import materialize
 
 HOT_ROWS = 1_000_000
 
-# 4096 buckets per doubling of the value, with full resolution down to 2**-20.
-STEPS_PER_OCTAVE = 4096.0
-SMALLEST = 2.0**20
-
-
-def value_bucket(column: Column, dtype: T.DataType) -> Column:
-    """A coarse, order-preserving integer (or date, or prefix) of a value."""
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_trunc("hour", column)
-    if isinstance(dtype, T.StringType):
-        return F.left(column, F.lit(4))
-    if isinstance(dtype, T.DateType):
-        return column
-    value = column.cast("double")
-    scaled = F.signum(value) * F.log2(F.abs(value) * F.lit(SMALLEST) + 1) * F.lit(STEPS_PER_OCTAVE)
-    # NaN is the largest value in Spark's order
-    return F.when(F.isnan(value), F.lit(2**62)).otherwise(F.floor(scaled))
+# Distinct values of a band of a hot group, about
+BAND_ROWS = 250_000
+LEAST_BANDS = 8
 
 
 def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -75,9 +61,7 @@ def hot_keys(stored: DataFrame, group: Sequence[str], hot_rows: int) -> DataFram
     keys = [F.col(name).alias(f"__h_{name}") for name in group]
     hot = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows)
     found = materialize(hot, "hot-groups")
-    if found.count() == 0:
-        return None
-    return found.drop("__rows").withColumn("__hot", F.lit(True))
+    return found if found.count() else None
 
 
 def split_hot(
@@ -95,12 +79,18 @@ def split_hot(
     return stored.join(hot, same, "left_anti"), stored.join(hot, same, "left_semi")
 
 
+def banded(rows: DataFrame, group: Sequence[str], value: str, size: int) -> DataFrame:
+    """The rows with a stored ``__band`` that ascends with (group, value); ``size`` is their number."""
+    bands = max(LEAST_BANDS, -(-size // BAND_ROWS))
+    ranged = rows.repartitionByRange(bands, *[F.col(name) for name in [*group, value]])
+    return materialize(ranged.withColumn("__band", F.spark_partition_id()), "bands")
+
+
 def rank_table(
     df: DataFrame,
     group: Sequence[str],
     value: str,
     weight: str | None = None,
-    bucket: Column | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """One row per group and distinct value: ``cnt`` rows, ``before`` rows with a smaller value, group size ``n``.
@@ -112,44 +102,59 @@ def rank_table(
         df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value)).agg(amount.alias("cnt")), "counts"
     )
     hot = hot_keys(counts, group, hot_rows)
-    start, here = Window.unboundedPreceding, Window.currentRow
     if hot is None:
-        whole = Window.partitionBy(*group)
-        before = F.sum("cnt").over(whole.orderBy(value).rowsBetween(start, here)) - F.col("cnt")
-        return counts.select(*group, value, "cnt", before.alias("before"), F.sum("cnt").over(whole).alias("n"))
-    band = value_bucket(F.col(value), df.schema[value].dataType) if bucket is None else bucket
-    if group:
-        listed = counts.join(hot, _same(group, "__h_"), "left")
-        # ordinary groups have the single band NULL
-        marked = listed.select(*group, value, "cnt", F.when(F.col("__hot"), band).alias("__band"))
-    else:
-        marked = counts.withColumn("__band", band)
-    inside = Window.partitionBy(*group, "__band")
-    running = marked.withColumns(
-        {
-            "__inside": F.sum("cnt").over(inside.orderBy(value).rowsBetween(start, here)) - F.col("cnt"),
-            "__size": F.sum("cnt").over(inside),
-        }
-    )
+        return _windowed(counts, group, value)
+    size = hot.agg(F.sum("__rows")).first()[0]
+    if not group:
+        return _cumulated(banded(counts, group, value, size), group, value)
+    same = _same(group, "__h_")
+    large = _cumulated(banded(counts.join(hot, same, "left_semi"), group, value, size), group, value)
+    return _windowed(counts.join(hot, same, "left_anti"), group, value).unionByName(large)
+
+
+def _windowed(counts: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    whole = Window.partitionBy(*group)
+    upto = F.sum("cnt").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return counts.select(*group, value, "cnt", (upto - F.col("cnt")).alias("before"), F.sum("cnt").over(whole).alias("n"))
+
+
+def _cumulated(marked: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Ranks from cumulative counts inside the bands and over the bands of a group, of which there are few."""
+    start, here = Window.unboundedPreceding, Window.currentRow
+    inside = Window.partitionBy(*group, "__band").orderBy(value).rowsBetween(start, here)
+    running = marked.withColumn("__inside", F.sum("cnt").over(inside) - F.col("cnt"))
     lower = Window.partitionBy(*group).orderBy("__band").rowsBetween(start, here)
     below = (
-        marked.where(F.col("__band").isNotNull())
-        .groupBy(*group, "__band")
+        marked.groupBy(*group, "__band")
         .agg(F.sum("cnt").alias("__total"))
         .select(
             *[F.col(name).alias(f"__b_{name}") for name in [*group, "__band"]],
             (F.sum("__total").over(lower) - F.col("__total")).alias("__below"),
-            F.sum("__total").over(Window.partitionBy(*group)).alias("__n"),
+            F.sum("__total").over(Window.partitionBy(*group)).alias("n"),
         )
     )
-    placed = running.join(below, _same([*group, "__band"], "__b_"), "left")
-    return placed.select(
-        *group,
-        value,
-        "cnt",
-        (F.coalesce("__below", F.lit(0)) + F.col("__inside")).alias("before"),
-        F.coalesce("__n", "__size").alias("n"),
-    )
+    placed = running.join(below, _same([*group, "__band"], "__b_"))
+    return placed.select(*group, value, "cnt", (F.col("__below") + F.col("__inside")).alias("before"), "n")
+
+
+def with_ranks(df: DataFrame, group: Sequence[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Rows with ``cnt``, ``before`` and ``n`` of ``rank_table`` for their value.
+
+    The rows are stored once and measured. If no group has more than ``hot_rows`` of them, one window adds the
+    figures; otherwise the counted values are ranked and joined to the rows. Only for a row with a value do
+    the figures mean anything.
+    """
+    stored = materialize(df, "ranked-rows")
+    if hot_keys(stored, group, hot_rows) is None:
+        whole = Window.partitionBy(*group)
+        ordered = whole.orderBy(F.col(value).asc_nulls_last())
+        before = F.rank().over(ordered) - 1
+        upto = F.count(value).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return stored.withColumns({"__upto": upto, "before": before.cast("long"), "n": F.count(value).over(whole)}).withColumn(
+            "cnt", F.col("__upto") - F.col("before")
+        ).drop("__upto")
+    table = rank_table(stored, group, value, hot_rows=hot_rows)
+    return join_groups(stored, table, [*group, value], "left")
 
 
 def average_rank(cnt: str = "cnt", before: str = "before") -> Column:
@@ -164,21 +169,24 @@ def mid_percentile() -> Column:
     return (low + high) / 2
 
 
+def _add_rank(df: DataFrame, group: Sequence[str], value: str, out: str, figure: Column, hot_rows: int) -> DataFrame:
+    ranked = with_ranks(df, group, value, hot_rows)
+    return ranked.select(*[c for c in df.columns if c != out], F.when(F.col(value).isNotNull(), figure).alias(out))
+
+
 def midrank(df: DataFrame, group: Sequence[str], value: str, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the mid-rank percentile of ``value`` inside ``group``.
 
     0 is the lowest, 1 the highest, ties share the middle, a group of one gets 0.5. NULL group keys form
     one group. A row whose value is NULL gets NULL and does not count for the others, whatever the size of
-    its group. Only the counts of (group, value) are ranked; the rows themselves are joined with them.
+    its group. The rows are stored for it once, so pass no more columns than needed.
     """
-    table = rank_table(df, group, value, hot_rows=hot_rows).select(*group, value, mid_percentile().alias(out))
-    return join_groups(df, table, [*group, value], "left")
+    return _add_rank(df, group, value, out, mid_percentile(), hot_rows)
 
 
-def avg_rank(df: DataFrame, value: str, out: str, group: Sequence[str] = ()) -> DataFrame:
+def avg_rank(df: DataFrame, value: str, out: str, group: Sequence[str] = (), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the rank of ``value`` over all rows (or per group), ties averaged."""
-    table = rank_table(df, group, value).select(*group, value, average_rank().alias(out))
-    return join_groups(df, table, [*group, value], "left")
+    return _add_rank(df, group, value, out, average_rank(), hot_rows)
 
 
 def quantiles(
@@ -187,7 +195,6 @@ def quantiles(
     value: str,
     probabilities: Mapping[str, float],
     weight: str | None = None,
-    bucket: Column | None = None,
     extra: Mapping[str, Column] | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
@@ -195,7 +202,7 @@ def quantiles(
 
     ``extra`` are further aggregates over the distinct values, each of which stands for ``cnt`` rows.
     """
-    table = rank_table(df, group, value, weight, bucket, hot_rows)
+    table = rank_table(df, group, value, weight, hot_rows)
     number, start, end = F.col(value).cast("double"), F.col("before"), F.col("before") + F.col("cnt")
     picks, results = [], []
     for name, p in probabilities.items():

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsreach import constants as K
-from newsreach.operators.ranks import quantiles, rank_table
+from newsreach.operators.ranks import quantiles, with_ranks
 
 
 def shuffle_key(seed: int, keys: Sequence[str]) -> Column:
@@ -19,12 +19,10 @@ def shuffle_key(seed: int, keys: Sequence[str]) -> Column:
 def shuffled_position(df: DataFrame, keys: Sequence[str], seed: int, out: str = "position") -> DataFrame:
     """Number rows 0..n-1 in a seeded random order, and add the row count as ``n``.
 
-    The hash is uniform, so its first characters cut the rows into even bands and no task sorts them all.
-    ``keys`` must be unique.
+    A long table is ranked in bands of the hash, so no task sorts it all. ``keys`` must be unique.
     """
-    hashed = df.withColumn("__hash", shuffle_key(seed, keys))
-    table = rank_table(hashed, [], "__hash", bucket=F.left("__hash", F.lit(4)))
-    return hashed.join(table.select("__hash", F.col("before").alias(out), "n"), "__hash").drop("__hash")
+    ranked = with_ranks(df.withColumn("__hash", shuffle_key(seed, keys)), [], "__hash")
+    return ranked.withColumnRenamed("before", out).drop("__hash", "cnt")
 
 
 def entity_split(
@@ -43,13 +41,9 @@ def deploy_split(df: DataFrame, entity: Sequence[str], seed: int = K.SEED, valid
     return entity_split(df, entity, seed, test=0.0, valid=valid)
 
 
-HOUR = 3_600_000_000
-
-
 def _cut(rows: DataFrame, keep: float) -> Column:
-    """Interpolated quantile of the microseconds in ``__us``, found in bands of one hour."""
-    bands = F.floor(F.col("__us") / HOUR)
-    return quantiles(rows.select("__us"), [], "__us", {"cut": keep}, bucket=bands).select("cut").scalar()
+    """Interpolated quantile of the microseconds in ``__us``."""
+    return quantiles(rows.select("__us"), [], "__us", {"cut": keep}).select("cut").scalar()
 
 
 def temporal_split(

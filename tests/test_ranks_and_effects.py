@@ -68,11 +68,47 @@ def test_average_rank_of_ties(spark):
     assert got == {10: 1.0, 20: 2.5, 30: 4.0, None: None}
 
 
-def test_value_buckets_keep_the_order(spark):
-    values = [float("-inf"), -1e12, -3.5, -1e-9, 0.0, 1e-9, 0.5, 0.50001, 1.0, 7.0, 1e9, float("inf"), float("nan")]
-    df = spark.createDataFrame([(v,) for v in values[1:-2] + [values[-1]]], "v double")
-    got = [r.b for r in df.select(R.value_bucket(F.col("v"), df.schema["v"].dataType).alias("b")).collect()]
-    assert got == sorted(got)
+def test_both_paths_give_the_same_rows_with_missing_values(spark):
+    rows = [("a", 1.0), ("a", None), ("a", 1.0), ("a", 3.0), (None, 2.0), (None, None), ("b", None), ("c", float("nan")), ("c", 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    one, other = (sorted(map(repr, R.midrank(df, ["g"], "v", "s", hot).collect())) for hot in (10**6, 0))
+    assert one == other and len(one) == len(rows)
+    assert sorted(map(repr, R.avg_rank(df, "v", "s", hot_rows=0).collect())) == sorted(map(repr, R.avg_rank(df, "v", "s").collect()))
+
+
+def test_input_of_a_rank_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(500).selectExpr("id % 7 as g", "id * 37 % 101 as v").mapInPandas(count, "g long, v long")
+    assert R.midrank(df, ["g"], "v", "s").count() == 500 and seen.value == 500
+
+
+@pytest.mark.parametrize("kind", ["prefix", "octave", "moment"])
+def test_bands_are_even_whatever_the_values(spark, kind):
+    """Texts with one prefix, doubles of one octave and rows of one moment are split like any others."""
+    value = {
+        "prefix": F.concat(F.lit("the same long prefix of all "), F.lpad("id", 8, "0")),
+        "octave": F.lit(1.0) + F.col("id") / F.lit(10**9),
+        "moment": F.struct(F.lit("2024-01-01").cast("date").alias("at"), F.col("id").alias("tie")),
+    }[kind]
+    df = spark.range(40000).select(F.lit("one").alias("g"), value.alias("v"), "id").repartition(6)
+    sizes = [r["count"] for r in R.banded(df, ["g"], "v", 40000).groupBy("__band").count().collect()]
+    assert len(sizes) == R.LEAST_BANDS and max(sizes) <= 2 * 40000 / R.LEAST_BANDS
+    table = R.rank_table(df, ["g"], "v", hot_rows=0)
+    assert table.where("n <> 40000 or cnt <> 1").count() == 0
+    assert df.join(table, "v").where("before <> id").count() == 0
+
+
+def test_ordinals_of_one_day_are_split(spark):
+    rows = spark.range(3000).select(F.lit("e").alias("e"), F.lit("2024-01-01").alias("at"), (F.col("id") * 7 % 3000).alias("tie"), F.col("id").cast("double").alias("y"))
+    got = E.by_ordinal(rows, ["e"], "at", ["tie"], ["y"], hot_rows=0)
+    want = E.by_ordinal(rows, ["e"], "at", ["tie"], ["y"])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() == 3000
 
 
 @pytest.fixture(scope="module")
