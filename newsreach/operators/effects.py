@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from newsreach import constants as K
 from newsreach.functions.moments import month_of, quarter_of
-from newsreach.operators.ranks import HOT_ROWS, join_groups, mean_of, quantiles, rank_table, split_hot
+from newsreach.operators.ranks import HOT_ROWS, join_groups, mean_of, quantiles, rank_table, split_hot, values_at
 from newsreach.sources.workspace import materialize
 
 PROFILE = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90}
@@ -218,32 +218,59 @@ def recent_effect(
     )
 
 
+def against_rest(
+    own: DataFrame, whole: DataFrame, cell: Sequence[str], group: str, min_n: int = K.MIN_PER_SIDE, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Medians of each group of a cell and of all other rows of the cell, for groups with ``min_n`` rows on either side.
+
+    ``whole`` has the counted outcomes of the cells (``__value``, ``__c``), ``own`` those of the groups, which are a part of
+    them. The other rows are never built: of two cumulative tables, below an outcome lie as many of them as the cell has
+    less those of the group. So the group's own outcomes tell how many of its rows lie before the middle of the
+    others, which gives the place of that middle in the cell. Work and rows grow with the distinct outcomes of both.
+    """
+    cells = materialize(rank_table(whole, cell, "__value", "__c", hot_rows), "cell-ranks")
+    ranked = rank_table(own, [*cell, group], "__value", "__c", hot_rows)
+    mine = ranked.withColumnsRenamed({"cnt": "__cnt", "before": "__before", "n": "__n"})
+    rest = F.col("n") - F.col("__n")
+    met = join_groups(mine, cells, [*cell, "__value"]).withColumn("__rest", rest).where((F.col("__n") >= min_n) & (rest >= min_n))
+    upto, others = F.col("__before") + F.col("__cnt"), F.col("before") + F.col("cnt") - F.col("__before") - F.col("__cnt")
+    picks = []
+    for side, size in (("own", F.col("__n")), ("rest", F.col("__rest"))):
+        for end, place in (("low", F.floor((size - 1) / 2)), ("high", F.ceil((size - 1) / 2))):
+            if side == "own":
+                found = F.max(F.when((F.col("__before") <= place) & (place < upto), F.col("__value")))
+            else:
+                found = F.max(place) + F.coalesce(F.max(F.when(others <= place, upto)), F.lit(0))
+            picks.append(found.alias(f"{side}_{end}"))
+    places = met.groupBy(*cell, group).agg(F.max("__n").alias("n_with"), F.max("__rest").alias("n_without"), *picks)
+    asked = places.select(
+        *cell, group, "n_with", "n_without", (F.col("own_low") + (F.col("own_high") - F.col("own_low")) / 2).alias("median_with"),
+        F.explode(F.array("rest_low", "rest_high")).alias("__place"),
+    )
+    found = values_at(cells, asked, cell, "__value", "__place", hot_rows)
+    low, high = F.min("__value"), F.max("__value")
+    return found.groupBy(*cell, group).agg(
+        F.max("n_with").alias("n_with"), F.max("n_without").alias("n_without"), F.max("median_with").alias("median_with"),
+        (low + (high - low) / 2).alias("median_without"),
+    )
+
+
 def one_vs_rest(
     df: DataFrame, cell: Sequence[str], group: str, outcome: str, min_n: int = K.MIN_PER_SIDE,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """For every value of ``group``: its rows against the other rows of the same cell.
 
-    Equal outcomes of a cell and group are counted first. Only groups that can qualify (``min_n`` rows of
-    their own, ``min_n`` others) meet the counted outcomes of their cell, so the work grows with distinct
-    outcomes times qualifying groups per cell, not with pairs of rows.
+    Equal outcomes of a cell and group are counted first, and the outcomes of a cell from those counts.
     """
+    value = F.col(outcome).cast("double")
     counts = materialize(
         df.where(F.col(outcome).isNotNull() & F.col(group).isNotNull())
-        .groupBy(*cell, F.col(group).alias("__g"), F.col(outcome).cast("double").alias("__value"))
+        .groupBy(*cell, F.col(group), value.alias("__value"))
         .agg(F.count(F.lit(1)).alias("__c")),
         "outcomes",
     )
-    own = counts.groupBy(*cell, "__g").agg(F.sum("__c").alias("__own"))
-    whole = own.groupBy(*cell).agg(F.sum("__own").alias("__all"))
-    able = (
-        join_groups(own, whole, cell)
-        .where((F.col("__own") >= min_n) & (F.col("__all") - F.col("__own") >= min_n))
-        .select(*cell, F.col("__g").alias(group))
-    )
-    rows = join_groups(able, counts, cell).withColumn("__flag", F.col("__g") == F.col(group))
-    sides = quantiles(rows, [group, *cell, "__flag"], "__value", {"median": 0.5}, "__c", hot_rows=hot_rows)
-    return summarize_cells(compare_sides(sides, [group, *cell]), [group], hot_rows)
+    return summarize_cells(against_rest(counts, counts, cell, group, min_n, hot_rows), [group], hot_rows)
 
 
 def rate_contrast(cases: DataFrame, media: DataFrame, keys: Sequence[str], flag: str, outlet: str) -> DataFrame:
@@ -281,28 +308,15 @@ def term_effect(
 ) -> DataFrame:
     """Paired-cell effect of each term of a list.
 
-    The texts are read once; from then on a row holds the few terms it contains. A term meets only the
-    cells in which it can be compared (``min_n`` rows with it and as many without), and there only the
-    counted (outcome, terms) combinations, so a long list of rare terms costs little.
+    The texts are read once; from then on a row holds the few terms it contains. A term meets only its own counted
+    outcomes of a cell; those without it follow from the counts of the cell.
     """
     found = df.where(F.col(text).isNotNull() & F.col(outcome).isNotNull()).select(
         *cell, F.col(outcome).cast("double").alias("__value"), found_terms(text, terms).alias("__found")
     )
     rows = materialize(found.groupBy(*cell, "__value", "__found").agg(F.count(F.lit(1)).alias("__c")), "terms")
-    with_term = (
-        rows.select(*cell, "__c", F.explode("__found").alias("term"))
-        .groupBy(*cell, "term")
-        .agg(F.sum("__c").alias("__with"))
-    )
-    sizes = rows.groupBy(*cell).agg(F.sum("__c").alias("__all"))
-    able = (
-        join_groups(with_term, sizes, cell)
-        .where((F.col("__with") >= min_n) & (F.col("__all") - F.col("__with") >= min_n))
-        .select(*cell, "term")
-    )
-    flagged = join_groups(able, rows, cell).withColumn("__flag", F.array_contains("__found", F.col("term")))
-    sides = quantiles(flagged, ["term", *cell, "__flag"], "__value", {"median": 0.5}, "__c", hot_rows=hot_rows)
-    return summarize_cells(compare_sides(sides, ["term", *cell]), ["term"], hot_rows)
+    own = rows.select(*cell, "__value", "__c", F.explode(F.array_distinct("__found")).alias("term"))
+    return summarize_cells(against_rest(own, rows, cell, "term", min_n, hot_rows), ["term"], hot_rows)
 
 
 def effect_correlation(left: DataFrame, right: DataFrame, on: str = "term", value: str = "win_rate") -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,32 +130,116 @@ def bootstrap_draws(seed: int, keys: Sequence[str], rounds: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), weigh)
 
 
+# Weights (rows x rounds) that one task holds at once, and rounds of a block at most
+BOOTSTRAP_CELLS = 2_000_000
+BLOCK_ROUNDS = 100
+
+
 def bootstrap_gap(
     df: DataFrame, first: str, second: str, actual: str, keys: Sequence[str], rounds: int = K.BOOTSTRAP_ROUNDS,
-    seed: int = 0,
+    seed: int = 0, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """95 % interval of the difference of two rank correlations under paired resampling (M7).
 
-    In every round each row counts Poisson(1) times, the distributed form of drawing n rows with
-    replacement. Both models see the same draw. A draw depends on seed, round and key only, so a lost
-    task repeats it exactly. Rows are expanded once per round and weighed; nothing is collected.
+    In every round each row counts Poisson(1) times (13 times at most, beyond which lies one draw in 10^10), the
+    distributed form of drawing n rows with replacement. Both models see the same draw. A draw depends on seed, round and key only,
+    so a lost task repeats it exactly.
+
+    A row carries the weights of a block of rounds as one array of bytes; rows with equal predictions and outcome are added up
+    before the shuffle. A block of rounds is one group, whose ranks are running sums of the arrays along the
+    values. Beyond ``hot_rows`` rows, a row is expanded once per round and each round ranked by itself.
     """
+    narrow = materialize(df.where(F.col(actual).isNotNull()).select(*dict.fromkeys([*keys, first, second, actual])), "resampled")
+    rows = narrow.count()
+    scores = _scores_by_block if rows <= hot_rows else _scores_by_round
+    gaps = scores(narrow, first, second, actual, keys, rounds, seed, rows)
+    return quantiles(gaps, [], "gap", {"low": 0.025, "high": 0.975}).withColumnRenamed("n", "rounds")
+
+
+def _scores_by_round(
+    df: DataFrame, first: str, second: str, actual: str, keys: Sequence[str], rounds: int, seed: int, rows: int
+) -> DataFrame:
     spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = (
-        df.select(*keys, first, second, actual)
-        .repartition(spread, *keys)  # every row becomes `rounds` rows, so even a short table is worth spreading
+        df.repartition(spread, *keys)  # every row becomes `rounds` rows, so even a short table is worth spreading
         .select(first, second, actual, F.inline(bootstrap_draws(seed, keys, rounds)))
         .where(F.col("w") > 0)
     )
     long = melt_models(drawn, [first, second], ["round", actual, "w"])
     scores = spearman(long, "pred", actual, ["round", "model"], "w")
-    gaps = scores.groupBy("round").agg(
+    return scores.groupBy("round").agg(
         (
             F.max(F.when(F.col("model") == first, F.col("spearman")))
             - F.max(F.when(F.col("model") == second, F.col("spearman")))
         ).alias("gap")
     )
-    return quantiles(gaps, [], "gap", {"low": 0.025, "high": 0.975}).withColumnRenamed("n", "rounds")
+
+
+def _scores_by_block(
+    df: DataFrame, first: str, second: str, actual: str, keys: Sequence[str], rounds: int, seed: int, rows: int
+) -> DataFrame:
+    width = int(min(BLOCK_ROUNDS, max(1, BOOTSTRAP_CELLS // max(rows, 1)), rounds))
+    key = F.concat_ws(":", F.lit(""), *[F.col(k).cast("string") for k in keys])
+    names = ["x", "y", "a"]
+    values = [F.col(c).cast("double") for c in (first, second, actual)]
+    # NULL and NaN are one in numpy, so what is missing is said apart.
+    plain = df.select(
+        key.alias("key"), *[F.coalesce(v, F.lit(0.0)).alias(n) for v, n in zip(values, names)],
+        *[F.col(c).isNull().alias(f"no_{n}") for c, n in ((first, "x"), (second, "y"))],
+    )
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        limits, kinds = np.array(POISSON_ONE), [*names, "no_x", "no_y"]
+        for batch in batches:
+            for start in range(0, len(batch), 2000):
+                part = batch.iloc[start : start + 2000]
+                same = part.groupby(kinds, sort=False, dropna=False).ngroup().to_numpy()
+                once = part[kinds].iloc[np.unique(same, return_index=True)[1]]
+                tails = [x.encode() for x in part["key"]]
+                for low in range(0, rounds, width):
+                    heads = [f"{seed}:{i}".encode() for i in range(low, min(low + width, rounds))]
+                    digests = b"".join([md5(head + tail).digest()[:4] for tail in tails for head in heads])
+                    uniform = np.frombuffer(digests, ">u4").astype(np.float64) / 2.0**32
+                    weights = np.searchsorted(limits, uniform, "right").reshape(len(part), len(heads))
+                    total = np.zeros((len(once), len(heads)), "<u2")
+                    np.add.at(total, same, weights.astype("<u2"))
+                    yield once.assign(block=low, weights=[x.tobytes() for x in total])
+
+    def ranks(order: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Mean ranks of all rows in every round: weights of smaller values and the middle of the equal ones."""
+        same = np.add.reduceat(weights[order], starts, axis=0)
+        found = np.cumsum(same, axis=0) - same + (same + 1) / 2
+        out = np.empty(weights.shape)
+        out[order] = np.repeat(found, np.diff(np.r_[starts, len(order)]), axis=0)
+        return out
+
+    def score(block: pd.DataFrame) -> pd.DataFrame:
+        weights = np.frombuffer(b"".join(block["weights"]), "<u2").reshape(len(block), -1).astype(np.float64)
+        number = np.arange(weights.shape[1])
+        out = []
+        for name in ("x", "y"):
+            kept = ~block[f"no_{name}"].to_numpy(bool)
+            w = weights[kept]
+            middle = (w.sum(axis=0) + 1) / 2
+            centred = []
+            for column in (name, "a"):
+                v = block[column].to_numpy(np.float64)[kept]
+                order = np.argsort(v, kind="stable")
+                ordered = v[order]
+                new = (ordered[1:] != ordered[:-1]) & ~(np.isnan(ordered[1:]) & np.isnan(ordered[:-1]))
+                centred.append(ranks(order, np.flatnonzero(np.r_[True, new]), w) - middle if len(v) else w)
+            p, a = centred
+            spread_of = np.sqrt((w * p * p).sum(axis=0) * (w * a * a).sum(axis=0))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                out.append(np.where(spread_of > 0, (w * p * a).sum(axis=0) / spread_of, np.nan))
+        return pd.DataFrame({"round": number + block["block"].iloc[0], "gap": out[0] - out[1]})
+
+    drawn = plain.repartition(spread, "key").mapInPandas(
+        draw, "x double, y double, a double, no_x boolean, no_y boolean, block long, weights binary"
+    )
+    scored = drawn.groupBy("block").applyInPandas(score, "round long, gap double")
+    return scored.withColumn("gap", F.when(~F.isnan("gap"), F.col("gap")))
 
 
 def metric_report(

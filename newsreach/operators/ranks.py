@@ -157,6 +157,40 @@ def with_ranks(df: DataFrame, group: Sequence[str], value: str, hot_rows: int =
     return join_groups(stored, table, [*group, value], "left")
 
 
+def values_at(
+    table: DataFrame, asked: DataFrame, group: Sequence[str], value: str, place: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The rows of ``asked`` with the ``value`` that stands at position ``place`` (from 0) of their group.
+
+    ``table`` is a rank table of the groups. Both are merged along the positions; each row takes the last value at
+    or before its own. Rows of a hot group are cut into bands, and a band begins with the last value of those below.
+    """
+    rest = [c for c in asked.columns if c not in (*group, place)]
+    types = {field.name: field.dataType for field in asked.schema}
+    marks = table.select(*group, F.col("before").cast("long").alias("__at"), F.lit(0).alias("__kind"), value, *[F.lit(None).cast(types[c]).alias(c) for c in rest])
+    wants = asked.select(*group, F.col(place).cast("long").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(table.schema[value].dataType).alias(value), *rest)
+    merged = materialize(marks.unionByName(wants), "positions")
+    order = ["__at", "__kind"]
+    start, here = Window.unboundedPreceding, Window.currentRow
+
+    def last(keys: Sequence[str], of: str, by: Sequence[str]) -> Column:
+        return F.last(of, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*by).rowsBetween(start, here))
+
+    hot = hot_keys(merged, group, hot_rows)
+    if hot is None:
+        found = merged.withColumn("__found", last(group, value, order))
+    else:
+        size = hot.agg(F.sum("__rows")).first()[0]
+        bands = max(LEAST_BANDS, -(-size // BAND_ROWS))
+        ranged = merged.repartitionByRange(bands, *[F.col(c) for c in [*group, *order]]).withColumn("__band", F.spark_partition_id())
+        ranged = materialize(ranged, "bands")
+        ends = ranged.groupBy(*group, "__band").agg(F.max_by(value, F.when(F.col("__kind") == 0, F.col("__at"))).alias("__end"))
+        ends = ends.withColumn("__first", F.lag(last(group, "__end", ["__band"])).over(Window.partitionBy(*group).orderBy("__band")))
+        inside = ranged.withColumn("__inside", last([*group, "__band"], value, order))
+        found = join_groups(inside, ends.select(*group, "__band", "__first"), [*group, "__band"]).withColumn("__found", F.coalesce("__inside", "__first"))
+    return found.where("__kind = 1").select(*group, F.col("__at").alias(place), *rest, F.col("__found").alias(value))
+
+
 def average_rank(cnt: str = "cnt", before: str = "before") -> Column:
     """Rank 1..n in which equal values share their mean rank."""
     return F.col(before) + (F.col(cnt) + 1) / 2

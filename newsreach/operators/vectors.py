@@ -16,12 +16,13 @@ from pyspark.sql import types as T
 from newsreach import constants as K
 from newsreach.functions.arrays import dot, l2_normalize
 from newsreach.functions.scoring import match_bonus, rarity
+from newsreach.operators.pivots import build_index, met_in_leaves
 from newsreach.sources.workspace import materialize
 
 # Queries up to this many vector cells (rows x dimensions) travel to the tasks as one broadcast: 64 MB
 BROADCAST_CELLS = 8_000_000
 
-# Rows per block of the grid form, and queries scored at once inside a task
+# Rows per leaf of the index, and queries scored at once inside a task
 BLOCK_ROWS = 32_768
 QUERY_STEP = 256
 
@@ -126,7 +127,7 @@ def _best_of_block(
         part = slice(start, start + QUERY_STEP)
         scores = _scores(queries.iloc[part], corpus, q_vec[part], c_vec, bonus)
         # A vector that gives no number is nobody's neighbour and must not push others out.
-        scores = np.where(np.isnan(scores), -np.inf, scores)
+        scores = np.where(np.isfinite(scores), scores, -np.inf)
         if scores.shape[1] > k:
             cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
             row, col = np.nonzero(scores >= cut[:, None])
@@ -164,13 +165,15 @@ def nearest(
 ) -> DataFrame:
     """The k corpus rows of highest similarity plus bonuses for every query.
 
-    Exact: additive bonuses rule out a vector index, so every pair is scored, as blocks of matrix
-    products, and each block gives away no more than its k best rows per query.
+    Exact, in one of two forms:
 
     * A query set whose size has been checked (``broadcast_cells``) is sent to the tasks once, and the
-      corpus is scanned where it lies: no shuffle of the corpus at all.
-    * A larger query set forms a grid: both sides are hashed into blocks of about ``block_rows`` rows and
-      each (query block, corpus block) pair is one bounded group. Nothing passes through the driver.
+      corpus is scanned where it lies: every pair is scored, as blocks of matrix products, and each block gives away
+      no more than its k best rows per query. No shuffle of the corpus at all.
+    * For a larger one the corpus gets an index of pivot cells (``pivots``) with leaves of about ``block_rows`` rows. A query
+      meets the leaves it is closest to, and after that those whose upper bound, the largest bonus included, reaches
+      its k-th score. How many these are depends on how far the vectors lie apart. Nothing passes through the driver but
+      the bounded table of leaves.
 
     ``stored`` says that ``queries`` is a stored table already. Vectors of another length than the longest query,
     and those that give no number, have no neighbours and are none.
@@ -223,24 +226,20 @@ def nearest(
 
         candidates = c.mapInPandas(scan, out)
     else:
-        q_blocks = max(1, -(-rows // block_rows))
-        c_blocks = max(1, -(-c.count() // block_rows))
-        q_grid = q.withColumn("__qb", F.pmod(F.xxhash64(query_id), F.lit(q_blocks)).cast("int")).withColumn(
-            "__cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))
-        )
-        c_grid = c.withColumn("__cb", F.pmod(F.xxhash64(*keys), F.lit(c_blocks)).cast("int")).withColumn(
-            "__qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-        )
+        most = sum(max(weight, 0.0) for weight in bonus.matches.values())
+        index = build_index(c, keys, vector, block_rows, most, bonus.reach, bonus.reach_column if bonus.reach else None)
 
         def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
                 return pd.DataFrame(columns=names)
-            block = _best_of_block(left, _matrix(left, vector), right, vector, keys, extra, bonus, k)
-            return finish(block, left[query_id].to_numpy())
-
-        candidates = (
-            q_grid.groupBy("__qb", "__cb").cogroup(c_grid.groupBy("__qb", "__cb")).applyInPandas(pair, out)
-        )
+            return finish(_best_of_block(left, _matrix(left, vector), right, vector, keys, extra, bonus, k), left[query_id].to_numpy())
+
+        numbers = q.where(~F.exists(vector, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
+        first = materialize(met_in_leaves(index.probes(numbers, vector, k), index.members, query_id, pair, out), "first-round")
+        best = top_k(first, [query_id], "score", keys, k).groupBy(query_id).agg(F.count(F.lit(1)).alias("__n"), F.min("score").alias("__score"))
+        reached = best.select(F.col(query_id).alias("__id"), F.when(F.col("__n") == k, F.col("__score")).alias("__least"))
+        again = numbers.join(reached, F.col(query_id).eqNullSafe(F.col("__id")), "left").drop("__id")
+        candidates = first.union(met_in_leaves(index.probes(again, vector, k, "__least"), index.members, query_id, pair, out))
     return top_k(candidates, [query_id], "score", keys, k)
 
 

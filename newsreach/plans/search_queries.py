@@ -71,7 +71,7 @@ def v3(r: Roles) -> DataFrame:
 
 @query("V3_search_grid", f"WITH {SEARCH}, {top_sql(8)} SELECT query_id, release_id, score, rank FROM top", "vectors")
 def v3_grid(r: Roles) -> DataFrame:
-    """The same search in the form for query sets of any size."""
+    """The same search in the form for query sets of any size, by the index of pivot cells."""
     return V.nearest(r.queries(), r.vectors(), "query_id", KEY, 8, V.SEARCH_BONUS, broadcast_cells=0, block_rows=200)
 
 

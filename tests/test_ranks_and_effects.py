@@ -206,6 +206,53 @@ def test_bootstrap_is_repeatable_and_brackets_the_gap(spark):
     assert 0 < first.low < point < first.high
 
 
+def test_bootstrap_by_blocks_equals_ranking_every_round(spark):
+    """Ties, missing and repeated rows; the block form against rows expanded by round."""
+    rng = np.random.default_rng(6)
+    rows = [(int(i), *[None if rng.random() < 0.1 else float(rng.integers(0, 6)) for _ in range(3)]) for i in range(120)]
+    rows += rows[:10] + [(None, 1.0, 2.0, 3.0), (900, float("nan"), 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "k long, good double, bad double, actual double")
+    one = V.bootstrap_gap(df, "good", "bad", "actual", ["k"], rounds=230).first()
+    other = V.bootstrap_gap(df, "good", "bad", "actual", ["k"], rounds=230, hot_rows=0).first()
+    assert tuple(one) == pytest.approx(tuple(other), abs=1e-12) and one.rounds == 230
+    flat = df.withColumn("good", F.lit(1.0))
+    assert tuple(V.bootstrap_gap(flat, "good", "bad", "actual", ["k"], rounds=5).first()) == (0, None, None)
+    assert V.bootstrap_gap(df.limit(0), "good", "bad", "actual", ["k"], rounds=5).count() in (0, 1)
+
+
+@pytest.mark.parametrize("hot_rows", [0, 10**6])
+def test_complement_medians_equal_brute_force(spark, hot_rows):
+    """NULL cells, a group that is most of its cell, few distinct outcomes, groups too small to count."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in ("a", "b", None, "d"):
+        for _ in range(150):
+            g = "big" if rng.random() < 0.7 else rng.choice(["x", "y", "z"])
+            rows.append((c, str(g), float(rng.integers(0, 4 if c == "b" else 60))))
+    rows += [("e", "x", 1.0)] * 9 + [("f", "x", 1.0)] * 3 + [("f", "y", 5.0)] * 3
+    frame = pd.DataFrame(rows, columns=["c", "p", "y"])
+    df = spark.createDataFrame(rows, "c string, p string, y double")
+    got = {r.p: r for r in E.one_vs_rest(df, ["c"], "p", "y", hot_rows=hot_rows).collect()}
+    for place in ("big", "x", "y", "z"):
+        pairs = []
+        for _, part in frame.groupby("c", dropna=False):
+            a, b = part[part.p == place].y, part[part.p != place].y
+            if len(a) >= 3 and len(b) >= 3:
+                pairs.append((a.median(), b.median()))
+        r = got[place]
+        assert r.cells == len(pairs) and r.mean_difference == pytest.approx(np.mean([a - b for a, b in pairs]))
+        assert r.median_ratio == pytest.approx(np.median([a / b for a, b in pairs if b]))
+
+
+def test_complement_medians_build_no_rows_of_groups_times_outcomes(spark):
+    """40 groups of one cell with 400 outcomes each: what is ranked stays in the order of the rows."""
+    df = spark.range(16000).selectExpr("'one' as c", "id % 40 as g", "cast((id * 7919) % 16001 as double) as y")
+    cells = df.groupBy("c", "g", F.col("y").alias("__value")).agg(F.count("*").alias("__c"))
+    found = E.against_rest(cells, cells, ["c"], "g")
+    assert found.count() == 40
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("hot_rows", [0, 1_000_000])
 def test_null_values_have_no_rank_and_no_ordinal_at_any_size(spark, hot_rows):
     from newsreach.operators import effects as E

@@ -161,3 +161,59 @@ def test_bad_vectors_and_text_classes_do_not_hide_neighbours():
     queries = pd.DataFrame({"q": [1]})
     got = V._best_of_block(queries, np.array([[1.0, 0.0]]), corpus, "v", ["id"], [], V.Bonus(matches={}, reach=0.0), 3)
     assert got["id"].tolist() == [0, 2, 4]
+
+
+def clustered(spark, rows, clusters, seed=5, dims=16):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, dims))
+    x = centres[rng.integers(0, clusters, rows)] + rng.normal(0, 0.05, (rows, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    data = [(i, v.tolist(), int(i % 5), int(i % 3), float(i % 7) / 7) for i, v in enumerate(x)]
+    return spark.createDataFrame(data, "k long, embedding array<double>, category int, place int, reach_score double"), x
+
+
+def test_pivots_leave_out_most_pairs_of_clustered_vectors(spark, monkeypatch):
+    """Same rows as the scan, with less than a tenth of the pairs scored."""
+    from newsreach.operators import pivots
+
+    corpus, x = clustered(spark, 4000, 60)
+    queries = corpus.where("k % 4 = 0").select(F.col("k").alias("q"), "embedding", "category", "place")
+    found = V.nearest(queries, corpus, "q", ["k"], 8, broadcast_cells=0, block_rows=40)
+    assert listed(found) == listed(V.nearest(queries, corpus, "q", ["k"], 8))
+    index = pivots.build_index(corpus, ["k"], "embedding", 40, 0.08, 0.05, "reach_score")
+    rows = dict(zip(index.leaves["leaf"], index.leaves["rows"]))
+    assert sum(rows.values()) == 4000 and max(rows.values()) <= 160
+    kth = V.nearest(queries, corpus, "q", ["k"], 8).where("rank = 8").select("q", F.col("score").alias("least"))
+    first = index.probes(queries, "embedding", 8).select("__leaf").collect()
+    second = index.probes(queries.join(kth, "q"), "embedding", 8, "least").select("__leaf").collect()
+    assert sum(rows[r["__leaf"]] for r in [*first, *second]) < 0.1 * 1000 * 4000
+
+
+def test_bounds_hold_for_vectors_of_any_length(spark):
+    from newsreach.operators import pivots
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 6)) * rng.exponential(3, (500, 1))
+    x[:20] = 0
+    x[20:40] = x[40]
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, embedding array<double>")
+    index = pivots.build_index(corpus, ["k"], "embedding", 10, 0.0)
+    leaf = {r.k: r["__leaf"] for r in index.members.collect()}
+    queries = np.concatenate((rng.normal(size=(30, 6)), -x[40:45], np.zeros((1, 6))))
+    bounds = pd.DataFrame(index.bounds(queries), columns=index.leaves["leaf"])
+    for i, q in enumerate(queries):
+        for k in range(500):
+            assert q @ x[k] <= bounds[leaf[k]][i]
+
+
+def test_pivot_search_with_missing_and_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = [(1, [1.0, 0.0]), (2, None), (3, [nan, 1.0]), (4, [0.0, 0.0]), (5, [-1.0, 0.0]), (6, [1.0]), (7, [0.6, 0.8]), (8, [0.6, 0.8]), (9, [inf, 1.0])]
+    corpus = spark.createDataFrame([(k, v, None, 1) for k, v in vectors], "k long, embedding array<double>, category int, place int")
+    asked = [(k, v, None, None) for k, v in ((1, [1.0, 0.0]), (2, [nan, 0.0]), (3, None), (None, [0.0, 1.0]), (5, [0.0, 0.0]))]
+    queries = spark.createDataFrame(asked, "q long, embedding array<double>, category int, place int")
+    for cells in (10**6, 0):
+        found = V.nearest(queries, corpus, "q", ["k"], 3, V.SCORE_BONUS, broadcast_cells=cells, block_rows=2)
+        assert listed(found) == {1: [1, 7, 8], None: [7, 8, 1], 5: [1, 4, 5]}, cells
+        assert V.nearest(queries, corpus.limit(0), "q", ["k"], 3, V.SCORE_BONUS, broadcast_cells=cells).count() == 0
+        assert V.nearest(queries.limit(0), corpus, "q", ["k"], 3, V.SCORE_BONUS, broadcast_cells=cells).count() == 0
