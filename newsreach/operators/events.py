@@ -136,22 +136,29 @@ def collapse_batch(batch: DataFrame, key: Sequence[str], order: str) -> DataFram
     )
 
 
+def has_key(key: Sequence[str]) -> Column:
+    """Whether a row has all parts of its key; one that lacks a part conflicts with nothing."""
+    found = F.col(key[0]).isNotNull()
+    for part in key[1:]:
+        found = found & F.col(part).isNotNull()
+    return found
+
+
 def upsert_events(
     target: DataFrame, batch: DataFrame, key: Sequence[str] = EVENT_KEY, order: str = "seq"
 ) -> DataFrame:
     """Apply a batch to the event table.
 
     A known key gets the new title, description, times and, if it is not empty, location; id,
-    ``created_at`` and every other column stay. An unknown key is inserted. Rows without an external id
+    ``created_at`` and every other column stay. An unknown key is inserted. Rows that lack a part of the key
     conflict with nothing. Events that vanished at the source are kept. Applying a batch twice equals
     applying it once.
     """
-    external = key[-1]
-    keyed = batch.where(F.col(external).isNotNull())
-    loose = batch.where(F.col(external).isNull())
+    keyed = batch.where(has_key(key))
+    loose = batch.where(~has_key(key))
     change = collapse_batch(keyed, key, order)
     new = change.select(*key, *[F.col(c).alias(f"__n_{c}") for c in change.columns if c not in key], F.lit(True).alias("__hit"))
-    merged = target.where(F.col(external).isNotNull()).withColumn("__old", F.lit(True)).join(new, list(key), "full_outer")
+    merged = target.where(has_key(key)).withColumn("__old", F.lit(True)).join(new, list(key), "full_outer")
     hit, old = F.col("__hit").isNotNull(), F.col("__old").isNotNull()
     columns = []
     for name in target.columns:
@@ -167,7 +174,7 @@ def upsert_events(
         columns.append(value.alias(name))
     return (
         merged.select(*columns)
-        .unionByName(target.where(F.col(external).isNull()))
+        .unionByName(target.where(~has_key(key)))
         .unionByName(loose.select(*[c for c in target.columns if c in loose.columns]), allowMissingColumns=True)
     )
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsreach.operators import events as E
+from newsreach.sources.workspace import materialize
 from newsreach.streaming.calendar_sync import apply_batch, create_state, read_state, rescore_state, sync_stream
 
 SCHEMA = ("id string, user_id string, external_id string, title string, description string, location string, "
@@ -138,9 +139,9 @@ def test_stream_equals_batch_and_replay_changes_nothing(spark, tmp_path):
     create_state(target, state, buckets=8)
     new.write.parquet(inbox)
     stream = spark.readStream.schema(new.schema).parquet(inbox)
-    sync_stream(stream, state, str(tmp_path / "ck"), buckets=8).awaitTermination()
+    sync_stream(stream, state, str(tmp_path / "ck")).awaitTermination()
     assert sorted(map(str, read_state(spark, state).select(*target.columns).collect())) == want
-    apply_batch(state, new, buckets=8)
+    apply_batch(state, new)
     assert sorted(map(str, read_state(spark, state).select(*target.columns).collect())) == want
 
 
@@ -151,7 +152,7 @@ def test_stream_inserts_rows_without_external_id_once(spark, tmp_path):
     state = str(tmp_path / "state")
     create_state(target, state, buckets=4)
     for _ in range(2):
-        apply_batch(state, new, buckets=4)
+        apply_batch(state, new)
         assert sorted(map(str, read_state(spark, state).select(*target.columns).collect())) == want
 
 
@@ -159,10 +160,69 @@ def test_rescored_state(spark, tmp_path):
     state = str(tmp_path / "state")
     create_state(stored(spark, ("1", "a", "t", "", None), ("2", "b", "t", "", None)), state, buckets=4)
     corpus = spark.createDataFrame([(1, [1.0], 1, 1, 0.25)], CORPUS)
-    rescore_state(spark, state, corpus, ["k"], lambda d: d.withColumn("embedding", F.array(F.lit(1.0)).cast("array<float>")), buckets=4)
+    rescore_state(spark, state, corpus, ["k"], lambda d: d.withColumn("embedding", F.array(F.lit(1.0)).cast("array<float>")))
     assert sorted((r.id, r.score, r.scored_text) for r in read_state(spark, state).collect()) == [("1", 0.25, "t"), ("2", 0.25, "t")]
 
 
+def files_below(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_log_equals_batch_upserts_and_rewrites_no_file(spark, tmp_path):
+    """Random batches with repeated, missing and loose keys, folded from the log, against the upsert applied batch by batch."""
+    import random
+
+    rng = random.Random(3)
+    target = stored(spark, *[(str(i), f"x{i}", "old", rng.choice(["", "hall"]), 0.5) for i in range(2000)], ("a", None, "own", "", 0.1))
+    state = str(tmp_path / "state")
+    create_state(target, state, buckets=4)
+    want = target
+    for number in range(4):
+        new = batch(spark, *[(f"{number}-{i}", rng.choice([None, f"x{rng.randrange(2200)}"]), f"t{number}", rng.choice(["", f"l{number}"])) for i in range(30)])
+        want = materialize(E.upsert_events(want, new), "wanted")
+        before = files_below(tmp_path)
+        assert apply_batch(state, new, source="s", batch_id=number)
+        assert not apply_batch(state, new, source="s", batch_id=number) and not apply_batch(state, new, source="s", batch_id=0)
+        after = files_below(tmp_path)
+        assert all(after.get(name) == at for name, at in before.items())
+        assert sorted(map(str, read_state(spark, state).select(*target.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_merged_log_reads_the_same_and_keeps_scores(spark, tmp_path, monkeypatch):
+    from newsreach.streaming import calendar_sync as C
+
+    state = str(tmp_path / "state")
+    create_state(stored(spark, *[(str(i), f"x{i}", "t", "", None) for i in range(400)]), state, buckets=2)
+    corpus = spark.createDataFrame([(1, [1.0], 1, 1, 0.25)], CORPUS)
+    embed = lambda d: d.withColumn("embedding", F.array(F.lit(1.0)).cast("array<float>"))
+    assert rescore_state(spark, state, corpus, ["k"], embed) == 400 and rescore_state(spark, state, corpus, ["k"], embed) == 0
+    for i in range(3):
+        apply_batch(state, batch(spark, ("n", f"x{i}", f"new{i}", ""), (f"m{i}", f"y{i}", "t", "z"), (None, None, "loose", "")), merge=False)
+    assert rescore_state(spark, state, corpus, ["k"], embed) == 6
+    rows = sorted(map(str, read_state(spark, state).collect()))
+    assert len(rows) == 406
+    version = C.commits.versions(spark, f"{state}/manifest")[-1]
+    monkeypatch.setattr(C, "BASE_PART", 10.0)
+    C.merge_segments(spark, state)
+    assert sorted(map(str, read_state(spark, state).collect())) == rows
+    assert len(C.commits.load(spark, f"{state}/manifest")[1]["segments"]) < 6
+    monkeypatch.setattr(C, "BASE_PART", 0.0)
+    C.merge_segments(spark, state)
+    assert sorted(map(str, read_state(spark, state).collect())) == rows == sorted(map(str, read_state(spark, state, version).collect()))
+    assert C.vacuum(spark, state) >= 5 and sorted(map(str, read_state(spark, state).collect())) == rows
+    assert not apply_batch(state, batch(spark, ("n", "x0", "new0", ""), ("m0", "y0", "t", "z"), (None, None, "loose", "")))
+
+
+def test_a_commit_number_is_taken_once(spark, tmp_path):
+    from newsreach.sources import commits
+
+    folder = str(tmp_path / "c")
+    assert commits.load(spark, folder) == (0, {})
+    assert commits.commit(spark, folder, 1, {"a": "ä"}) and not commits.commit(spark, folder, 1, {"a": 2})
+    assert commits.commit(spark, folder, 2, {"a": 3}) and commits.load(spark, folder) == (2, {"a": 3})
+    assert commits.load(spark, folder, 1) == (1, {"a": "ä"}) and commits.versions(spark, folder) == [1, 2]
+
+
 def test_days_show_the_first_and_count_the_rest(spark):
     rows = [(i, datetime(2026, 8, 1, i)) for i in range(5)] + [(9, datetime(2026, 8, 2))]
     got = E.events_by_day(spark.createDataFrame(rows, "id int, starts_at timestamp_ntz"), 3).orderBy("id").collect()
