@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -17,8 +19,13 @@ from newsreach import constants as K
 from newsreach.functions.arrays import dot, l2_normalize
 from newsreach.functions.scoring import match_bonus, rarity
 from newsreach.operators.pivots import build_index, met_in_leaves
+from newsreach.sources import commits
+from newsreach.sources.files import missing_rows
 from newsreach.sources.workspace import materialize
 
+# Seconds between two tries of a batch call, at most
+LONGEST_WAIT = 60.0
+
 # Queries up to this many vector cells (rows x dimensions) travel to the tasks as one broadcast: 64 MB
 BROADCAST_CELLS = 8_000_000
 
@@ -51,30 +58,91 @@ def with_vectors(df: DataFrame, vectors: DataFrame, keys: Sequence[str]) -> Data
     return df.join(vectors, list(keys))
 
 
+def called(embed_fn: Callable[[list[str]], np.ndarray], texts: list[str], retries: int, wait: float) -> np.ndarray:
+    """Result of one batch call, tried again ``retries`` times after growing waits (``wait`` seconds, doubled each time)."""
+    for attempt in range(retries + 1):
+        try:
+            found = np.asarray(embed_fn(texts), dtype=np.float64)
+            if found.ndim != 2 or len(found) != len(texts):
+                raise ValueError(f"{len(texts)} texts gave vectors of shape {found.shape}")
+            return found
+        except Exception:  # noqa: BLE001 - the function is the caller's
+            if attempt == retries:
+                raise
+            time.sleep(min(wait * 2**attempt, LONGEST_WAIT))
+    raise AssertionError
+
+
 def embed(
-    df: DataFrame, text: str, embed_fn: Callable[[list[str]], np.ndarray], out: str = "embedding"
+    df: DataFrame, text: str, embed_fn: Callable[[list[str]], np.ndarray], out: str = "embedding",
+    retries: int = 3, wait: float = 1.0, error: str | None = None,
 ) -> DataFrame:
     """Unit vectors for a text column, ``EMBED_BATCH`` texts per call of ``embed_fn`` (V1).
 
-    Rows keep all their columns, so a vector can never end up on another row. A failing call fails the
-    task and Spark retries it; rows already written by an earlier run are left out with ``missing_rows``.
+    Rows keep all their columns, so a vector can never end up on another row. A call that fails is repeated with
+    growing waits. One that fails for good fails the task or, given an ``error`` column, leaves its rows
+    without a vector and with the message there, while the other calls' rows get theirs.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
+    more = [T.StructField(out, T.ArrayType(T.FloatType())), *([T.StructField(error, T.StringType())] if error else [])]
+    schema = T.StructType([*df.schema.fields, *more])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch[text].fillna("").tolist()
-            parts = [np.asarray(embed_fn(texts[i : i + K.EMBED_BATCH])) for i in range(0, len(texts), K.EMBED_BATCH)]
-            if not parts:
-                continue
-            matrix = np.vstack(parts).astype(np.float64)
-            norm = np.linalg.norm(matrix, axis=1, keepdims=True)
-            unit = (matrix / np.where(norm == 0, 1, norm)).astype(np.float32)
-            yield batch.assign(**{out: list(unit)})
+            for start in range(0, len(batch), K.EMBED_BATCH):
+                part = batch.iloc[start : start + K.EMBED_BATCH]
+                message = None
+                try:
+                    matrix = called(embed_fn, part[text].fillna("").tolist(), retries, wait)
+                    norm = np.linalg.norm(matrix, axis=1, keepdims=True)
+                    vectors = list((matrix / np.where(norm == 0, 1, norm)).astype(np.float32))
+                except Exception as failure:  # noqa: BLE001
+                    if error is None:
+                        raise
+                    vectors, message = [None] * len(part), f"{type(failure).__name__}: {failure}"
+                found = part.assign(**{out: vectors})
+                yield found.assign(**{error: message}) if error else found
 
     return df.mapInPandas(run, schema)
 
 
+def embed_missing(
+    df: DataFrame, keys: Sequence[str], text: str, embed_fn: Callable[[list[str]], np.ndarray], path: str,
+    out: str = "embedding", retries: int = 3, wait: float = 1.0,
+) -> tuple[int, int]:
+    """Embed the rows whose key has no vector below ``path`` yet; gives the number of vectors and of failures of this run.
+
+    Each run commits the vectors of the calls that worked and notes keys and errors of those that did not; the next run
+    takes up what has no vector. ``embedded`` reads the vectors, ``embedding_failures`` the notes.
+    """
+    spark = df.sparkSession
+    done = embedded(spark, path)
+    todo = df.select(*keys, text) if done is None else missing_rows(df.select(*keys, text), done, keys)
+    tried = materialize(embed(todo, text, embed_fn, out, retries, wait, "__error"), "embedded")
+    name = uuid.uuid4().hex
+    good, bad = tried.where(F.col("__error").isNull()), tried.where(F.col("__error").isNotNull())
+    good.select(*keys, out).write.option("compression", "zstd").parquet(f"{path}/vectors/{name}")
+    bad.select(*keys, F.col("__error").alias("error")).write.option("compression", "zstd").parquet(f"{path}/failed/{name}")
+    while True:
+        version, runs = commits.load(spark, f"{path}/runs")
+        if commits.commit(spark, f"{path}/runs", version + 1, {"names": [*runs.get("names", []), name]}):
+            return good.count(), bad.count()
+
+
+def _of_runs(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
+    names = commits.load(spark, f"{path}/runs")[1].get("names", [])
+    return spark.read.parquet(*[f"{path}/{kind}/{name}" for name in names]) if names else None
+
+
+def embedded(spark: SparkSession, path: str) -> DataFrame | None:
+    """Keys and vectors that ``embed_missing`` has committed; None before its first run."""
+    return _of_runs(spark, path, "vectors")
+
+
+def embedding_failures(spark: SparkSession, path: str) -> DataFrame | None:
+    """Keys and errors of all calls that failed for good, one row per run and key."""
+    return _of_runs(spark, path, "failed")
+
+
 def hashed_embedding(
     df: DataFrame, text: str, dimensions: int = K.EMBEDDING_DIMENSIONS, out: str = "embedding"
 ) -> DataFrame:

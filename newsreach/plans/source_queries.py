@@ -9,6 +9,7 @@ from newsreach.operators import rollup as R
 from newsreach.plans.registry import query
 from newsreach.plans.stand_ins import Roles
 from newsreach.sources import files as S
+from newsreach.sources.ledger import ledger, read_chunks, run_chunks
 from newsreach.sources.workspace import fresh_path
 
 
@@ -52,7 +53,7 @@ def s9(r: Roles) -> DataFrame:
     S.publish(tables, folder)
     counted = None
     for name in tables:
-        part = r.spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
+        part = S.published(r.spark, folder, name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
         counted = part if counted is None else counted.unionByName(part)
     return counted
 
@@ -70,6 +71,26 @@ def s10(r: Roles) -> DataFrame:
     return S.run_missing(orders, path, ["o_orderkey"], work)
 
 
+@query("S10_chunk_ledger", """
+    SELECT o_orderkey % 8 AS chunk, CASE WHEN o_orderkey % 8 = 3 THEN 0 ELSE count(*) END AS first_run, count(*) AS second_run,
+           CASE WHEN o_orderkey % 8 = 3 THEN 2 ELSE 1 END::INTEGER AS attempts FROM orders GROUP BY 1""")
+def s10_ledger(r: Roles) -> DataFrame:
+    """Eight chunks, of which one fails in the first run; the second run takes up that one alone."""
+    path = fresh_path(r.spark, "chunks")
+    orders = r.table("orders", "o_orderkey").withColumn("chunk", F.col("o_orderkey") % 8)
+
+    def failing(part: DataFrame) -> DataFrame:
+        return part.withColumn("checked", F.when(F.col("chunk") == 3, F.raise_error(F.lit("no"))).otherwise("yes"))
+
+    run_chunks(orders, "chunk", path, failing)
+    first = read_chunks(r.spark, path).groupBy("chunk").agg(F.count(F.lit(1)).alias("first_run"))
+    run_chunks(orders, "chunk", path, lambda part: part.withColumn("checked", F.lit("yes")))
+    second = read_chunks(r.spark, path).groupBy("chunk").agg(F.count(F.lit(1)).alias("second_run"))
+    tries = ledger(r.spark, path).groupBy(F.col("chunk").cast("bigint").alias("chunk")).agg(F.max("attempt").alias("attempts"))
+    return second.join(first, "chunk", "left").join(tries, "chunk").select(
+        "chunk", F.coalesce("first_run", F.lit(0)).alias("first_run"), "second_run", "attempts")
+
+
 @query("S11_metrics_json", "SELECT outlet, case_count FROM frequency", "frequency")
 def s11(r: Roles) -> DataFrame:
     return S.write_metrics(r.frequency(), fresh_path(r.spark, "metrics"))

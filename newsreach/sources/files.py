@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
 
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsreach.sources import commits
+from newsreach.sources.workspace import discard
+
 
 def read_table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Parquet table of a folder, limited to the columns asked for."""
@@ -89,21 +93,55 @@ def write_csv_gz(df: DataFrame, path: str) -> int:
     return seen.get["rows"]
 
 
-def publish(tables: Mapping[str, DataFrame], folder: str) -> dict[str, int]:
-    """Full refresh of serving tables; gives the rows written per table.
+def publish(
+    tables: Mapping[str, DataFrame], folder: str, unique: Mapping[str, Sequence[str]] | None = None, required: Sequence[str] | None = None
+) -> dict[str, int]:
+    """Full refresh of serving tables as one version; gives the rows written per table.
 
-    Every table is written completely before the next one; a failed run leaves the earlier tables new and
-    the rest as they were, and running it again repairs that.
+    All tables are written where nobody reads, then checked: each that is ``required`` (by default, each of the version
+    before) is there, none has lost rows on the way, and the ``unique`` keys are. Only then the next numbered pointer is put,
+    which readers resolve with ``published``; they see the version before or after it, whole. Any failure leaves the old
+    tables as they are and its own files are deleted.
     """
+    if not tables:
+        raise ValueError("nothing to publish")
+    spark = next(iter(tables.values())).sparkSession
+    version, current = commits.load(spark, f"{folder}/versions")
+    missing = set(current.get("tables", {}) if required is None else required) - set(tables)
+    if missing:
+        raise ValueError(f"tables missing from the version: {sorted(missing)}")
+    name = uuid.uuid4().hex
     rows = {}
-    for name, df in tables.items():
-        seen = Observation()
-        counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-        counted.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
-        rows[name] = seen.get["rows"]
+    try:
+        for table, df in tables.items():
+            seen = Observation()
+            counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+            path = f"{folder}/data/{name}/{table}"
+            counted.write.option("compression", "zstd").parquet(path)
+            rows[table] = seen.get["rows"]
+            written = spark.read.schema(df.schema).parquet(path)
+            if written.count() != rows[table]:
+                raise ValueError(f"{table}: {written.count()} rows written of {rows[table]}")
+            keys = (unique or {}).get(table)
+            if keys and not written.groupBy(*keys).count().where("count > 1").isEmpty():
+                raise ValueError(f"{table}: repeated keys {list(keys)}")
+        content = {"tables": {table: f"data/{name}/{table}" for table in tables}, "rows": rows}
+        if not commits.commit(spark, f"{folder}/versions", version + 1, content):
+            raise RuntimeError(f"version {version + 1} of {folder} was published by somebody else meanwhile")
+    except Exception:
+        discard(spark, f"{folder}/data/{name}")
+        raise
     return rows
 
 
+def published(spark: SparkSession, folder: str, table: str, version: int | None = None) -> DataFrame:
+    """A published table of the latest version, or of an earlier one; ask for several with one ``version``."""
+    number, content = commits.load(spark, f"{folder}/versions", version)
+    if table not in content.get("tables", {}):
+        raise FileNotFoundError(f"{table} in version {number} of {folder}")
+    return spark.read.parquet(f"{folder}/{content['tables'][table]}")
+
+
 def missing_rows(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows whose key has no result yet."""
     return df.join(done.select(*keys).distinct(), list(keys), "left_anti")

@@ -194,3 +194,53 @@ def test_intermediate_tables_go_to_the_shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
     stored = W.materialize(spark.range(3), "t")
     assert stored.count() == 3 and all(os.path.realpath(folder) in os.path.realpath(p.removeprefix("file:")) for p in stored.inputFiles())
+
+
+def test_a_failing_chunk_does_not_stop_the_others(spark, tmp_path):
+    from newsreach.sources.ledger import ledger, read_chunks, run_chunks
+
+    path, seen = str(tmp_path / "job"), []
+    df = spark.createDataFrame([(i, None if i % 4 == 3 else f"c{i % 4}") for i in range(20)], "k long, c string")
+    assert read_chunks(spark, path) is None and ledger(spark, path).count() == 0
+
+    def work(part):
+        name = part.first().c
+        seen.append(name)
+        if name == "c1" and seen.count("c1") == 1:
+            raise RuntimeError("no connection")
+        bad = F.when(F.col("c") == "c2", F.raise_error(F.lit("bad row"))) if seen.count("c2") == 1 and name == "c2" else F.lit("x")
+        return part.withColumn("v", bad)
+
+    first = run_chunks(df, "c", path, work)
+    assert sorted(first["done"]) == ["None", "c0"] and sorted(first["failed"]) == ["c1", "c2"]
+    assert sorted(r.k for r in read_chunks(spark, path).collect()) == [i for i in range(20) if i % 4 in (0, 3)]
+    notes = {r.chunk: r for r in ledger(spark, path).where("state = 'failed'").collect()}
+    assert "no connection" in notes["c1"].error and "bad row" in notes["c2"].error and notes["c1"].attempt == 1
+    second = run_chunks(df, "c", path, work)
+    assert sorted(second["done"]) == ["c1", "c2"] and not second["failed"]
+    assert sorted(r.k for r in read_chunks(spark, path).collect()) == list(range(20))
+    assert ledger(spark, path).where("chunk = 'c1' and state = 'done' and attempt = 2 and rows = 5").count() == 1
+    assert run_chunks(df, "c", path, work) == {"done": [], "failed": []}
+
+
+def test_a_version_is_published_whole_or_not_at_all(spark, tmp_path):
+    folder = str(tmp_path / "serving")
+    one, two = spark.range(5).withColumnRenamed("id", "k"), spark.range(3).withColumnRenamed("id", "k")
+    X.publish({"one": one, "two": two}, folder, unique={"one": ["k"]})
+    before = sorted(os.listdir(tmp_path / "serving" / "data"))
+    broken = two.select(F.when(F.col("k") == 1, F.raise_error(F.lit("lost"))).otherwise(F.col("k")).alias("k"))
+    for tables, unique, error in (
+        ({"one": one.limit(1), "two": broken}, None, Exception),
+        ({"one": one.union(one), "two": two}, {"one": ["k"]}, ValueError),
+        ({"one": one}, None, ValueError),
+        ({}, None, ValueError),
+    ):
+        with pytest.raises(error):
+            X.publish(tables, folder, unique)
+        assert X.published(spark, folder, "one").count() == 5 and X.published(spark, folder, "two").count() == 3
+        assert sorted(os.listdir(tmp_path / "serving" / "data")) == before
+    X.publish({"one": one.limit(1), "two": two.limit(2), "three": two}, folder)
+    assert [X.published(spark, folder, t).count() for t in ("one", "two", "three")] == [1, 2, 3]
+    assert [X.published(spark, folder, t, version=1).count() for t in ("one", "two")] == [5, 3]
+    with pytest.raises(FileNotFoundError):
+        X.published(spark, folder, "three", version=1)

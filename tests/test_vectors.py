@@ -217,3 +217,48 @@ def test_pivot_search_with_missing_and_odd_vectors(spark):
         assert listed(found) == {1: [1, 7, 8], None: [7, 8, 1], 5: [1, 4, 5]}, cells
         assert V.nearest(queries, corpus.limit(0), "q", ["k"], 3, V.SCORE_BONUS, broadcast_cells=cells).count() == 0
         assert V.nearest(queries.limit(0), corpus, "q", ["k"], 3, V.SCORE_BONUS, broadcast_cells=cells).count() == 0
+
+
+def flaky():
+    """A function that fails twice for each batch, then works; it always fails on a text that says so."""
+    tries = [0]
+
+    def call(texts):
+        tries[0] += 1
+        if "never" in texts:
+            raise ConnectionError("refused")
+        if tries[0] % 3:
+            raise TimeoutError("later")
+        return np.array([[len(t), 1.0] for t in texts])
+
+    return call
+
+
+def test_batch_calls_are_tried_again(spark, monkeypatch):
+    waits = []
+    monkeypatch.setattr(V.time, "sleep", waits.append)
+    assert V.called(flaky(), ["ab"], 3, 1.0).tolist() == [[2.0, 1.0]] and waits == [1.0, 2.0]
+    with pytest.raises(ConnectionError):
+        V.called(flaky(), ["never"], 8, 1.0)
+    assert waits[2:] == [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 60.0, 60.0]
+    with pytest.raises(ValueError):
+        V.called(lambda texts: np.zeros((1, 2)), ["a", "b"], 0, 0)
+    df = spark.createDataFrame([(i, "x" * i) for i in range(450)], "k int, t string").repartition(2)
+    assert V.embed(df, "t", flaky(), retries=3, wait=0.0).where("embedding is null").count() == 0
+    with pytest.raises(Exception, match="refused"):
+        V.embed(spark.createDataFrame([(1, "never")], "k int, t string"), "t", flaky(), retries=1, wait=0.0).collect()
+
+
+def test_failed_calls_are_noted_and_taken_up_by_the_next_run(spark, tmp_path):
+    path = str(tmp_path / "vectors")
+    rows = [(i, "never" if i == 250 else "x" * (i % 9)) for i in range(600)]
+    df = spark.createDataFrame(rows, "k int, t string").repartitionByRange(1, "k").sortWithinPartitions("k")
+    assert V.embedded(spark, path) is None
+    good, bad = V.embed_missing(df, ["k"], "t", flaky(), path, retries=2, wait=0.0)
+    assert (good, bad) == (400, 200)
+    notes = V.embedding_failures(spark, path).collect()
+    assert len(notes) == 200 and all("refused" in r.error for r in notes) and 250 in {r.k for r in notes}
+    calm = spark.createDataFrame([(i, "x" * (i % 9)) for i in range(600)], "k int, t string")
+    assert V.embed_missing(calm, ["k"], "t", flaky(), path, retries=2, wait=0.0) == (200, 0)
+    assert V.embedded(spark, path).select("k").distinct().count() == V.embedded(spark, path).count() == 600
+    assert V.embed_missing(calm, ["k"], "t", flaky(), path, retries=0, wait=0.0) == (0, 0)
