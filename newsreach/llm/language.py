@@ -2,7 +2,8 @@
 
 Every language gets a codeword; one binary classifier per bit, a logistic regression on hashed character n-grams,
 predicts that bit; decoding weighs the logistic loss of each bit by the bit's training accuracy and chooses the
-nearest codeword. A small gap to the next codeword flags the document as ambiguous.
+nearest codeword. A small gap to the next codeword flags the document as ambiguous. A loss against the nearest codeword
+that hardly any text of a known language has says that the text is in none of them (``loss_limits``, ``accepted``).
 """
 
 from __future__ import annotations
@@ -27,6 +28,11 @@ BITS = 16
 UNKNOWN = "und"
 #: Normalised gap between the nearest two codewords below which a document is ambiguous.
 GAP = 0.1
+#: Labelled documents, at most (in expectation), that limits of the loss are measured on, and the share of them within.
+CALIBRATION_ROWS = 4000
+WITHIN = 0.998
+#: Texts with fewer words have a limit of their own, as their losses scatter more.
+SHORT = 20
 
 
 def words_of(text: str) -> list[str]:
@@ -69,30 +75,31 @@ class LanguageModel:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "table": None}
 
-    def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(class, score, gap) of rows of bit margins: weighted logistic loss against each codeword, least first."""
+    def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(class, score, gap, least loss) of rows of bit margins: weighted logistic loss against each codeword, least first."""
         loss = (np.logaddexp(0, -margins[:, None, :] * self.code[None]) * self.trust).sum(axis=2)
         order = np.argsort(loss, axis=1, kind="stable")
         chance = np.exp(loss.min(axis=1, keepdims=True) - loss)
         score = chance.max(axis=1) / chance.sum(axis=1)
         ranked = np.take_along_axis(loss, order, axis=1)
         gap = (ranked[:, 1] - ranked[:, 0]) / np.maximum(ranked[:, 1] + ranked[:, 0], 1e-12) if len(self.classes) > 1 else np.ones(len(loss))
-        return order[:, 0], score, gap
+        return order[:, 0], score, gap, ranked[:, 0]
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
-        """lang_pred, score and ambiguous of each text; a NULL text or one without letters is ``und`` with score 0."""
+        """lang_pred, score, ambiguous and loss of each text; a NULL text or one without letters is ``und`` with score 0, without loss."""
         spelled = np.array([bool(x) and any(map(str.isalpha, x)) for x in texts], dtype=bool)
-        out = pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0, "ambiguous": True}, index=range(len(texts)))
+        out = pd.DataFrame({"lang_pred": UNKNOWN, "score": 0.0, "ambiguous": True, "loss": np.nan}, index=range(len(texts)))
         if not self.classes or not spelled.any():
             return out
         if self.table is None:
             self.table = WordTable(self.weights, SIZES, whole=False)
         known = [x for x, letters in zip(texts, spelled) if letters]
         margins = np.concatenate([self.table.averages(run, words_of) for run in groups_of(known)]) + self.bias
-        chosen, score, gap = self.decode(margins)
+        chosen, score, gap, loss = self.decode(margins)
         out.loc[spelled, "lang_pred"] = np.array(self.classes, dtype=object)[chosen]
         out.loc[spelled, "score"] = score
         out.loc[spelled, "ambiguous"] = gap < GAP
+        out.loc[spelled, "loss"] = loss
         return out
 
 
@@ -131,9 +138,9 @@ def fit_from_documents(docs: DataFrame, rows: int = SAMPLE_ROWS) -> LanguageMode
 
 
 def predict_column(model: LanguageModel, text: str = "text") -> Column:
-    """Struct of lang_pred, score and ambiguous for each row's text."""
+    """Struct of lang_pred, score, ambiguous and loss (NaN for ``und``) for each row's text."""
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
+    @F.pandas_udf("lang_pred string, score double, ambiguous boolean, loss double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield model.predict([x if isinstance(x, str) else None for x in batch])
@@ -141,6 +148,28 @@ def predict_column(model: LanguageModel, text: str = "text") -> Column:
     return predict(F.col(text))
 
 
+def _short(text: str) -> Column:
+    return F.size(F.split(F.substring(F.col(text), 1, 64 * SHORT), r"\s+", SHORT)) < SHORT
+
+
+def loss_limits(model: LanguageModel, docs: DataFrame, rows: int = CALIBRATION_ROWS) -> tuple[float, float]:
+    """Losses that ``WITHIN`` of the documents with a language stay within, (long, short) texts; none held out, few fitted on.
+
+    Measured on a bounded sample. Without a text of one kind its limit is that of the other, without any there is none.
+    """
+    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    found = sampled(known, rows, salt="calibration").select(_short("text").alias("short"), predict_column(model)["loss"].alias("loss")).where(~F.isnan("loss"))
+    limits = {r["short"]: r["limit"] for r in found.groupBy("short").agg(F.percentile("loss", F.lit(WITHIN)).alias("limit")).collect()}
+    most = max(limits.values(), default=float("inf"))
+    return limits.get(False, most), max(limits.get(True, most), limits.get(False, most))
+
+
+def accepted(model: LanguageModel, limits: tuple[float, float], text: str = "text") -> Column:
+    """Whether a text has letters and its loss is within the limit of its length."""
+    loss = predict_column(model, text)["loss"]
+    return ~F.isnan(loss) & (loss <= F.when(_short(text), F.lit(limits[1])).otherwise(F.lit(limits[0])))
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous of every document; extra columns play no part."""
     found = docs.select("doc_id", held_out().alias("held_out"), predict_column(model).alias("found"))

@@ -73,7 +73,8 @@ def frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
                 sizes.append(len(found))
                 terms.append(pairs[:, 0].tobytes())
                 counts.append(pairs[:, 1].tobytes())
-            yield pd.DataFrame({"doc": batch["doc"], "known": batch["known"], "n": sizes, "terms": terms, "counts": counts})
+            if sizes:
+                yield pd.DataFrame({"doc": batch["doc"], "known": batch["known"], "n": sizes, "terms": terms, "counts": counts})
 
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.col("doc_id").isNotNull().alias("known"), F.col("text").cast("string").alias("text"))
     return plain.mapInPandas(count, "doc long, known boolean, n long, terms binary, counts binary")

@@ -102,7 +102,8 @@ def fit_from_labels(docs: DataFrame, labels: DataFrame, label: str = "quality",
     A document with several label rows takes part once for each; a label without document is ignored.
     """
     known = sampled(labels.where(~held_out() & F.col(label).isNotNull()).select("doc_id", label), rows)
-    return fit(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "text", label)
+    # Repeated ids may multiply in the join, so the bound is set again behind it.
+    return fit(sampled(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), rows), "text", label)
 
 
 def classify(docs: DataFrame, model: QualityModel, threshold: float = 0.7) -> DataFrame:

@@ -18,16 +18,18 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def sampled(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
-    """About ``rows`` rows of ``df``, chosen by a hash of the key: the same rows however the table is partitioned.
+def sampled(df: DataFrame, rows: int, salt: str = "sample") -> DataFrame:
+    """About ``rows`` different rows of ``df``, chosen by a hash of all columns: the same ones however the table is partitioned.
 
-    Only for fitting; the bound keeps what reaches the driver fixed whatever the size of ``df``.
+    Only for fitting; the bound keeps what reaches the driver fixed whatever the size of ``df``. Rows that share an id
+    are drawn each on their own, and equal rows among the drawn, which come together, once.
     """
     total = df.count()
     if total <= rows:
         return df
     slots = 1 << 30
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(slots)) < int(slots * rows / total))
+    drawn = df.where(F.pmod(F.xxhash64(*df.columns, F.lit(salt)), F.lit(slots)) < int(slots * rows / total))
+    return drawn.distinct()
 
 
 def groups_of(texts: list[str], most_rows: int = 256, most_chars: int = 1 << 22) -> Iterator[list[str]]:

@@ -2,8 +2,11 @@
 
 Texts and lexicon are folded first (case, look-alike letters, digits that stand for letters). A term matches at the
 start of a word, so a stem catches its inflections. A match inside an exception phrase does not count. The sum of
-weights, on its own and relative to the length, goes through a logistic curve. Terms, weights and curve are learned
-from a bounded sample of labelled rows; a short list of seed terms takes part with a weak prior.
+weights, on its own and relative to the length, goes through a logistic curve. Terms, exceptions, weights and curve are
+learned from a bounded sample of labelled rows; no word is known beforehand.
+
+Limits of the lexicon: terms are word beginnings of 4 to 8 letters, so a longer word is known by its first eight and a
+shorter word never becomes a term; of the terms that qualify the ``TERMS`` of most toxic documents are kept.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsreach.llm.rows import held_out, sampled
+from newsreach.sources.workspace import materialize
 
 #: Documents the lexicon and the curve are fitted on, at most (in expectation).
 SAMPLE_ROWS = 8000
@@ -29,9 +33,9 @@ PURITY = 0.9
 LEAST_TOXIC = 4
 #: And this share of the toxic documents.
 LEAST_SHARE = 0.01
-SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "worthless", "pathetic", "disgusting", "trash", "clown")
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clownfish", "pond scum")
-SEED_PRIOR = 1.0
+#: Pairs of neighbouring words around a term that become exceptions: held by so many clean documents, at most this many pairs.
+LEAST_CLEAN = 3
+EXCEPTIONS = 1000
 
 # Letters that look alike, and digits and signs that stand for letters.
 LOOK_ALIKES = {
@@ -50,7 +54,7 @@ def fold(text: str) -> str:
 class Lexicon:
     """Automaton over the folded terms and exception phrases."""
 
-    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
+    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = ()):
         self.automaton = ahocorasick.Automaton()
         for phrase in exceptions:
             self.automaton.add_word(fold(phrase), (len(phrase), None))
@@ -103,7 +107,7 @@ class ToxicityModel:
 
     weights: dict[str, float]
     curve: np.ndarray
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     lexicon: Lexicon | None = field(default=None, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
@@ -142,16 +146,13 @@ def learn_terms(labelled: DataFrame, text: str, label: str) -> dict[str, float]:
     toxic_docs, clean_docs = int(whole[0]), int(whole[1] - whole[0])
     counted = pairs.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("all"))
     kept = counted.where((F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * toxic_docs)) & (F.col("toxic") >= PURITY * F.col("all"))).orderBy(F.desc("toxic"), "term").limit(4 * TERMS).collect()
-    seeds = {fold(word): (SEED_PRIOR, 0.0) for word in SEEDS}
-    for row in counted.where(F.col("term").isin(list(seeds))).collect():
-        seeds[row["term"]] = (row["toxic"] + SEED_PRIOR, row["all"] - row["toxic"])
-    found = {row["term"]: (row["toxic"], row["all"] - row["toxic"]) for row in kept} | seeds
+    found = {row["term"]: (row["toxic"], row["all"] - row["toxic"]) for row in kept}
     weights: dict[str, float] = {}
     for term in sorted(found, key=lambda x: (len(x), x)):
         if any(term[:n] in weights for n in range(min(LENGTHS), len(term))):
             continue
         toxic, clean = found[term]
-        weight = float(np.log((toxic + 0.5) / (toxic_docs + 1)) - np.log((clean + 0.5) / (clean_docs + 1))) if toxic_docs else SEED_PRIOR
+        weight = float(np.log((toxic + 0.5) / (toxic_docs + 1)) - np.log((clean + 0.5) / (clean_docs + 1)))
         if weight > 0:
             weights[term] = weight
         if len(weights) >= TERMS:
@@ -159,6 +160,31 @@ def learn_terms(labelled: DataFrame, text: str, label: str) -> dict[str, float]:
     return weights
 
 
+def phrases(text: str, lexicon: Lexicon) -> list[str]:
+    """Distinct folded pairs of neighbouring words of a text in which a term begins one of the words."""
+    if not any(map(lexicon.holds.__getitem__, text.split())):
+        return []
+    words = [word.strip(".,;:!?()\"'") for word in fold(text).split()]
+    marked = [bool(lexicon.matches(word)[0]) for word in words]
+    return list({f"{words[i]} {words[i + 1]}" for i in range(len(words) - 1) if (marked[i] or marked[i + 1]) and words[i] and words[i + 1]})
+
+
+def learn_exceptions(labelled: DataFrame, weights: dict[str, float], text: str, label: str) -> tuple[str, ...]:
+    """Word pairs around terms that clean documents hold and toxic ones hardly do, counted by Spark."""
+    lexicon = Lexicon(weights)
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [phrases(x or "", lexicon) for x in batch[text]]
+            if any(found):
+                yield pd.DataFrame({"phrase": [x for y in found for x in y], "toxic": np.repeat(batch[label].astype(int), list(map(len, found))).to_numpy()})
+
+    counted = labelled.select(text, label).mapInPandas(pairs, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("all"))
+    clean = F.col("all") - F.col("toxic")
+    kept = counted.where((clean >= LEAST_CLEAN) & (clean >= PURITY * F.col("all"))).orderBy(clean.desc(), "phrase").limit(EXCEPTIONS)
+    return tuple(row["phrase"] for row in kept.collect())
+
+
 def fit_curve(measures: np.ndarray, toxic: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
     """Logistic regression by Newton's method; the ridge keeps it finite where the classes are separable."""
     x, curve = inputs(measures), np.zeros(3)
@@ -175,9 +201,12 @@ def fit_curve(measures: np.ndarray, toxic: np.ndarray, ridge: float = 0.1, round
 def fit_from_labels(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fit on at most about ``rows`` labelled documents that are not held out; only counts reach the driver."""
     known = sampled(labels.where(~held_out() & F.col(label).isNotNull()).select("doc_id", label), rows)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    # Repeated ids may multiply in the join, so the bound is set again behind it.
+    labelled = materialize(sampled(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), rows), "labelled")
     # Exact copies say nothing new about a term.
-    model = ToxicityModel(learn_terms(labelled.dropDuplicates(["text", label]), "text", label), np.zeros(3))
+    once = labelled.dropDuplicates(["text", label])
+    weights = learn_terms(once, "text", label)
+    model = ToxicityModel(weights, np.zeros(3), learn_exceptions(once, weights, "text", label))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
