@@ -9,36 +9,35 @@ from pyspark.sql import functions as F
 
 from newsreach import constants as K
 from newsreach.functions.text import bare_name, short_place
+from newsreach.sources.workspace import materialize
 
 
-def _pieces(text: Column, lengths: Column) -> Column:
-    """Distinct substrings of ``text`` with one of the given lengths."""
-
-    def of_length(size: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.length(text) - size + 1), lambda start: F.substring(text, start, size)
-        )
-
-    fitting = F.filter(lengths, lambda size: (size > 0) & (size <= F.length(text)))
-    return F.array_distinct(F.flatten(F.transform(fitting, of_length)))
+def _grams(text: Column, single: bool) -> Column:
+    """Distinct neighbouring character pairs of a text, and with ``single`` its characters too; one pass over the text."""
+    pairs = F.regexp_extract_all(text, F.lit(r"(?s)(?=(..))"), 1)
+    return F.array_distinct(F.concat(pairs, F.regexp_extract_all(text, F.lit(r"(?s)(.)"), 1)) if single else pairs)
 
 
-def names_in_text(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """All (text, name) pairs where the name occurs in the text, for distinct texts and names.
+def names_in_text(texts: DataFrame, text: str, names: DataFrame, name: str, on: Sequence[str] = ()) -> DataFrame:
+    """All (text, name) pairs where the name occurs in the text, for distinct texts and names, with the names' other columns.
 
-    "Contains" as an equi-join: a text is cut into its substrings of exactly the lengths that occur
-    among the names, and these are joined to the names by equality. No nested loop, no broadcast of a
-    side of unknown size. Meant for short texts such as a location or a title.
+    "Contains" as an equi-join: each name is known by its rarest pair of neighbouring characters, counted over the
+    names (a name of one character by itself). A text is cut into its pairs, which meet only the names that are
+    known by one of them, and each of those is looked for in the text. So a text costs as many rows as it has
+    pairs, and is itself carried once. With ``on``, texts and names must agree in these columns.
     """
-    lengths = names.agg(F.collect_set(F.length(name))).scalar()
-    pieces = (
-        texts.select(text)
-        .where(F.col(text) != "")
-        .distinct()
-        .withColumn("__lengths", lengths)
-        .select(text, F.explode(_pieces(F.col(text), F.col("__lengths"))).alias(name))
-    )
-    return pieces.join(names, name)
+    keys = [*on, name]
+    known = materialize(names.where(F.col(name) != "").select(*keys).distinct(), "names")
+    single = bool(known.agg(F.min(F.length(name)) == 1).first()[0])
+    each = known.select(*keys, F.explode(_grams(F.col(name), single)).alias("__gram")).where((F.length(name) == 1) | (F.length("__gram") == 2))
+    counted = each.join(each.groupBy("__gram").agg(F.count(F.lit(1)).alias("__held")), "__gram")
+    index = counted.groupBy(*keys).agg(F.min_by("__gram", F.struct("__held", "__gram")).alias("__gram"))
+    read = texts.where(F.col(text) != "").select(*on, text).distinct().withColumn("__key", F.xxhash64(*on, text))
+    grams = read.select(*on, "__key", F.explode(_grams(F.col(text), single)).alias("__gram"))
+    met = grams.join(index, [*on, "__gram"]).select(*on, "__key", name).distinct()
+    # Two texts under one key are both looked at.
+    found = met.join(read.select(F.col("__key").alias("__read"), text), (F.col("__key") == F.col("__read")) & F.contains(F.col(text), F.col(name)))
+    return found.select(*on, text, name).join(names, keys)
 
 
 def resolve_place(df: DataFrame, text: str, places: DataFrame, out: str = "prefecture_id") -> DataFrame:
@@ -94,7 +93,7 @@ def name_leaks(
     """Proposals that mention a company of the cases they were drawn from, counted per case set.
 
     Names lose their legal form and must keep two characters. As in ``names_in_text`` the test is an
-    equi-join, here on case set and name together, so neither side is paired with the whole of the other.
+    equi-join, here on case set and characters together, so neither side is paired with the whole of the other.
     """
     names = (
         cases.where(F.col(company) != "")
@@ -102,19 +101,11 @@ def name_leaks(
         .where(F.length("__name") >= K.MIN_NAME_LENGTH)
         .distinct()
     )
-    lengths = names.agg(F.collect_set(F.length("__name"))).scalar()
-    leaked = (
-        proposals.select(*case_set, *proposal, text)
-        .withColumn("__lengths", lengths)
-        .select(*case_set, *proposal, F.explode(_pieces(F.col(text), F.col("__lengths"))).alias("__name"))
-        .join(names, [*case_set, "__name"], "left_semi")
-        .select(*case_set, *proposal)
-        .distinct()
-        .withColumn("__leak", F.lit(1))
-    )
+    found = names_in_text(proposals, text, names, "__name", case_set).select(*case_set, text).distinct()
+    leaked = found.withColumn("__leak", F.lit(1))
     return (
-        proposals.select(*case_set, *proposal)
-        .join(leaked, [*case_set, *proposal], "left")
+        proposals.select(*case_set, *proposal, text)
+        .join(leaked, [*case_set, text], "left")
         .groupBy(*case_set)
         .agg(F.count(F.lit(1)).alias("proposals"), F.count("__leak").alias("leaks"))
     )

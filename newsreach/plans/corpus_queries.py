@@ -205,6 +205,66 @@ def j9(r: Roles) -> DataFrame:
     return resolve_place(customers, "place_text", places)
 
 
+SUFFIX_TEXT = """
+    texts AS (
+        SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'Hall in ' || r_name || '県 near ' || n_name
+                               WHEN 'MACHINERY' THEN r_name || ' centre, ' || n_name
+                               WHEN 'AUTOMOBILE' THEN n_name || ' fair'
+                               ELSE substr(r_name, 1, 3) || '都' END AS place_text
+        FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    full_hit AS (SELECT c_custkey, min(r_regionkey) AS id FROM texts JOIN region ON contains(place_text, r_name || '県') GROUP BY 1),
+    short_hit AS (SELECT c_custkey, min(r_regionkey) AS id FROM texts JOIN region ON contains(place_text, r_name) GROUP BY 1),
+    votes AS (SELECT c_custkey, n_regionkey AS id, count(*) AS v FROM texts JOIN nation ON contains(place_text, n_name) GROUP BY 1, 2),
+    best AS (SELECT c_custkey, max(v) AS v FROM votes GROUP BY 1),
+    city_hit AS (SELECT c_custkey, CASE WHEN count(*) = 1 THEN min(id) END AS id FROM votes JOIN best USING (c_custkey, v) GROUP BY 1)"""
+
+
+@query("J9_suffix_stage", f"""
+    WITH {SUFFIX_TEXT}
+    SELECT t.c_custkey, place_text, coalesce(f.id, s.id, c.id) AS prefecture_id
+    FROM texts t LEFT JOIN full_hit f USING (c_custkey) LEFT JOIN short_hit s USING (c_custkey) LEFT JOIN city_hit c USING (c_custkey)""")
+def j9_suffix(r: Roles) -> DataFrame:
+    """Names with a suffix, which texts give with it, without it or not at all: all three stages decide."""
+    nation, region = r.table("nation"), r.table("region")
+    places = C.place_index(
+        region.select(F.concat("r_name", F.lit("県")).alias("name"), F.col("r_regionkey").alias("prefecture_id")),
+        nation.select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("prefecture_id")),
+    )
+    segment, n_name, r_name = F.col("c_mktsegment"), F.col("n_name"), F.col("r_name")
+    text = (
+        F.when(segment == "BUILDING", F.concat(F.lit("Hall in "), r_name, F.lit("県 near "), n_name))
+        .when(segment == "MACHINERY", F.concat(r_name, F.lit(" centre, "), n_name))
+        .when(segment == "AUTOMOBILE", F.concat(n_name, F.lit(" fair")))
+        .otherwise(F.concat(F.left(r_name, F.lit(3)), F.lit("都")))
+    )
+    customers = (
+        r.table("customer", "c_custkey", "c_nationkey", "c_mktsegment")
+        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("c_custkey", text.alias("place_text"))
+    )
+    return resolve_place(customers, "place_text", places)
+
+
+@query("J12_legal_forms", """
+    WITH cases AS (SELECT c_mktsegment AS category, trim(replace(replace(CASE WHEN c_acctbal > 7000 THEN '株式会社' || c_name
+                          ELSE c_name || ' 合同会社' END, '株式会社', ''), '合同会社', '')) AS name
+                   FROM customer WHERE c_acctbal > 5000 UNION SELECT DISTINCT c_mktsegment, '' FROM customer)
+    SELECT category, count(*) AS proposals,
+           count(*) FILTER (WHERE EXISTS (SELECT 1 FROM cases c WHERE c.category = r.category AND c.name <> '' AND c.name = r.company_name)) AS leaks
+    FROM release r GROUP BY 1""", "release")
+def j12_legal(r: Roles) -> DataFrame:
+    """Company names with legal forms before and behind, and a case whose name is a legal form alone."""
+    proposals = r.release().select(
+        "category", "release_id", F.concat(F.lit("Follow "), "company_name", F.lit(" up")).alias("text")
+    )
+    customers = r.table("customer", "c_name", "c_mktsegment", "c_acctbal")
+    name = F.when(F.col("c_acctbal") > 7000, F.concat(F.lit("株式会社"), "c_name")).otherwise(F.concat("c_name", F.lit(" 合同会社")))
+    cases = customers.where("c_acctbal > 5000").select(F.col("c_mktsegment").alias("category"), name.alias("company_name"))
+    bare = customers.select(F.col("c_mktsegment").alias("category"), F.lit("有限会社").alias("company_name")).distinct()
+    return name_leaks(proposals, cases.union(bare), ["category"], ["release_id"], "text", "company_name")
+
+
 @query("J12_name_leaks", """
     SELECT category, count(*) AS proposals, count(*) FILTER (WHERE c_acctbal > 5000) AS leaks
     FROM release JOIN customer ON company_id = c_custkey GROUP BY 1""", "release")

@@ -108,3 +108,33 @@ def test_checks_raise(spark):
     with pytest.raises(ValueError, match="differ"):
         R.assert_same_count(twice, once, KEY)
     assert R.assert_same_count(once, once, KEY) is once
+
+
+def test_names_are_found_by_their_rarest_pair(spark):
+    """All contained names against Python's ``in``; one-character names, long texts, line breaks, NULL and empty texts."""
+    import random
+
+    from newsreach.operators.place import names_in_text
+
+    rng = random.Random(4)
+    letters = "abcd東京\n\U0001f600"
+    names = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(60)})
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(80)] + [None, "", "a", texts_of(rng, letters)]
+    found = names_in_text(
+        spark.createDataFrame([(t,) for t in texts], "t string"), "t",
+        spark.createDataFrame([(n, i) for i, n in enumerate([*names, "", None])], "n string, i int"), "n",
+    )
+    want = {(t, n) for t in texts if t for n in names if n in t}
+    assert sorted((r.t, r.n) for r in found.collect()) == sorted(want) and len(want) > 100
+
+
+def texts_of(rng, letters):
+    return "".join(rng.choice("xyz") for _ in range(100_000)) + "".join(rng.choice(letters) for _ in range(50))
+
+
+def test_a_long_text_costs_its_pairs(spark):
+    from newsreach.operators.place import _grams
+
+    text = "".join(chr(97 + i % 26) for i in range(100_000))
+    row = spark.createDataFrame([(text,)], "t string").select(F.size(_grams(F.col("t"), False)).alias("n")).first()
+    assert row.n == 26
