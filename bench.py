@@ -25,7 +25,7 @@ HEADLINE = {
     "regional_lift": "A5_lift",
     "regional_reach": "A6_regional_reach",
     "search": "V3_search",
-    "search_pivots": "V3_search_grid",
+    "search_pivots": "V3_search_pivots",
     "plan_score": "V4_plan_score",
     "distinctive_outlets": "V5_distinctive_overall",
     "paired_effect": "A21_paired_effect",

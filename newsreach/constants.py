@@ -68,7 +68,7 @@ CAUSAL_FIELDS = ("place",)
 # Learning and evaluation
 TEST_FRACTION = 0.2
 VALID_FRACTION = 0.1
-SEED = 20260814
+SEED = 7919
 MISSING_CATEGORY = 0
 GROUP_SIZE = 20
 NDCG_K = 10

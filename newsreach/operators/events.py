@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsreach import constants as K
-from newsreach.functions.moments import is_all_day, parse_moment, wall_literal
+from newsreach.functions.moments import is_all_day, parse_moment, render_moment, wall_literal
 from newsreach.functions.text import event_text, fit_columns
 from newsreach.operators.place import resolve_place
 from newsreach.operators.vectors import SCORE_BONUS, plan_score
@@ -40,6 +40,16 @@ def _between(df: DataFrame, at: str, start: datetime, end: datetime) -> DataFram
     return df.where((F.col(at) >= wall_literal(start, dtype)) & (F.col(at) < wall_literal(end, dtype)))
 
 
+def listing_order(df: DataFrame, by: Sequence[str] = (), at: str = "starts_at", zone: str = K.LOCAL_ZONE) -> DataFrame:
+    """Add ``start_text``, the start as it is shown, and ``position`` (from 1) in the order of these texts.
+
+    A list of events is finally ordered by the shown text, in which a whole-day event is a plain date; so it comes before
+    all timed events whose text begins with that date, whatever the instants are. Equal texts go by id.
+    """
+    shown = df.withColumn("start_text", render_moment(at, "all_day", zone))
+    return shown.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy("start_text", "id")))
+
+
 def in_month(df: DataFrame, year_month: str, at: str = "starts_at") -> DataFrame:
     """Rows of one month, written as a range so that it reaches the file scan."""
     first = _month_start(year_month)
@@ -236,20 +246,45 @@ def attach_draft(events: DataFrame, drafts: DataFrame, on: str = "id") -> DataFr
     )
 
 
-def diff_versions(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+# Ranges that the keys of two versions are dealt to before they are compared
+DIGEST_RANGES = 4096
+
+
+def differing_ranges(before: DataFrame, after: DataFrame, ranges: int) -> DataFrame:
+    """Ranges (``__range``) whose rows (``__key``, ``__digest``) are not the same in both; ``ranges`` rows at most."""
+
+    def digests(version: DataFrame, name: str) -> DataFrame:
+        rows = F.struct(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("__key", "__digest").cast("decimal(38,0)")).alias("sum"))
+        return version.groupBy(F.pmod("__key", F.lit(ranges)).alias("__range")).agg(rows.alias(name))
+
+    both = digests(before, "__before").join(digests(after, "__after"), "__range", "full_outer")
+    return both.where(~F.col("__before").eqNullSafe(F.col("__after"))).select("__range")
+
+
+def diff_versions(old: DataFrame, new: DataFrame, keys: Sequence[str], ranges: int = DIGEST_RANGES) -> DataFrame:
     """Keys that are new, changed or gone between two versions of a table (U4).
 
     Columns of either version count; one that a version lacks is NULL there. NULL is a value and a key like any other.
+    Keys are dealt to ``ranges`` by their hash; one digest of each range is compared first, counted before the shuffle, and
+    only rows of ranges that differ meet in a join. Versions that differ in few rows shuffle few rows.
     """
     rest = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c not in keys]
 
-    def digest(version: DataFrame) -> Column:
+    def hashed(version: DataFrame, columns: Sequence[str]) -> Column:
         # The hash passes over NULL, so where the NULLs are is hashed too.
-        cells = [F.col(c) if c in version.columns else F.lit(None).cast("string") for c in rest]
-        return F.xxhash64(*[part for cell in cells for part in (cell, cell.isNull())])
+        cells = [F.col(c) if c in version.columns else F.lit(None).cast("string") for c in columns]
+        return F.xxhash64(F.lit(0), *[part for cell in cells for part in (cell, cell.isNull())])
+
+    before = old.select(*keys, hashed(old, rest).alias("__digest"), hashed(old, keys).alias("__key"))
+    after = new.select(*keys, hashed(new, rest).alias("__digest"), hashed(new, keys).alias("__key"))
+    differ = materialize(differing_ranges(before, after, ranges), "differing-ranges")
+
+    def kept(version: DataFrame) -> DataFrame:
+        marked = version.withColumn("__range", F.pmod("__key", F.lit(ranges)))
+        return marked.join(F.broadcast(differ), "__range", "left_semi")  # as many rows as there are ranges, at most
 
-    before = old.select(*keys, digest(old).alias("__old"))
-    after = new.select(*[F.col(key).alias(f"__n_{key}") for key in keys], digest(new).alias("__new"))
+    left = kept(before).select(*keys, F.col("__digest").alias("__old"))
+    right = kept(after).select(*[F.col(key).alias(f"__n_{key}") for key in keys], F.col("__digest").alias("__new"))
     same = F.lit(True)
     for position, key in enumerate(keys):
         pair = F.col(key).eqNullSafe(F.col(f"__n_{key}"))
@@ -260,4 +295,4 @@ def diff_versions(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
         .when(F.col("__old") != F.col("__new"), "changed")
     )
     named = [F.when(F.col("__old").isNull(), F.col(f"__n_{key}")).otherwise(F.col(key)).alias(key) for key in keys]
-    return before.join(after, same, "full_outer").select(*named, change.alias("change")).where("change IS NOT NULL")
+    return left.join(right, same, "full_outer").select(*named, change.alias("change")).where("change IS NOT NULL")

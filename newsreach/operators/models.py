@@ -7,11 +7,13 @@ import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.base import Model
 from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
+    GBTRegressionModel,
     GBTRegressor,
     LinearRegression,
     LinearRegressionModel,
@@ -118,6 +120,25 @@ def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
+def first_trees(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The boosted model of the first ``rounds`` trees and their weights."""
+    if rounds >= model.getNumTrees:
+        return model
+    context = SparkContext._active_spark_context
+    trees, weights = model._java_obj.trees(), model.treeWeights
+    kind = context._jvm.org.apache.spark.ml.regression
+    kept = context._gateway.new_array(kind.DecisionTreeRegressionModel, rounds)
+    shares = context._gateway.new_array(context._jvm.double, rounds)
+    for place in range(rounds):
+        kept[place], shares[place] = trees[place], float(weights[place])
+    cut = kind.GBTRegressionModel(model.uid, kept, shares)
+    for name in ("featuresCol", "labelCol", "predictionCol"):
+        cut.set(cut.getParam(name), model._java_obj.getOrDefault(model._java_obj.getParam(name)))
+    found = GBTRegressionModel(cut)
+    found._transfer_params_from_java()
+    return found
+
+
 def fit_gbt(
     df: DataFrame, target: str = "pv_score", column: str = "features", rounds: int = K.BOOST_ROUNDS, depth: int = 5,
     patience: int = K.BOOST_PATIENCE,
@@ -125,8 +146,8 @@ def fit_gbt(
     """Gradient-boosted trees on the train rows, up to the round that is best on the validation rows.
 
     Fits of doubling length go on until ``patience`` rounds have brought nothing better or ``rounds`` are reached.
-    The trees of a shorter fit are the first ones of a longer fit, so a last fit ends at the best round. Without
-    validation rows all ``rounds`` are fitted.
+    The trees of a shorter fit are the first ones of a longer fit, so the model is the longest one cut behind the best
+    round. Without validation rows all ``rounds`` are fitted.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -149,7 +170,7 @@ def fit_gbt(
         model = boosted(length)
         best, ended = best_round(model.evaluateEachIteration(valid, "squared"), patience)
         if ended or length == rounds:
-            return model if best == length else boosted(best)
+            return first_trees(model, best)
         length = min(rounds, 2 * length)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsreach import constants as K
@@ -19,19 +19,25 @@ def placed_media(base: DataFrame, media: DataFrame, keys: Sequence[str], place:
     return media.join(placed, list(keys))
 
 
+def _lift_of(placed: DataFrame, base: DataFrame, place: str, outlet: str) -> DataFrame:
+    """Lift from the outlets of the placed cases, read once; all else works on the counts of (place, outlet)."""
+    hits = placed.groupBy(place, outlet).agg(F.count(F.lit(1)).alias("hits"))
+    overall = F.sum("hits").over(Window.partitionBy(outlet))
+    in_place = base.where(F.col(place).isNotNull()).groupBy(place).agg(F.count(F.lit(1)).alias("place_cases"))
+    # one row per place, so one task holds them all
+    sized = in_place.withColumn("cases", F.sum("place_cases").over(Window.partitionBy()))
+    joined = hits.withColumn("outlet_hits", overall).join(sized, place)
+    value = (F.col("hits").cast("double") / F.col("place_cases")) / (F.col("outlet_hits").cast("double") / F.col("cases"))
+    return joined.select(place, outlet, "hits", value.alias("lift"))
+
+
 def lift(base: DataFrame, media: DataFrame, keys: Sequence[str], place: str, outlet: str) -> DataFrame:
     """How much more often an outlet appears in a place than overall, per (place, outlet) (A5).
 
     All counts are map-side combined. Outlet totals come from the (place, outlet) counts, not from a
     second pass over the outlet rows.
     """
-    in_place = base.where(F.col(place).isNotNull()).groupBy(place).agg(F.count(F.lit(1)).alias("place_cases"))
-    hits = placed_media(base, media, keys, place).groupBy(place, outlet).agg(F.count(F.lit(1)).alias("hits"))
-    overall = hits.groupBy(outlet).agg(F.sum("hits").alias("outlet_hits"))
-    cases = in_place.agg(F.sum("place_cases")).scalar()
-    joined = hits.join(overall, outlet).join(in_place, place)
-    value = (F.col("hits").cast("double") / F.col("place_cases")) / (F.col("outlet_hits").cast("double") / F.col("cases"))
-    return joined.withColumn("cases", cases).select(place, outlet, "hits", value.alias("lift"))
+    return _lift_of(placed_media(base, media, keys, place), base, place, outlet)
 
 
 def regional_reach(
@@ -42,11 +48,15 @@ def regional_reach(
     outlet: str,
     lift_min: float = K.LIFT_MIN,
 ) -> DataFrame:
-    """Regional outlets per case: those whose lift in the case's place reaches ``lift_min``."""
-    regional = lift(base, media, keys, place, outlet).where(F.col("lift") >= lift_min).select(place, outlet)
+    """Regional outlets per case: those whose lift in the case's place reaches ``lift_min``.
+
+    The outlets of the placed cases are joined once and stored, and so is the list of regional (place, outlet) pairs,
+    whose known size lets Spark broadcast it while it is small.
+    """
+    placed = materialize(placed_media(base, media, keys, place).select(*keys, place, outlet), "placed-media")
+    regional = _lift_of(placed, base, place, outlet).where(F.col("lift") >= lift_min).select(place, outlet)
     return (
-        placed_media(base, media, keys, place)
-        .join(regional, [place, outlet], "left_semi")
+        placed.join(materialize(regional, "regional-outlets"), [place, outlet], "left_semi")
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("regional_reach"))
     )

@@ -127,7 +127,9 @@ def build_index(
 ) -> PivotIndex:
     """Index of the vectors (all of one length); those with a NaN or infinite number, or without a reach that counts, are left out."""
     rows = corpus.count()
-    number = int(min(MOST_PIVOTS, max(1, np.ceil(np.sqrt(rows)))))
+    parts = int(min(MOST_LEAVES, max(1, -(-rows // leaf_rows))))
+    # more cells than leaves would only make the leaves small
+    number = int(min(MOST_PIVOTS, 4 * parts, max(1, np.ceil(np.sqrt(rows)))))
     sample = corpus.orderBy(F.xxhash64(*keys), *keys).select(vector).limit(SAMPLED * number).toPandas()
     drawn = np.stack(sample[vector].to_numpy()).astype(np.float64) if len(sample) else np.zeros((0, 1))
     towards, norm = unit(drawn[np.isfinite(drawn).all(axis=1)])
@@ -152,7 +154,6 @@ def build_index(
     if reach_column is not None and reach:
         gain = F.lit(reach) * F.col(reach_column)
         placed = placed.where(F.col(reach_column).isNotNull() & ~F.isnan(F.col(reach_column).cast("double")))
-    parts = int(min(MOST_LEAVES, max(1, -(-rows // leaf_rows))))
     ranged = placed.repartitionByRange(parts, F.col("__at.cell"), F.col("__at.angle"), *[F.col(c) for c in keys])
     members = materialize(ranged.withColumn("__leaf", F.col("__at.cell") * F.lit(2 * MOST_LEAVES) + F.spark_partition_id()), "pivot-members")
     leaves = members.groupBy(F.col("__leaf").alias("leaf")).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsreach.operators import effects as E
-from newsreach.plans.registry import query, rounded
+from newsreach.plans.registry import ORACLES, query, rounded
 from newsreach.plans.stand_ins import KEY, Roles
 
 SUMMARY = ("mean_difference", "win_rate", "median_difference", "median_ratio")
@@ -95,6 +95,17 @@ def a20(r: Roles) -> DataFrame:
     return rounded(rounded(table, "median"), "mean", digits=4)
 
 
+@query("A20_ordinal_in_a_day_split", """
+    WITH numbered AS (SELECT row_number() OVER (PARTITION BY starts_at::DATE ORDER BY id) AS ordinal, score FROM calendar)
+    SELECT ordinal::INTEGER AS ordinal, 'score' AS metric, count(score) AS n, round(median(score), 6) AS median, round(avg(score), 9) AS mean
+    FROM numbered GROUP BY 1 HAVING count(score) > 0""", "calendar")
+def a20_day(r: Roles) -> DataFrame:
+    """Entities whose rows all fall on one moment, split by what breaks the ties."""
+    days = r.events().select(F.col("starts_at").cast("date").alias("day"), "id", "score")
+    table = E.by_ordinal(days, ["day"], "day", ["id"], ["score"], hot_rows=0)
+    return rounded(rounded(table, "median"), "mean", digits=9)
+
+
 @query("A20_by_ordinal_split", ORDINAL_SQL, "reached")
 def a20_split(r: Roles) -> DataFrame:
     """The same with every entity treated as a hot one."""
@@ -161,6 +172,13 @@ def a24(r: Roles) -> DataFrame:
     return rounded(E.one_vs_rest(dated, ["category", "quarter"], "place", "page_view"), *SUMMARY)
 
 
+@query("A24_one_vs_rest_split", ORACLES["A24_one_vs_rest"])
+def a24_split(r: Roles) -> DataFrame:
+    """The same with every cell treated as a hot one."""
+    dated = r.release().withColumn("quarter", F.trunc(F.col("created_at").cast("date"), "quarter"))
+    return rounded(E.one_vs_rest(dated, ["category", "quarter"], "place", "page_view", hot_rows=0), *SUMMARY)
+
+
 @query("A25_rate_contrast", f"""
     WITH {FLAGGED}
     SELECT outlet, count(*) FILTER (WHERE flag) AS cases_with, count(*) FILTER (WHERE NOT flag) AS cases_without,
@@ -193,6 +211,13 @@ def a27(r: Roles) -> DataFrame:
     return rounded(E.term_effect(docs, "text", TERMS, ["source", "lang"], "n_chars"), *SUMMARY)
 
 
+@query("A27_term_effect_split", ORACLES["A27_term_effect"])
+def a27_split(r: Roles) -> DataFrame:
+    """The same with every cell treated as a hot one."""
+    docs = r.table("documents", "text", "source", "lang", "n_chars")
+    return rounded(E.term_effect(docs, "text", TERMS, ["source", "lang"], "n_chars", hot_rows=0), *SUMMARY)
+
+
 @query("A27_effect_correlation", f"""
     WITH base AS (SELECT source, lang, text, n_chars, length(text) - length(replace(text, '.', '')) AS dots FROM documents),
     t AS (SELECT term, source, lang, n_chars, dots, contains(text, term) AS flag

@@ -23,6 +23,18 @@ def f3(r: Roles) -> DataFrame:
     return found.select("id", "user_id", "starts_at", "ends_at")
 
 
+@query("F3_listing_order", """
+    WITH shown AS (SELECT id, user_id, CASE WHEN title = 'view' THEN strftime(starts_at + INTERVAL 9 HOUR, '%Y-%m-%d')
+                          ELSE strftime(starts_at, '%Y-%m-%dT%H:%M:%S')
+                               || CASE WHEN microsecond(starts_at) % 1000000 = 0 THEN '' ELSE strftime(starts_at, '.%f') END || '+00:00' END AS start_text FROM calendar)
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_text, id)::INTEGER AS position FROM shown""", "calendar")
+def f3_listing(r: Roles) -> DataFrame:
+    """Every user's events in the order of the shown start; views last all day."""
+    instant = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("starts_at")).cast("timestamp")
+    events = r.events().withColumns({"starts_at": instant, "all_day": F.col("title") == "view"})
+    return E.listing_order(events, ["user_id"]).select("id", "user_id", "start_text", "position")
+
+
 @query("F4_in_month", "SELECT o_orderkey, o_orderdate FROM orders WHERE date_trunc('month', o_orderdate) = DATE '1998-12-01'")
 def f4(r: Roles) -> DataFrame:
     return E.in_month(r.table("orders", "o_orderkey", "o_orderdate"), "1998-12", "o_orderdate")
@@ -168,3 +180,15 @@ def u4(r: Roles) -> DataFrame:
         "o_totalprice", F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
     )
     return E.diff_versions(old, new, ["o_orderkey"])
+
+
+@query("U4_diff_few_rows", """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 1 THEN 'gone' ELSE 'changed' END AS change
+    FROM orders WHERE o_orderkey % 1000 = 1 OR (o_orderkey % 1000 = 2 AND o_orderpriority IS NOT NULL)""")
+def u4_few(r: Roles) -> DataFrame:
+    """Versions that differ in few rows, so that few of the ranges are compared row by row."""
+    orders = r.table("orders", "o_orderkey", "o_orderpriority", "o_totalprice")
+    new = orders.where("o_orderkey % 1000 <> 1").withColumn(
+        "o_orderpriority", F.when(F.col("o_orderkey") % 1000 != 2, F.col("o_orderpriority"))
+    )
+    return E.diff_versions(orders, new, ["o_orderkey"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from newsreach.operators import outcome as O
 from newsreach.operators import rollup as R
@@ -90,3 +91,28 @@ def w5_split(r: Roles) -> DataFrame:
     """The same ranks with every place treated as a hot one."""
     ranked = O.place_midrank(r.corpus().select("release_id", "place", "regional_reach"), "place", "regional_reach", hot_rows=0)
     return rounded(ranked.select("release_id", "regional_score"), "regional_score", digits=9)
+
+
+@query("corpus_enriched", """
+    WITH told AS (SELECT o_orderkey AS release_id, o_orderpriority AS subtitle, CASE WHEN o_orderstatus = 'O' THEN o_orderstatus END AS body_head
+                  FROM orders WHERE o_orderstatus <> 'P'),
+    viewed AS (SELECT o_orderkey AS release_id, o_totalprice AS page_view FROM orders WHERE o_totalprice > 100000),
+    joined AS (SELECT r.release_id, r.created_at, r.place, coalesce(t.subtitle, '') AS subtitle, coalesce(t.body_head, '') AS body_head,
+                      coalesce(v.page_view, 0)::DOUBLE AS page_view, coalesce(g.regional_reach, 0) AS regional_reach
+               FROM release r LEFT JOIN told t USING (release_id) LEFT JOIN viewed v USING (release_id) LEFT JOIN regional g USING (release_id))
+    SELECT release_id, subtitle, body_head, page_view, regional_reach,
+           round((percent_rank() OVER m + cume_dist() OVER m) / 2, 9) AS pv_score,
+           round((percent_rank() OVER p + cume_dist() OVER p) / 2, 9) AS regional_score
+    FROM joined WINDOW m AS (PARTITION BY date_trunc('month', created_at) ORDER BY page_view), p AS (PARTITION BY place ORDER BY regional_reach)""",
+    "release regional")
+def enriched(r: Roles) -> DataFrame:
+    """The working corpus in one go: text and views where there are any, regional reach, both scores on a fair scale."""
+    orders = r.table("orders", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice")
+    status = F.col("o_orderstatus")
+    told = orders.where(status != "P").select(
+        F.col("o_orderkey").alias("release_id"), F.col("o_orderpriority").alias("subtitle"), F.when(status == "O", status).alias("body_head"))
+    viewed = orders.where("o_totalprice > 100000").select(F.col("o_orderkey").alias("release_id"), F.col("o_totalprice").cast("double").alias("page_view"))
+    base = r.release().select("release_id", "created_at", "place")
+    corpus = O.enrich(base, told, viewed, r.media(), KEY, "place", "outlet", lift_min=LIFT_MIN)
+    picked = corpus.select("release_id", "subtitle", "body_head", "page_view", "regional_reach", "pv_score", "regional_score")
+    return rounded(picked, "pv_score", "regional_score", digits=9)

@@ -75,6 +75,12 @@ def v3_grid(r: Roles) -> DataFrame:
     return V.nearest(r.queries(), r.vectors(), "query_id", KEY, 8, V.SEARCH_BONUS, broadcast_cells=0, block_rows=200)
 
 
+@query("V3_search_pivots", f"WITH {SEARCH}, {top_sql(8)} SELECT query_id, release_id, score, rank FROM top", "vectors")
+def v3_pivots(r: Roles) -> DataFrame:
+    """The index of pivot cells with leaves of the usual size."""
+    return V.nearest(r.queries(), r.vectors(), "query_id", KEY, 8, V.SEARCH_BONUS, broadcast_cells=0)
+
+
 @query("V4_plan_score", f"""
     WITH {NEAR}, {top_sql(20)} SELECT query_id, round(median(pv_score), 9) AS plan_score FROM top GROUP BY 1""", "vectors")
 def v4(r: Roles) -> DataFrame:

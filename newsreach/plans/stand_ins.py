@@ -197,15 +197,17 @@ SQL = {
     "reached": "reached AS (SELECT r.*, u.reach FROM release r JOIN rollup u USING (release_id))",
     "placed": """placed AS (
         SELECT m.release_id, m.outlet, r.place FROM media m JOIN release r USING (release_id) WHERE r.place IS NOT NULL)""",
-    "lift": """lift AS (
-        SELECT h.place, h.outlet, h.hits,
-               (h.hits::DOUBLE / p.n) / (o.hits::DOUBLE / (SELECT count(*) FROM release WHERE place IS NOT NULL)) AS lift
-        FROM (SELECT place, outlet, count(*) AS hits FROM placed GROUP BY 1, 2) h
-        JOIN (SELECT place, count(*) AS n FROM release WHERE place IS NOT NULL GROUP BY 1) p USING (place)
-        JOIN (SELECT outlet, count(*) AS hits FROM placed GROUP BY 1) o USING (outlet))""",
+    # Rate of an outlet among the cases of a place over its rate among all placed cases.
+    "lift": """rates AS (
+        SELECT place, count(*) AS in_place, sum(count(*)) OVER () AS everywhere FROM release WHERE place IS NOT NULL GROUP BY place),
+    seen AS (SELECT place, outlet, count(*) AS hits FROM placed GROUP BY place, outlet),
+    lift AS (
+        SELECT seen.place, outlet, hits,
+               (hits::DOUBLE / in_place) / (sum(hits) OVER (PARTITION BY outlet)::DOUBLE / everywhere) AS lift
+        FROM seen JOIN rates ON seen.place = rates.place)""",
     "regional": """regional AS (
-        SELECT p.release_id, count(*) AS regional_reach FROM placed p JOIN lift l USING (place, outlet)
-        WHERE l.lift >= 1.2 GROUP BY 1)""",
+        SELECT release_id, count(*) AS regional_reach
+        FROM placed SEMI JOIN (SELECT place, outlet FROM lift WHERE lift >= 1.2) AS pairs USING (place, outlet) GROUP BY release_id)""",
     "corpus": """corpus AS (
         SELECT r.*, coalesce(g.regional_reach, 0) AS regional_reach
         FROM reached r LEFT JOIN regional g USING (release_id))""",

@@ -105,6 +105,24 @@ def test_versions(spark):
     assert {r.k: r.change for r in E.diff_versions(old, new, ["k"]).collect()} == {1: "gone", 2: "changed", 4: "new"}
 
 
+def test_only_ranges_that_differ_are_joined(spark):
+    old = spark.range(5000).selectExpr("id as k", "id % 7 as v")
+    new = old.withColumn("v", F.when(F.col("k") == 1234, 99).otherwise(F.col("v")))
+    keyed = [df.select(F.xxhash64("k").alias("__key"), F.xxhash64("v").alias("__digest")) for df in (old, new)]
+    assert E.differing_ranges(*keyed, 4096).count() == 1 and E.differing_ranges(keyed[0], keyed[0], 4096).count() == 0
+    assert [tuple(r) for r in E.diff_versions(old, new, ["k"]).collect()] == [(1234, "changed")]
+    assert E.diff_versions(old, old, ["k"]).count() == 0 and E.diff_versions(old.limit(0), new, ["k"], 3).count() == 5000
+    twice = old.union(old.where("k = 3"))
+    assert E.diff_versions(old, twice, ["k"]).count() == 0
+
+
+def test_listing_goes_by_the_shown_text(spark):
+    rows = [(1, datetime(2026, 8, 1, 9), False), (2, datetime(2026, 8, 1, 0), True), (3, datetime(2026, 8, 1, 1), False), (4, datetime(2026, 7, 31, 16), True)]
+    df = spark.createDataFrame(rows, "id int, starts_at timestamp, all_day boolean")
+    got = {r.id: (r.start_text, r.position) for r in E.listing_order(df).collect()}
+    assert got[2] == ("2026-08-01", 1) and got[4] == ("2026-08-01", 2) and got[3][1] == 3 and got[1] == ("2026-08-01T09:00:00+00:00", 4)
+
+
 CORPUS = "k long, embedding array<float>, category int, place int, pv_score double"
 
 
