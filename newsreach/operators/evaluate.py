@@ -84,8 +84,9 @@ def ndcg_per_group(
     """NDCG@k of every group with linear gain; 0 where the ideal is 0; equal predictions by key (M5).
 
     Only the k best rows by prediction and by outcome of a group are needed. Both cuts are ranks with a
-    limit, which Spark applies before the shuffle.
+    limit, which Spark applies before the shuffle. The narrow rows are stored, as both read them.
     """
+    df = materialize(df.select(*dict.fromkeys([*group, *keys, pred, actual])), "judged")
     discount = F.log2(F.col("__r") + 1)
 
     def dcg(order: list, name: str) -> DataFrame:
@@ -246,8 +247,9 @@ def metric_report(
     df: DataFrame, models: Sequence[str], actual: str, entity: Sequence[str], keys: Sequence[str], k: int = K.NDCG_K,
     size: int = K.GROUP_SIZE, min_rows: int = K.ENTITY_MIN_ROWS, seed: int = 0,
 ) -> DataFrame:
-    """All metrics of several models on the same rows, one row per model (M8)."""
+    """All metrics of several models on the same rows, one row per model (M8). The narrow rows are computed once."""
     keep = [*dict.fromkeys([*keys, *entity]), actual]
+    df = materialize(df.select(*dict.fromkeys([*keep, *models])), "reported")
     rows = melt_models(df, models, keep)
     random = melt_models(fixed_groups(df, keys, size, seed), models, [*keep, "group_id"])
     large = melt_models(entity_groups(df, entity, min_rows), models, keep)
@@ -274,7 +276,7 @@ def metric_report(
 
 def rank_average(df: DataFrame, columns: Sequence[str], out: str = "ensemble") -> DataFrame:
     """Mean of the ranks of several predictions, scaled to 0..1."""
-    ranked = df
+    df = ranked = materialize(df, "averaged")
     for position, column in enumerate(columns):
         ranked = avg_rank(ranked, column, f"__r{position}")
     total = sum((F.col(f"__r{i}") for i in range(1, len(columns))), F.col("__r0"))

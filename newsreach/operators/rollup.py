@@ -12,6 +12,7 @@ from newsreach.functions.moments import wall_literal
 from newsreach.functions.scoring import log_score
 from newsreach.functions.text import text_flags
 from newsreach.operators.ranks import quantiles
+from newsreach.sources.workspace import materialize
 
 
 def project_release(
@@ -65,7 +66,8 @@ def outlet_set(log: DataFrame, keys: Sequence[str], outlet: str, own: object) ->
 
 
 def corpus_report(corpus: DataFrame, entity: str, reach: str, place: str) -> DataFrame:
-    """One row: size, entities, reach median and range, rows with a place (A3)."""
+    """One row: size, entities, reach median and range, rows with a place (A3). The corpus is computed once."""
+    corpus = materialize(corpus.select(entity, reach, place), "reported")
     # distinct entities by way of a group-by, so that the row count needs no second pass
     per_entity = corpus.groupBy(entity).agg(
         F.count(F.lit(1)).alias("rows"),
@@ -109,12 +111,10 @@ def fill_report(corpus: DataFrame, media: DataFrame, body: str, views: str, regi
         F.count_if(F.col(regional) > 0).alias("with_regional"),
     )
     per_outlet = media.groupBy(outlet).agg(F.count(F.lit(1)).alias("rows"))
-    return filled.withColumns(
-        {
-            "media_rows": per_outlet.agg(F.sum("rows")).scalar(),
-            "media_outlets": per_outlet.agg(F.count(outlet)).scalar(),
-        }
-    )
+    # both figures are one subquery, so the outlets are read once
+    counted = per_outlet.agg(F.struct(F.sum("rows").alias("rows"), F.count(outlet).alias("outlets"))).scalar()
+    both = filled.withColumn("__media", counted)
+    return both.select(*filled.columns, F.col("__media.rows").alias("media_rows"), F.col("__media.outlets").alias("media_outlets"))
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -153,7 +153,8 @@ def assert_same_count(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
 
 
 def reach_score(df: DataFrame, reach: str, out: str = "reach_score") -> DataFrame:
-    """Log-scaled reach relative to the largest reach of the table."""
+    """Log-scaled reach relative to the largest reach of the table, which is stored for it."""
+    df = materialize(df, "scaled")
     return df.withColumn(out, log_score(reach, df.agg(F.max(reach)).scalar()))
 
 
@@ -163,5 +164,6 @@ def score_drift(df: DataFrame, at: str, score: str) -> DataFrame:
 
 
 def with_share(df: DataFrame, count: Column, name: str = "share") -> DataFrame:
-    """Append the share of ``count`` in its total over the whole table."""
+    """Append the share of ``count`` in its total over the whole table, which is stored for it."""
+    df = materialize(df, "shared-out")
     return df.withColumn(name, count / df.agg(F.sum(count)).scalar())

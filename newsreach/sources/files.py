@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +22,38 @@ def read_table(spark: SparkSession, folder: str, name: str, columns: Sequence[st
     return df if columns is None else df.select(*columns)
 
 
+# Files whose first lines are read at a time, and bytes of a first line at most
+HEADER_READERS = 16
+HEADER_BYTES = 1 << 20
+
+
+def _first_line(spark: SparkSession, path: str) -> str:
+    """First line of a plain or gzip file; no more than its first block is read."""
+    java, target = spark._jvm.java.io, spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).open(target)
+    try:
+        raw = spark._jvm.java.util.zip.GZIPInputStream(stream) if path.endswith(".gz") else stream
+        reader = java.BufferedReader(java.InputStreamReader(raw, "UTF-8"), 1 << 13)
+        line = reader.readLine() or ""
+        if len(line) > HEADER_BYTES:
+            raise ValueError(f"{path} begins with a line of {len(line)} characters")
+        return line.removeprefix("\ufeff")
+    finally:
+        stream.close()
+
+
 def _headers(spark: SparkSession, pattern: str) -> dict[tuple[str, ...], list[str]]:
-    """Files of a glob, grouped by their header. Spark takes one line of each file, never the whole."""
+    """Files of a glob, grouped by their header: a catalogue of first lines, read side by side without any Spark job.
+
+    A header is one line; its names may be quoted. Empty files have none and no rows.
+    """
+    paths = sorted(spark.read.text(pattern).inputFiles())
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    for path in sorted(spark.read.text(pattern).inputFiles()):
-        header = spark.read.option("header", True).option("escape", '"').csv(path).columns
-        groups[tuple(header)].append(path)
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        for path, line in zip(paths, pool.map(lambda path: _first_line(spark, path), paths)):
+            header = next(csv.reader([line]), [])
+            if header:
+                groups[tuple(header)].append(path)
     return groups
 
 
@@ -36,6 +64,9 @@ def read_csv_glob(spark: SparkSession, pattern: str, types: Mapping[str, str] |
     wrong columns. Parts are therefore read per distinct header and united by name; a missing column is
     NULL. Quotes are doubled, fields may hold line breaks, and an unquoted empty field is NULL. Without
     ``types`` they are inferred per header, which costs a pass over the files.
+
+    The first lines of all files are catalogued first, so the number of jobs is that of the distinct headers. As fields may
+    hold line breaks, each file is one task; a gzip file is so in any case. Write many files of some 100 MB.
     """
     parts = []
     for header, paths in sorted(_headers(spark, pattern).items()):

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
+# Paths of the stored tables; inside a ``scope`` those of the scope, else those of the process
 _stored: list[str] = []
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +44,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     outlives executors, so a lost executor costs a re-read and not a recomputation.
     """
     path = fresh_path(df.sparkSession, name)
-    _stored.append(path)
+    (_scopes.get() or (_stored,))[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -50,10 +55,26 @@ def discard(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the ``with`` block are deleted at its end, and no others.
+
+    Write the results that rest on them inside the block. Scopes may be nested, and each thread has its own.
+    """
+    mine: list[str] = []
+    token = _scopes.set((*_scopes.get(), mine))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in mine:
+            discard(spark, path)
+
+
 def drop_materialized(spark: SparkSession) -> int:
-    """Delete the intermediate tables this process has stored; gives their number.
+    """Delete the intermediate tables this process has stored outside of any ``scope``; gives their number.
 
-    Call it once the results that rest on them have been written.
+    Call it once all results that rest on them have been written; a ``scope`` deletes those of one result only.
     """
     dropped = 0
     while _stored:

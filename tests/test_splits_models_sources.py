@@ -145,6 +145,74 @@ def test_csv_parts_are_matched_by_name(spark, tmp_path):
         X.read_csv_glob(spark, str(tmp_path / "none*.csv"))
 
 
+def test_many_csv_files_take_a_constant_number_of_jobs(spark, tmp_path):
+    import gzip
+
+    def jobs(count):
+        folder = tmp_path / f"n{count}"
+        folder.mkdir()
+        for i in range(count):
+            names = ("a,b", "b,a")[i % 2]
+            body = (f'{names}\n' + ("1,x\n" if i % 2 == 0 else '"y ""z""\nw",2\n')).encode()
+            path = folder / f"p{i:04d}.csv{'.gz' if i % 3 == 0 else ''}"
+            path.write_bytes(gzip.compress(body) if i % 3 == 0 else body)
+        (folder / "empty.csv").write_bytes(b"")
+        spark.sparkContext.setJobGroup(f"csv{count}", "")
+        table = X.read_csv_glob(spark, f"{folder}/*", {"a": "int"})
+        rows = table.groupBy("a", "b").count().collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert {(r.a, r.b): r["count"] for r in rows} == {(1, "x"): -(-count // 2), (2, 'y "z"\nw'): count // 2}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"csv{count}"))
+
+    # above 32 paths Spark lists them in a job
+    assert jobs(100) == jobs(300) <= 8
+
+
+def test_a_scope_deletes_its_own_tables_only(spark, monkeypatch):
+    monkeypatch.setattr(W, "_stored", [])
+    path = lambda df: df.inputFiles()[0].removeprefix("file:").removeprefix("//")
+    outer = path(W.materialize(spark.range(2), "outer"))
+    with W.scope(spark):
+        first = path(W.materialize(spark.range(2), "first"))
+        with W.scope(spark):
+            second = path(W.materialize(spark.range(2), "second"))
+        assert os.path.exists(first) and not os.path.exists(second)
+    assert os.path.exists(outer) and not os.path.exists(first)
+    assert W.drop_materialized(spark) == 1 and not os.path.exists(outer)
+
+
+def counted(spark, df):
+    """The table with an accumulator of how many of its rows have been computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(count, df.schema), seen
+
+
+def test_inputs_are_computed_once(spark):
+    from newsreach.operators import evaluate as V
+    from newsreach.operators import rollup as R
+
+    base = spark.range(300).selectExpr("id as k", "id % 20 as g", "id % 7 as p", "cast(id * 37 % 101 as double) as x", "cast(id % 11 as double) as y")
+    for run in (
+        lambda df: R.reach_score(df, "x"),
+        lambda df: R.with_share(df, F.col("x")),
+        lambda df: R.corpus_report(df, "g", "x", "p"),
+        lambda df: V.ndcg_per_group(df, ["g"], "x", "y", ["k"]),
+        lambda df: V.metric_report(df, ["x", "y"], "y", ["g"], ["k"]),
+        lambda df: V.rank_average(df, ["x", "y"]),
+        lambda df: V.bootstrap_gap(df, "x", "y", "y", ["k"], rounds=3),
+        lambda df: R.fill_report(base.withColumn("t", F.lit("a")), df, "t", "x", "y", "p"),
+    ):
+        df, seen = counted(spark, base)
+        run(df).collect()
+        assert seen.value == 300
+
+
 def test_resumed_job_does_only_what_is_missing(spark, tmp_path):
     path, seen = str(tmp_path / "out"), []
 
