@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsreach.llm.rows import groups_of, held_out, sampled
+from newsreach.llm.rows import groups_of, held_out, lean, sampled
 from newsreach.llm.subwords import Examples, WordTable, scatter
 
 #: Documents the classifiers are fitted on, at most (in expectation).
@@ -141,6 +141,7 @@ def predict_column(model: LanguageModel, text: str = "text") -> Column:
     """Struct of lang_pred, score, ambiguous and loss (NaN for ``und``) for each row's text."""
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean, loss double")
+    @lean
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield model.predict([x if isinstance(x, str) else None for x in batch])
@@ -158,8 +159,10 @@ def loss_limits(model: LanguageModel, docs: DataFrame, rows: int = CALIBRATION_R
     Measured on a bounded sample. Without a text of one kind its limit is that of the other, without any there is none.
     """
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    found = sampled(known, rows, salt="calibration").select(_short("text").alias("short"), predict_column(model)["loss"].alias("loss")).where(~F.isnan("loss"))
-    limits = {r["short"]: r["limit"] for r in found.groupBy("short").agg(F.percentile("loss", F.lit(WITHIN)).alias("limit")).collect()}
+    found = sampled(known, rows, salt="calibration").select(_short("text").alias("short"), predict_column(model)["loss"].alias("loss"))
+    # A filter on the loss would compute it twice, in two Python workers a core.
+    within = F.percentile(F.when(~F.isnan("loss"), F.col("loss")), F.lit(WITHIN))
+    limits = {r["short"]: r["limit"] for r in found.groupBy("short").agg(within.alias("limit")).collect() if r["limit"] is not None}
     most = max(limits.values(), default=float("inf"))
     return limits.get(False, most), max(limits.get(True, most), limits.get(False, most))
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsreach.llm.rows import groups_of, held_out, sampled
+from newsreach.llm.rows import groups_of, held_out, lean, sampled
 from newsreach.llm.subwords import Examples, WordTable, scatter
 
 #: Documents the model is fitted on, at most (in expectation).
@@ -89,6 +89,7 @@ def score_column(model: QualityModel, text: str = "text") -> Column:
     """Score of each row's text, 0 to 1; NULL counts as the empty text."""
 
     @F.pandas_udf("double")
+    @lean
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(model.scores([x or "" for x in batch]))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +47,24 @@ def groups_of(texts: list[str], most_rows: int = 256, most_chars: int = 1 << 22)
         chars += len(text)
     if run:
         yield run
+
+
+def lean(compute: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches, called for one batch after the other, that gives its memory back to the system in between.
+
+    For functions that keep nothing from batch to batch. Spark keeps Python workers for the next stages; without this
+    each would go on holding as much as its largest batch took.
+    """
+
+    @wraps(compute)
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            yield from compute(iter((batch,)))
+            del batch
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
