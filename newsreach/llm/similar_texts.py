@@ -4,6 +4,12 @@ A text is known by its key, a hash of its words, so exact copies are one text fr
 ``width`` words. Each of ``BANDS`` bands hashes the least values of ``ROWS`` hash functions over the shingles; texts
 that agree in a band are candidates. A pair at similarity s is proposed with probability 1 - (1 - s ** ROWS) ** BANDS:
 0.99994 at 0.8, more above. Candidates are linked only if their shingle sets reach the similarity themselves.
+
+A crowd that shares a band is first compared with single members, which joins near copies in as many comparisons as
+there are texts. Of what stays apart (light edits of one short text, say) two texts are compared only if they share one
+of their rarest shingles: of sets x and y at similarity s, ordered by how many of these texts hold each shingle, the
+first of the shared ones is among the first |x| - ceil(s |x|) + 1 of x, and as many of y. Unlike texts of a crowd
+begin with their own edits and never meet. Texts travel as sets of hashed shingles, counted once.
 """
 
 from __future__ import annotations
@@ -13,11 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsreach.llm.components import connected_components
 from newsreach.llm.near_duplicates import words_of
+from newsreach.llm.rows import lean
 from newsreach.sources.workspace import materialize
 
 WIDTH = 5
@@ -25,8 +32,10 @@ SIMILARITY = 0.8
 BANDS = 32
 ROWS = 6
 SEED = 42
-#: Rounds that compare each crowd with one member, before all pairs are compared that are not joined by then.
+#: Rounds that compare each crowd with one member, before what is not joined by then is compared by rare shingles.
 STARS = 2
+#: Shingles in more than one of this many of the compared texts are dealt apart; there are few of them.
+HOT_SHINGLES = 1000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -34,6 +43,7 @@ def key_column(text: str = "text") -> Column:
     """Key of each row's words as a long; texts without words (or NULL) share one."""
 
     @F.pandas_udf("long")
+    @lean
     def compute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             keys = [xxhash.xxh64_intdigest(b" ".join(words_of(x or "")), SEED) for x in batch]
@@ -87,61 +97,112 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def values_of(docs: DataFrame, width: int) -> DataFrame:
-    """Distinct (value, key) of all band values of the texts."""
+def marked_rows(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, key and band values (none for a text without words) of every row, in one pass over the texts."""
+
+    @lean
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, values = [], []
+            for text in batch["text"]:
+                keys.append(xxhash.xxh64_intdigest(b" ".join(words_of(text or "")), SEED))
+                found = shingles(text, width)
+                values.append(bands(found) if len(found) else found.view(np.int64))
+            if keys:
+                yield pd.DataFrame({"doc": batch["doc"], "known": batch["known"], "key": np.array(keys, np.uint64).view(np.int64), "values": values})
+
+    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.col("doc_id").isNotNull().alias("known"), F.col("text").cast("string").alias("text"))
+    found = plain.mapInPandas(compute, "doc long, known boolean, key long, values array<long>")
+    return found.select(F.when(F.col("known"), F.col("doc")).alias("doc_id"), "key", "values")
+
+
+def sets_of(texts: DataFrame, width: int) -> DataFrame:
+    """key, size and hashes (as bytes, ascending) of the shingle set of each row of ``texts`` (key, text)."""
 
+    @lean
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = ((key, shingles(text, width)) for key, text in zip(batch["key"], batch["text"]))
-            found = [(key, bands(x)) for key, x in sets if len(x)]
-            if found:
-                yield pd.DataFrame({"value": np.concatenate([x for _, x in found]), "key": np.repeat(np.array([k for k, _ in found], np.int64), BANDS)})
+            sets = [shingles(x, width) for x in batch["text"]]
+            if sets:
+                yield pd.DataFrame({"key": batch["key"], "size": [len(x) for x in sets], "shingles": [x.tobytes() for x in sets]})
 
-    return docs.select("key", "text").mapInPandas(compute, "value long, key long").distinct()
+    return texts.mapInPandas(compute, "key long, size long, shingles binary")
 
 
-def shared(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose ``texts`` (key, text) reach the similarity ``least``."""
+def shared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose ``sets`` (key, size, shingles) reach the similarity ``least``."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, one = None, None
         for batch in batches:
-            keep = []
-            for a, first, second in zip(batch["a"], batch["first"], batch["second"]):
-                if a != last:
-                    last, one = a, shingles(first, width)
-                keep.append(similarity(one, shingles(second, width)) >= least)
+            keep = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(batch["first"], batch["second"])]
             yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
-    first = texts.select(F.col("key").alias("a"), F.col("text").alias("first"))
-    second = texts.select(F.col("key").alias("b"), F.col("text").alias("second"))
-    return pairs.join(second, "b").join(first, "a").select("a", "b", "first", "second").mapInPandas(check, "a long, b long")
+    first = sets.select(F.col("key").alias("a"), F.col("size").alias("m"), F.col("shingles").alias("first"))
+    second = sets.select(F.col("key").alias("b"), F.col("size").alias("n"), F.col("shingles").alias("second"))
+    met = pairs.join(second, "b").join(first, "a").where((F.col("m") >= least * F.col("n")) & (F.col("n") >= least * F.col("m")))
+    return met.select("a", "b", "first", "second").mapInPandas(check, "a long, b long")
 
 
-def roots(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
-    """(key, root) of every key of ``docs`` (key, text) that is linked to another; the root is the smallest key.
+def rare_pairs(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of keys of ``rest`` (key, root) with different roots that share one of their rarest shingles.
 
-    Links are the pairs of candidates with a similarity of ``least`` or more; all candidate pairs are compared but those
-    already in one component. A crowd is first compared with single members, so a group of near copies is joined in as
-    many comparisons as it has texts and only what remains apart is compared pair by pair.
+    Rarity counts the texts of ``rest`` alone. Among the pairs is every one that reaches the similarity ``least``.
+    """
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                rows = batch.iloc[start : start + 1000]
+                yield pd.DataFrame({
+                    "key": np.repeat(rows["key"].to_numpy(np.int64), rows["size"]), "root": np.repeat(rows["root"].to_numpy(np.int64), rows["size"]),
+                    "size": np.repeat(rows["size"].to_numpy(np.int64), rows["size"]), "shingle": np.frombuffer(b"".join(rows["shingles"]), np.int64),
+                })
+
+    named = rest.join(sets, "key")
+    each = materialize(named.mapInPandas(spread, "key long, root long, size long, shingle long"), "rest-shingles")
+    held = materialize(each.groupBy("shingle").agg(F.count("*").alias("texts")), "shingle-texts")
+    texts = rest.count()
+    # Each is in more than a thousandth of the texts, but a shingle set of bounded texts has few such; the size is checked.
+    hot = materialize(held.where(F.col("texts") > max(texts // HOT_SHINGLES, 1000)), "hot-shingles")
+    few = hot.count() <= 1_000_000
+    common = F.broadcast(hot) if few else hot
+    counted = each.join(common, "shingle").union(each.join(common.select("shingle"), "shingle", "left_anti").join(held, "shingle").select("shingle", "key", "root", "size", "texts"))
+    order = Window.partitionBy("key").orderBy("texts", "shingle")
+    placed = counted.withColumn("place", F.row_number().over(order))
+    first = placed.where((F.col("place") <= F.col("size") - F.ceil(least * F.col("size")) + 1) & (F.col("texts") > 1))
+    left = materialize(first.select("shingle", "key", "root", "size", "place"), "rare-shingles")
+    right = left.select("shingle", *[F.col(x).alias(f"other_{x}") for x in ("key", "root", "size", "place")])
+    met = left.join(right, "shingle").where("key < other_key and root <> other_root")
+    # What both can share from here on, against what the similarity asks for.
+    most = 1 + F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place"))
+    needed = F.lit(least / (1 + least)) * (F.col("size") + F.col("other_size"))
+    return met.where(most >= needed - 1e-6).select(F.col("key").alias("a"), F.col("other_key").alias("b")).distinct()
+
+
+def roots(marked: DataFrame, docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
+    """(key, root) of every key of ``marked`` (key, values) that is linked to another; the root is the smallest key.
+
+    Links are the pairs of candidates with a similarity of ``least`` or more. A crowd is first compared with single
+    members, so a group of near copies is joined in as many comparisons as it has texts; what remains apart is
+    compared where its rarest shingles meet. Only texts of ``docs`` (key, text) that share a band are read again.
     """
-    values = materialize(values_of(docs, width), "band-values")
+    values = materialize(marked.select("key", F.explode("values").alias("value")).select("value", "key").distinct(), "band-values")
     crowds = values.groupBy("value").count().where("count > 1").select("value")
     members = materialize(values.join(crowds, "value").withColumn("root", F.col("key")), "band-members")
     candidates = members.select("key").distinct()
-    texts = materialize(docs.select("key", "text").join(candidates, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")), "candidates")
+    texts = docs.select("key", "text").join(candidates, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    sets = materialize(sets_of(texts, width), "candidates")
     links = found = None
     for turn in range(STARS + 1):
         centre = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "root")).alias("centre")
         apart = members.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), centre).where("low < high")
         if turn < STARS:
             met = members.join(apart, "value").where("root <> centre.root").select(F.col("centre.key").alias("x"), F.col("key").alias("y"))
+            pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         else:
-            rest = materialize(members.join(apart.select("value"), "value"), "band-rest")
-            other = rest.select("value", F.col("key").alias("y"), F.col("root").alias("other"))
-            met = rest.join(other, "value").where("root < other").select(F.col("key").alias("x"), "y")
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = materialize(shared(pairs, texts, width, least), "similar")
+            rest = materialize(members.join(apart.select("value"), "value").select("key", "root").distinct(), "band-rest")
+            pairs = rare_pairs(rest, sets, least)
+        new = materialize(shared(pairs, sets, least), "similar")
         links = new if links is None else links.union(new)
         found = materialize(connected_components(links), "roots")
         if turn < STARS:
@@ -152,6 +213,6 @@ def roots(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> Dat
 
 def similar_texts(docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
     """doc_id, key, root of every row: rows with one root are copies or near copies of each other, over one or more links."""
-    keyed = docs.select(F.col("doc_id").cast("long"), key_column().alias("key"), "text")
-    marked = materialize(keyed.drop("text"), "keys")
-    return marked.join(roots(keyed, width, least), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+    marked = materialize(marked_rows(docs, width), "keys")
+    keyed = docs.select(key_column().alias("key"), F.col("text").cast("string").alias("text"))
+    return marked.select("doc_id", "key").join(roots(marked, keyed, width, least), "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
