@@ -200,7 +200,7 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id",
     vectors are one point of the graphs: of its rows only the k + 1 smallest keys can be among the k nearest, so a
     crowd of copies stays small. No rows give no rows; extra columns play no part.
     """
-    rows = table.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector")).distinct()
+    rows = table.where(usable(vector) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).distinct()
     asked = F.col("id") % every == 0
     smallest = rows.withColumn("place", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("place") <= k + 1)
     members = smallest.groupBy("vector").agg(F.min("id").alias("point"), F.array_sort(F.collect_set("id")).alias("ids"))
@@ -225,13 +225,15 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id",
                 asking = part[part["query"]]
                 if len(asking) and keys:
                     if graph is None:
-                        graph = Graph(np.array(vectors, np.float32))
+                        graph = Graph(np.array(vectors, np.float64))
                         vectors, names = [], np.array(keys, np.int64)
-                    for query, row, score in graph.nearest(np.array(list(asking["vector"]), np.float32), k + 1):
+                    for query, row, score in graph.nearest(np.array(list(asking["vector"]), np.float64), k + 1):
                         yield pd.DataFrame({"query": asking["point"].to_numpy()[query], "point": names[row], "score": score})
 
     # A shard's points come before the queries that visit it, so a task holds one graph and passes queries in batches.
-    dealt = index.union(visits).repartition(4 * shards, "shard").sortWithinPartitions("shard", "query")
+    # Shards are dealt by their number, one to a task; a hash would let some share a task while others idle.
+    place = F.pmod("shard", F.lit(shards)).cast("int")
+    dealt = index.union(visits).repartitionById(shards, place).sortWithinPartitions("shard", "query")
     found = dealt.mapInPandas(visit, "query long, point long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "point")
     top = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)

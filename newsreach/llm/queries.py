@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from newsreach.llm import (
@@ -12,8 +13,8 @@ from newsreach.llm import (
 from newsreach.llm.rows import table
 
 #: Where the public tokenizers' vocabularies lie; parameters of the operators that read them.
-WORD_BPE = "/opt/tokenizers/word_bpe_49k.json"
-PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_pruned_graph_search(spark: SparkSession, folder: str) -> DataFrame:

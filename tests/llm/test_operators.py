@@ -144,14 +144,103 @@ def test_codewords_stay_apart(classes):
 
 
 def test_toxicity_folds_and_spares(spark, awkward):
-    model = toxicity.ToxicityModel({toxicity.fold(w): 5.0 for w in ("idiot", "loser", "trash")}, np.array([-4.0, 2.0, 2.0]))
+    model = toxicity.ToxicityModel({toxicity.fold(w): 5.0 for w in ("idiot", "loser", "trash")}, np.array([-4.0, 2.0, 2.0]), ("trash can",))
     scores = model.scores(["you IDIOTS", "1d1ot", "l0ser", "іdiоt", "put it in the trash can", "videotrash", "", "a fine day"])
     assert (scores[:4] > 0.3).all() and (scores[4:] < 0.3).all()
     rows = [(i, f"word{i} idiot text" if i % 3 == 0 else f"word{i} fine text", int(i % 3 == 0)) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     learned = toxicity.fit_from_labels(df.drop("toxic"), df.select("doc_id", "toxic"))
     assert {r.doc_id for r in toxicity.classify(df, learned).where("predicted = 1").collect()} == {i for i in range(60) if i % 3 == 0}
-    assert toxicity.classify(awkward, learned).count() == len(AWKWARD)
+    assert toxicity.classify(awkward, learned).count() == len(AWKWARD) and toxicity.classify(awkward.limit(0), learned).count() == 0
+    # A pair of words that clean documents hold is spared, learned from the labels as well.
+    terms = {toxicity.fold("idiot"): 3.0}
+    spared = [(i, f"x{i} the clown fish swims", 0) for i in range(5)] + [(9, "you clown fool", 1), (10, "a clown fool", 1)]
+    table_of = spark.createDataFrame(spared, "doc_id long, text string, toxic int")
+    assert toxicity.learn_exceptions(table_of, {toxicity.fold("clown"): 3.0}, "text", "toxic") == (toxicity.fold("clown fish"), toxicity.fold("the clown"))
+    assert toxicity.learn_exceptions(table_of.limit(0), terms, "text", "toxic") == ()
+
+
+def plain_measure(model, text):
+    """Sum of weights of a text by trying every term at every word start, the longest of each start."""
+    folded = toxicity.fold(text)
+    spared = [(i, i + len(p)) for p in map(toxicity.fold, model.exceptions) for i in range(len(folded)) if folded.startswith(p, i)]
+    spared = [(a, b) for a, b in spared if not a or not folded[a - 1].isalnum()]
+    total = 0.0
+    for i in range(len(folded)):
+        if not i or not folded[i - 1].isalnum():
+            held = [t for t in model.weights if folded.startswith(t, i)]
+            if held:
+                term = max(held, key=len)
+                total += 0.0 if any(a <= i and i + len(term) <= b for a, b in spared) else model.weights[term]
+    return total, len(text.split())
+
+
+def test_toxicity_equals_a_plain_matcher_and_catches_held_out_rows(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    model = toxicity.fit_from_labels(docs, labels)
+    found = toxicity.classify(docs, model).join(labels, "doc_id").where("held_out and toxic is not null").collect()
+    toxic = [r.predicted for r in found if r.toxic == 1]
+    clean = [r.predicted for r in found if r.toxic == 0]
+    assert len(toxic) > 80 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+    texts = [r.text or "" for r in docs.where("doc_id % 50 = 0").select("text").collect() if len(r.text or "") < 3000]
+    got = model.measures(texts)
+    for text, (total, words) in zip(texts, got):
+        want = plain_measure(model, text)
+        assert abs(total - want[0]) < 1e-9 and words == want[1]
+    scores = 1 / (1 + np.exp(-(toxicity.inputs(got) @ model.curve)))
+    assert np.allclose(scores, model.scores(texts))
+
+
+def test_language_and_quality_scores_equal_plain_scorers(spark, docs, tables):
+    """Scores from the models' weights, word by word and n-gram by n-gram."""
+    from newsreach.llm.subwords import features
+
+    texts = [r.text or "" for r in docs.limit(60).collect()] + ["", "a", "?", "Ünïcode ▁ 😀 text"]
+    model = language.fit_from_documents(docs)
+    frame = model.predict(texts)
+    for text, row in zip(texts, frame.itertuples()):
+        if not any(map(str.isalpha, text)):
+            assert row.lang_pred == "und" and row.score == 0 and np.isnan(row.loss)
+            continue
+        words = language.words_of(text)
+        margin = model.bias + np.mean([model.weights[features([w], language.SIZES, language.BITS, whole=False)[1]].mean(axis=0) for w in words], axis=0)
+        loss = [(np.logaddexp(0, -margin * code) * model.trust).sum() for code in model.code]
+        chance = np.exp(-np.array(loss))
+        assert row.lang_pred == model.classes[int(np.argmin(loss))]
+        assert abs(row.loss - min(loss)) < 1e-3 and abs(row.score - chance.max() / chance.sum()) < 1e-3
+    scorer = quality.fit_from_labels(docs, table(spark, tables, "labels"))
+    for text, score in zip(texts, scorer.scores(texts)):
+        words = quality.words_of(text)
+        mean = np.mean([scorer.weights[features([w], quality.SIZES, quality.BITS)[1]].mean() for w in words]) if words else 0.0
+        assert abs(score - 1 / (1 + np.exp(-(mean + scorer.bias)))) < 1e-3
+
+
+def test_language_stage_rejects_other_languages_and_keeps_known_ones(spark):
+    folder = "/root/testdata/sf0.1"
+    given = table(spark, folder, "documents")
+    foreign = ["bu hava durumu hakkında türkçe bir metindir ve karlar ilkbaharda hızla erir " * 5, "if (x == 0) { return foo->bar[i]; } else { y += 3; } " * 9,
+               "xkcdqz wvbgfq zzxkjq qxzjkwv bfgqxz jkwvbf gqxzjk " * 9, "", None, "12 34 !!"]
+    extra = spark.createDataFrame([(-1 - i, x) for i, x in enumerate(foreign)], "doc_id long, text string").withColumns(
+        {c: F.lit(None).cast(t) for c, t in given.dtypes if c not in ("doc_id", "text")})
+    kept = corpus_pipeline.language_filter(spark, given.unionByName(extra), folder)
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    clean = [r.doc_id for r in given.where("text rlike '[a-z]{3}'").select("doc_id", language.held_out().alias("h")).collect() if r.h]
+    assert not [i for i in ids if i < 0] and len([i for i in clean if i in ids]) >= 0.99 * len(clean)
+    assert corpus_pipeline.language_filter(spark, given.limit(0), folder).count() == 0
+
+
+def test_stages_stand_awkward_and_empty_tables(spark, tables, awkward):
+    docs = awkward.withColumn("n_chars", F.length("text").cast("long"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), tables).count() == 0, name
+        out = stage(spark, docs, tables)
+        assert out.count() > 0 if name != "language" else out.count() >= 0, name
+        if name != "packing":
+            assert out.columns == docs.columns and out.exceptAll(docs).count() == 0
+    empty = awkward.limit(0)
+    assert quality.classify(empty, quality.fit_from_labels(empty, table(spark, tables, "labels"))).count() == 0
+    assert language.identify(empty, language.fit_from_documents(empty)).count() == 0
+    assert licenses.scan(empty).count() == 0 and pieces.digests(empty, PIECE_MODEL).count() == 0
 
 
 def test_fingerprints_edit_and_search(spark, docs, awkward):
@@ -319,6 +408,13 @@ def test_pipeline_removes_near_copies_by_exact_shingle_similarity(spark, tables)
             for _ in range(edits):
                 copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
             texts.append(" ".join(copy))
+    # A crowd of edits of one short text, most of them below the similarity of each other.
+    words = [f"v{x}" for x in range(24)]
+    for _ in range(120):
+        copy = list(words)
+        for at in rng.sample(range(24), rng.randrange(1, 3)):
+            copy[at] = f"y{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
     texts += ["a b c", "A  b c", "a b d", "one two three four five", None, ""]
     sets = []
     for text in texts:
@@ -334,3 +430,59 @@ def test_pipeline_removes_near_copies_by_exact_shingle_similarity(spark, tables)
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_filter(spark, rows, tables).collect())
     assert kept == sorted(set(name)) and 12 < len(kept) < len(texts) - 30
     assert similar_texts.similar_texts(rows.limit(0)).count() == 0
+
+
+def test_rare_shingle_pairs_are_all_pairs_at_the_similarity_and_grow_with_the_crowd(spark):
+    rng = random.Random(9)
+    words, counted = [f"v{x}" for x in range(24)], []
+    for size in (100, 400):
+        texts = set()
+        while len(texts) < size:
+            copy = list(words)
+            for at in rng.sample(range(24), 2):
+                copy[at] = f"y{rng.randrange(10**6)}"
+            texts.add(" ".join(copy))
+        texts = sorted(texts)
+        rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+        sets = similar_texts.sets_of(rows, 5)
+        pairs = {tuple(r) for r in similar_texts.rare_pairs(rows.select("key", F.col("key").alias("root")), sets, 0.8).collect()}
+        plain = [set(similar_texts.shingles(x).tolist()) for x in texts]
+        for i in range(size):
+            for j in range(i + 1, size):
+                assert len(plain[i] & plain[j]) < 0.8 * len(plain[i] | plain[j]) or (i, j) in pairs
+        counted.append(len(pairs))
+    assert counted[1] <= 40 * 4
+
+
+def test_near_duplicate_stage_keeps_rows_not_ids(spark, tables):
+    """Different texts without doc_id or under one doc_id all stay; copies go whatever their doc_id."""
+    other = [" ".join(f"{x}{i}" for i in range(20)) for x in "abcdef"]
+    data = [(None, other[0], 1), (None, other[1], 2), (None, other[2], 3), (5, other[3], 4), (5, other[4], 5), (6, other[5], 6), (7, other[5], 7),
+            (None, other[5], 8), (None, other[1], 9), (6, other[5] + " ", 10)]
+    rows = spark.createDataFrame(data, "doc_id long, text string, key int").withColumns({c: F.lit(1) for c in ("root", "count", "id", "kept", "value")})
+    kept = corpus_pipeline.near_duplicate_filter(spark, rows, tables)
+    assert kept.columns == rows.columns
+    found = sorted(((r.doc_id, r.text.strip()) for r in kept.collect()), key=repr)
+    assert found == sorted([(None, other[0]), (None, other[1]), (None, other[2]), (5, other[3]), (5, other[4]), (6, other[5])], key=repr)
+    assert corpus_pipeline.near_duplicate_filter(spark, rows.limit(0), tables).count() == 0
+
+
+def test_graph_search_scores_doubles_as_they_are(spark):
+    """Vectors that are equal as floats are told apart, and several shards find what comparing all pairs finds."""
+    rows = [(i, [1.0 + i * 1e-12, 0.5]) for i in range(30)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10, k=3).collect()
+    want = {q: [i for i in range(29, -1, -1) if i != q][:3] for q in (0, 10, 20)}
+    assert {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in want} == want
+    assert all(r.score == (1 + r.query_id * 1e-12) * (1 + r.vec_id * 1e-12) + 0.25 for r in got)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 16))
+    table_of = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(table_of, every=20, k=20, shard_rows=300).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 1200, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.95 * 60 * 20
