@@ -11,6 +11,9 @@ from newsreach import constants as K
 from newsreach.functions.text import bare_name, short_place
 from newsreach.sources.workspace import materialize
 
+# Characters of the longest run that a name is known by
+LONGEST_RUN = 32
+
 
 def _grams(text: Column, single: bool) -> Column:
     """Distinct neighbouring character pairs of a text, and with ``single`` its characters too; one pass over the text."""
@@ -18,25 +21,52 @@ def _grams(text: Column, single: bool) -> Column:
     return F.array_distinct(F.concat(pairs, F.regexp_extract_all(text, F.lit(r"(?s)(.)"), 1)) if single else pairs)
 
 
+def _run_length(characters: Column) -> Column:
+    """The largest power of two up to the number of characters and ``LONGEST_RUN``, for a number of at least 1."""
+    found = F.lit(LONGEST_RUN)
+    size = LONGEST_RUN // 2
+    while size:
+        found, size = F.when(characters < 2 * size, F.lit(size)).otherwise(found), size // 2
+    return found
+
+
+def _runs(text: Column, lengths: Sequence[int], own: bool = False) -> Column:
+    """Distinct runs of neighbouring characters of the given lengths; with ``own`` only those of the text's own run length."""
+    size = _run_length(F.length(text))
+    parts = {n: F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))" if n > 1 else "(?s)(.)"), 1) for n in lengths if own or n > 2}
+    if own:
+        return F.array_distinct(F.coalesce(*[F.when(size == n, part) for n, part in parts.items()], F.array().cast("array<string>")))
+    short = [_grams(text, 1 in lengths)] if min(lengths, default=2) <= 2 else []
+    return F.array_distinct(F.concat(*short, *parts.values()))
+
+
+def _meetings(read: DataFrame, text: str, known: DataFrame, name: str, on: Sequence[str]) -> DataFrame:
+    """(on, ``__key``, name) of the texts and names that share the run the name is known by."""
+    keys = [*on, name]
+    lengths = [r[0] for r in known.select(_run_length(F.length(name))).distinct().collect()]
+    each = known.select(*keys, F.explode(_runs(F.col(name), lengths, True)).alias("__run"))
+    counted = each.join(each.groupBy("__run").agg(F.count(F.lit(1)).alias("__held")), "__run")
+    index = counted.groupBy(*keys).agg(F.min_by("__run", F.struct("__held", "__run")).alias("__run"))
+    runs = read.select(*on, "__key", F.explode(_runs(F.col(text), lengths)).alias("__run"))
+    return runs.join(index, [*on, "__run"]).select(*on, "__key", name).distinct()
+
+
 def names_in_text(texts: DataFrame, text: str, names: DataFrame, name: str, on: Sequence[str] = ()) -> DataFrame:
     """All (text, name) pairs where the name occurs in the text, for distinct texts and names, with the names' other columns.
 
-    "Contains" as an equi-join: each name is known by its rarest pair of neighbouring characters, counted over the
-    names (a name of one character by itself). A text is cut into its pairs, which meet only the names that are
-    known by one of them, and each of those is looked for in the text. So a text costs as many rows as it has
-    pairs, and is itself carried once. With ``on``, texts and names must agree in these columns.
+    "Contains" as an equi-join: each name is known by its rarest run of characters, counted over the names. Runs are as
+    long as the largest power of two that fits the name, ``LONGEST_RUN`` at most, so names that differ anywhere have
+    runs of their own, however alike they begin or end. A text is cut into its runs of the lengths that occur, which
+    meet only the names that are known by one of them, and each of those is looked for in the text. So a text costs a
+    row for each character and length, and is itself carried once. With ``on``, texts and names must agree in these columns.
     """
     keys = [*on, name]
     known = materialize(names.where(F.col(name) != "").select(*keys).distinct(), "names")
-    single = bool(known.agg(F.min(F.length(name)) == 1).first()[0])
-    each = known.select(*keys, F.explode(_grams(F.col(name), single)).alias("__gram")).where((F.length(name) == 1) | (F.length("__gram") == 2))
-    counted = each.join(each.groupBy("__gram").agg(F.count(F.lit(1)).alias("__held")), "__gram")
-    index = counted.groupBy(*keys).agg(F.min_by("__gram", F.struct("__held", "__gram")).alias("__gram"))
     read = texts.where(F.col(text) != "").select(*on, text).distinct().withColumn("__key", F.xxhash64(*on, text))
-    grams = read.select(*on, "__key", F.explode(_grams(F.col(text), single)).alias("__gram"))
-    met = grams.join(index, [*on, "__gram"]).select(*on, "__key", name).distinct()
     # Two texts under one key are both looked at.
-    found = met.join(read.select(F.col("__key").alias("__read"), text), (F.col("__key") == F.col("__read")) & F.contains(F.col(text), F.col(name)))
+    found = _meetings(read, text, known, name, on).join(
+        read.select(F.col("__key").alias("__read"), text), (F.col("__key") == F.col("__read")) & F.contains(F.col(text), F.col(name))
+    )
     return found.select(*on, text, name).join(names, keys)
 
 
@@ -93,7 +123,7 @@ def name_leaks(
     """Proposals that mention a company of the cases they were drawn from, counted per case set.
 
     Names lose their legal form and must keep two characters. As in ``names_in_text`` the test is an
-    equi-join, here on case set and characters together, so neither side is paired with the whole of the other.
+    equi-join, here on case set and runs together, so neither side is paired with the whole of the other.
     """
     names = (
         cases.where(F.col(company) != "")

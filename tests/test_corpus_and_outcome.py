@@ -138,3 +138,15 @@ def test_a_long_text_costs_its_pairs(spark):
     text = "".join(chr(97 + i % 26) for i in range(100_000))
     row = spark.createDataFrame([(text,)], "t string").select(F.size(_grams(F.col("t"), False)).alias("n")).first()
     assert row.n == 26
+
+
+def test_names_that_are_alike_meet_only_their_texts(spark):
+    """Numbered names share all their character pairs; each text still meets few of them."""
+    from newsreach.operators.place import _meetings, names_in_text
+
+    names = spark.range(3000).select(F.format_string("Customer#%09d", "id").alias("n"), F.lit(1).alias("c"))
+    texts = names.select(F.concat(F.lit("Follow "), "n", F.lit(" up")).alias("t"), "c")
+    met = _meetings(texts.withColumn("__key", F.xxhash64("c", "t")), "t", names, "n", ["c"])
+    assert 3000 <= met.count() <= 4 * 3000
+    found = names_in_text(texts, "t", names, "n", ["c"])
+    assert found.count() == 3000 and found.where("t <> concat('Follow ', n, ' up')").isEmpty()
