@@ -32,8 +32,9 @@ SAMPLED = 4
 # Leaves of a query's first round, besides those needed to hold k vectors
 FIRST_LEAVES = 2
 
-# Queries of one leaf that one task scores, and bounds (queries x leaves) computed at once
-LEAF_QUERIES = 4096
+# Rows of a shard, about, and queries of one shard that one task scores; bounds (queries x leaves) computed at once
+SHARD_ROWS = 32_768
+SHARD_QUERIES = 16_384
 BOUND_CELLS = 4_000_000
 
 # Angles and products are rounded; a bound this close counts as reached
@@ -48,12 +49,13 @@ def unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class PivotIndex:
-    """Members of the leaves (stored, with ``__leaf``), and the table of leaves with the pivots they belong to."""
+    """Members of the leaves (stored, with ``__leaf`` and ``__shard``), the table of leaves with the pivots they belong to, and the shard of each leaf."""
 
     members: DataFrame
     leaves: pd.DataFrame
     pivots: np.ndarray
     bonus: float
+    shards: np.ndarray
 
     def bounds(self, vectors: np.ndarray) -> np.ndarray:
         """Upper bound of the score of every leaf (column) for every query vector (row)."""
@@ -77,34 +79,62 @@ class PivotIndex:
             out.append(best[: max(FIRST_LEAVES, need)])
         return out
 
-    def probes(self, queries: DataFrame, vector: str, k: int, least: str | None = None) -> DataFrame:
-        """The queries once for each leaf they visit (``__leaf``): those of the first round or, given ``least``, all others
-        whose bound reaches the score in that column (NULL or NaN: any)."""
-        leaf = self.leaves["leaf"].to_numpy(np.int64)
+    def wanted(self, vectors: np.ndarray, k: int, least: np.ndarray | None, again: bool) -> np.ndarray:
+        """Whether each query (row) visits each leaf: those of the first round or, given ``least``, those whose bound reaches it
+        (NaN: any), the ones of the first round only if they are wanted ``again``."""
+        bounds = self.bounds(vectors)
+        if least is not None and again:
+            return ~(bounds < least[:, None])
+        first = np.zeros(bounds.shape, bool)
+        for i, seen in enumerate(self.first(bounds, k)):
+            first[i, seen] = True
+        return first if least is None else ~(bounds < least[:, None]) & ~first
+
+    def _visiting(
+        self, queries: DataFrame, vector: str, k: int, least: str | None, more: Sequence[T.StructField], give: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]], again: bool = False
+    ) -> DataFrame:
         columns = [c for c in queries.columns if c != least]
-        schema = T.StructType([*[queries.schema[c] for c in columns], T.StructField("__leaf", T.LongType())])
-        index = PivotIndex(None, self.leaves, self.pivots, self.bonus)
+        schema = T.StructType([*[queries.schema[c] for c in columns], *more])
+        index = PivotIndex(None, self.leaves, self.pivots, self.bonus, self.shards)
 
         def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            step = max(1, BOUND_CELLS // max(len(leaf), 1))
+            step = max(1, BOUND_CELLS // max(len(index.leaves), 1))
             for batch in batches:
                 for start in range(0, len(batch), step):
                     part = batch.iloc[start : start + step]
-                    bounds = index.bounds(np.stack(part[vector].to_numpy()).astype(np.float64))
-                    first = index.first(bounds, k)
-                    if least is None:
-                        row = np.repeat(np.arange(len(part)), [len(x) for x in first])
-                        place = np.concatenate(first)
-                    else:
-                        wanted = ~(bounds < part[least].to_numpy(np.float64)[:, None])
-                        for i, seen in enumerate(first):
-                            wanted[i, seen] = False
-                        row, place = np.nonzero(wanted)
-                    for at in range(0, len(row), 20_000):
-                        rows = row[at : at + 20_000]
-                        yield part[columns].take(rows).assign(__leaf=leaf[place[at : at + 20_000]])
-
-        return queries.mapInPandas(visit, schema) if len(leaf) else queries.select(*columns, F.lit(0).cast("long").alias("__leaf")).limit(0)
+                    reached = None if least is None else part[least].to_numpy(np.float64)
+                    yield from give(part[columns], index.wanted(np.stack(part[vector].to_numpy()).astype(np.float64), k, reached, again))
+
+        return queries.mapInPandas(visit, schema) if len(self.leaves) else queries.sparkSession.createDataFrame([], schema)
+
+    def probes(self, queries: DataFrame, vector: str, k: int, least: str | None = None) -> DataFrame:
+        """The queries once for each leaf they visit (``__leaf``): those of the first round or, given ``least``, all others
+        whose bound reaches the score in that column (NULL or NaN: any)."""
+        leaf = self.leaves["leaf"].to_numpy(np.int64)
+
+        def give(part: pd.DataFrame, wanted: np.ndarray) -> Iterator[pd.DataFrame]:
+            row, place = np.nonzero(wanted)
+            for at in range(0, len(row), 20_000):
+                rows = row[at : at + 20_000]
+                yield part.take(rows).assign(__leaf=leaf[place[at : at + 20_000]])
+
+        return self._visiting(queries, vector, k, least, [T.StructField("__leaf", T.LongType())], give)
+
+    def visits(self, queries: DataFrame, vector: str, k: int, least: str | None = None) -> DataFrame:
+        """The queries once for each shard (``__shard``) they visit, with a bit for each of its leaves (``__leaves``): those of the
+        first round or, given ``least``, all whose bound reaches the score in that column (NULL or NaN: any)."""
+        shards = self.shards
+        numbers = np.unique(shards)
+
+        def give(part: pd.DataFrame, wanted: np.ndarray) -> Iterator[pd.DataFrame]:
+            for shard in numbers:
+                here = wanted[:, shards == shard]
+                rows = np.flatnonzero(here.any(axis=1))
+                if len(rows):
+                    bits = np.packbits(here[rows], axis=1)
+                    yield part.take(rows).assign(__shard=int(shard), __leaves=[x.tobytes() for x in bits])
+
+        return self._visiting(queries, vector, k, least, [T.StructField("__shard", T.LongType()), T.StructField("__leaves", T.BinaryType())], give, True)
 
 
 def far_apart(points: np.ndarray, number: int) -> np.ndarray:
@@ -156,20 +186,44 @@ def build_index(
         placed = placed.where(F.col(reach_column).isNotNull() & ~F.isnan(F.col(reach_column).cast("double")))
     ranged = placed.repartitionByRange(parts, F.col("__at.cell"), F.col("__at.angle"), *[F.col(c) for c in keys])
     members = materialize(ranged.withColumn("__leaf", F.col("__at.cell") * F.lit(2 * MOST_LEAVES) + F.spark_partition_id()), "pivot-members")
+    # Neighbouring parts of the range make a shard.
+    each = max(1, SHARD_ROWS // leaf_rows)
     leaves = members.groupBy(F.col("__leaf").alias("leaf")).agg(
         F.first("__at.cell").alias("pivot"), F.min("__at.angle").alias("low"), F.max("__at.angle").alias("high"),
         F.min("__at.norm").alias("least_norm"), F.max("__at.norm").alias("most_norm"), F.max(gain.cast("double")).alias("reach"), F.count(F.lit(1)).alias("rows"),
     )
     # At most one leaf for each pivot and part, as ranges are contiguous: bounded whatever the corpus.
-    return PivotIndex(members.drop("__at"), leaves.orderBy("leaf").toPandas(), pivots, bonus)
+    table = leaves.orderBy("leaf").toPandas()
+    shard = F.floor(F.col("__leaf") % F.lit(2 * MOST_LEAVES) / each)
+    return PivotIndex(members.drop("__at").withColumn("__shard", shard), table, pivots, bonus, table["leaf"].to_numpy(np.int64) % (2 * MOST_LEAVES) // each)
 
 
 def met_in_leaves(
-    probes: DataFrame, members: DataFrame, query_id: str, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: T.StructType
+    index: PivotIndex, visits: DataFrame, query_id: str, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: T.StructType, step: int
 ) -> DataFrame:
-    """Queries and members of each leaf scored together; a leaf that very many queries visit is dealt to several tasks."""
-    stored = materialize(probes, "probes")
-    counted = stored.groupBy("__leaf").agg(F.ceil(F.count(F.lit(1)) / LEAF_QUERIES).cast("int").alias("__parts"))
-    left = stored.join(counted, "__leaf").withColumn("__part", F.pmod(F.xxhash64(query_id), F.col("__parts")).cast("int")).drop("__parts")
-    right = members.join(counted, "__leaf").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
-    return left.groupBy("__leaf", "__part").cogroup(right.groupBy("__leaf", "__part")).applyInPandas(score, schema)
+    """Queries and members of the leaves they visit scored together, ``step`` queries of the most alike visits at a time.
+
+    A task has the members of one shard; a shard that very many queries visit is dealt to several tasks.
+    """
+    stored = materialize(visits, "visits")
+    counted = stored.groupBy("__shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_QUERIES).cast("int").alias("__parts"))
+    left = stored.join(counted, "__shard").withColumn("__part", F.pmod(F.xxhash64(query_id), F.col("__parts")).cast("int")).drop("__parts")
+    right = index.members.join(counted, "__shard").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    names = schema.fieldNames()
+    of_shard = {int(x): index.leaves["leaf"].to_numpy(np.int64)[index.shards == x] for x in np.unique(index.shards)}
+
+    def meet(asked: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame(columns=names)]
+        if len(asked) and len(members):
+            asked = asked.sort_values("__leaves", kind="stable")
+            leaves = of_shard[int(members["__shard"].iloc[0])]
+            place = np.searchsorted(leaves, members["__leaf"].to_numpy())
+            for start in range(0, len(asked), step):
+                part = asked.iloc[start : start + step]
+                bits = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in part["__leaves"]]), axis=0)
+                near = members[np.unpackbits(bits)[: len(leaves)].astype(bool)[place]]
+                if len(near):
+                    found.append(score(part, near))
+        return pd.concat(found[1:] or found, ignore_index=True)
+
+    return left.groupBy("__shard", "__part").cogroup(right.groupBy("__shard", "__part")).applyInPandas(meet, schema)

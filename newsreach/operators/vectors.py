@@ -33,6 +33,20 @@ BROADCAST_CELLS = 8_000_000
 BLOCK_ROWS = 32_768
 QUERY_STEP = 256
 
+# Corpus rows scored at once, and pairs scored one by one
+CORPUS_STEP = 16_384
+PAIR_STEP = 65_536
+
+# Up to this many queries are compared where the corpus lies, without asking for its size
+FEW_QUERIES = 1024
+
+# Queries of one task that has the whole corpus
+TASK_QUERIES = 32_768
+
+# More classes, or larger products, are scored in double precision throughout
+MOST_CLASSES = 256
+MOST_PRODUCT = 1e12
+
 # Scores that agree to this many decimals are ties and fall back to the key order
 SCORE_DECIMALS = 9
 
@@ -184,34 +198,105 @@ def _matrix(frame: pd.DataFrame, vector: str) -> np.ndarray:
     return np.stack(frame[vector].to_numpy()).astype(np.float64)
 
 
+def _hints(
+    queries: pd.DataFrame, corpus: pd.DataFrame, q_vec: np.ndarray, c_vec: np.ndarray, bonus: Bonus
+) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """Vectors of single precision whose products are the scores, bonuses included, up to the given error; None if some number is too large."""
+    left, right = [q_vec], [c_vec]
+    most = 0.0
+    for name, weight in bonus.matches.items():
+        codes, classes = pd.factorize(pd.concat([queries[name], corpus[name]], ignore_index=True), use_na_sentinel=not bonus.null_matches_null)
+        if len(classes) > MOST_CLASSES:
+            return None
+        hot = (codes[:, None] == np.arange(len(classes))).astype(np.float32)
+        left.append(weight * hot[: len(queries)])
+        right.append(hot[len(queries) :])
+        most += abs(weight)
+    if bonus.reach:
+        gain = bonus.reach * corpus[bonus.reach_column].to_numpy(dtype=np.float64)
+        left.append(np.ones((len(queries), 1)))
+        right.append(gain[:, None])
+    asked, held = (np.concatenate(x, axis=1) for x in (left, right))
+    with np.errstate(over="ignore", invalid="ignore"):
+        size = np.sqrt((asked**2).sum(axis=1)).max(initial=0) * np.sqrt((held**2).sum(axis=1)).max(initial=0)
+    if not size < MOST_PRODUCT:
+        return None
+    # Both sides are rounded once, and so is each of the sums.
+    error = 2.0**-23 * (asked.shape[1] + 4) * size + 2 * 10.0**-SCORE_DECIMALS
+    return asked.astype(np.float32), held.astype(np.float32), error
+
+
 def _best_of_block(
-    queries: pd.DataFrame, q_vec: np.ndarray, corpus: pd.DataFrame, vector: str, keys: Sequence[str],
+    queries: pd.DataFrame, q_vec: np.ndarray, corpus: pd.DataFrame, vector: str | np.ndarray, keys: Sequence[str],
     carry: Sequence[str], bonus: Bonus, k: int,
 ) -> pd.DataFrame:
-    """Local top-k of one corpus block for all queries; ties at the cut are all looked at."""
-    c_vec = _matrix(corpus, vector)
+    """Local top-k of one corpus block (``vector``: its column or matrix) for all queries; ties at the cut are all looked at.
+
+    Products of single precision tell which pairs can be among the best; only these are scored.
+    """
+    c_vec = _matrix(corpus, vector) if isinstance(vector, str) else vector
+    held = [corpus[key].to_numpy() for key in keys]
+    hints = _hints(queries, corpus, q_vec, c_vec, bonus)
     rows, cols, vals = [], [], []
     for start in range(0, len(queries), QUERY_STEP):
         part = slice(start, start + QUERY_STEP)
-        scores = _scores(queries.iloc[part], corpus, q_vec[part], c_vec, bonus)
-        # A vector that gives no number is nobody's neighbour and must not push others out.
-        scores = np.where(np.isfinite(scores), scores, -np.inf)
-        if scores.shape[1] > k:
-            cut = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-            row, col = np.nonzero(scores >= cut[:, None])
-        else:
-            row, col = (x.ravel() for x in np.indices(scores.shape))
-        real = scores[row, col] > -np.inf
-        row, col = row[real], col[real]
-        keep = _keep_best(row, scores[row, col], [corpus[key].to_numpy()[col] for key in keys], k)
-        rows.append(row[keep] + start)
-        cols.append(col[keep])
-        vals.append(scores[row[keep], col[keep]])
+        asked, vectors = queries.iloc[part], q_vec[part]
+        row, col, val = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.full(len(asked), -np.inf)
+        for first in range(0, len(corpus), CORPUS_STEP):
+            span = slice(first, first + CORPUS_STEP)
+            if hints is None:
+                scores = _scores(asked, corpus.iloc[span], vectors, c_vec[span], bonus)
+                # A vector that gives no number is nobody's neighbour and must not push others out.
+                scores = np.where(np.isfinite(scores), scores, -np.inf)
+                slack = 0.0
+            else:
+                scores = hints[0][part] @ hints[1][span].T
+                slack = hints[2]
+            cut = least - slack
+            if scores.shape[1] > k and not np.isfinite(least).all():
+                cut = np.maximum(cut, np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k] - 2 * slack)
+            # a cut of single precision is rounded down
+            cut = cut if hints is None else np.nextafter(cut.astype(np.float32), np.float32(-np.inf))
+            near, place = np.nonzero(scores >= cut[:, None])
+            if hints is None:
+                found = scores[near, place]
+            else:
+                found = _pair_scores(asked, corpus, vectors, c_vec, near, place + first, bonus)
+            real = np.isfinite(found)
+            row, col, val = np.r_[row, near[real]], np.r_[col, place[real] + first], np.r_[val, found[real]]
+            if len(row):
+                keep = _keep_best(row, val, [key[col] for key in held], k)
+                row, col, val = row[keep], col[keep], val[keep]
+                full = np.bincount(row, minlength=len(asked)) == k
+                low = np.full(len(asked), np.inf)
+                np.minimum.at(low, row, val)
+                least = np.where(full, low, -np.inf)
+        rows.append(row + start)
+        cols.append(col)
+        vals.append(val)
     row, col = np.concatenate(rows), np.concatenate(cols)
-    taken = corpus[[*keys, *carry]].take(col).reset_index(drop=True)
+    taken = corpus[list(dict.fromkeys([*keys, *carry]))].take(col).reset_index(drop=True)
     return taken.assign(__q=row, score=np.concatenate(vals))
 
 
+def _pair_scores(
+    queries: pd.DataFrame, corpus: pd.DataFrame, q_vec: np.ndarray, c_vec: np.ndarray, row: np.ndarray, col: np.ndarray, bonus: Bonus
+) -> np.ndarray:
+    """Scores of single pairs (positions of queries and corpus), as ``_scores`` gives them for all."""
+    scores = np.zeros(len(row))
+    for at in range(0, len(row), PAIR_STEP):
+        scores[at : at + PAIR_STEP] = np.einsum("ij,ij->i", q_vec[row[at : at + PAIR_STEP]], c_vec[col[at : at + PAIR_STEP]])
+    for name, weight in bonus.matches.items():
+        left, right = queries[name].take(row), corpus[name].take(col)
+        codes, _ = pd.factorize(pd.concat([left, right], ignore_index=True))
+        left, right = codes[: len(row)], codes[len(row) :]
+        scores += weight * ((left == right) & ((left >= 0) | bonus.null_matches_null))
+    if bonus.reach:
+        scores += bonus.reach * corpus[bonus.reach_column].to_numpy(dtype=np.float64)[col]
+    return np.round(scores, SCORE_DECIMALS)
+
+
 def _merge_best(blocks: list[pd.DataFrame], keys: Sequence[str], k: int) -> pd.DataFrame:
     merged = pd.concat(blocks, ignore_index=True)
     keep = _keep_best(merged["__q"].to_numpy(), merged["score"].to_numpy(), [merged[c].to_numpy() for c in keys], k)
@@ -233,14 +318,16 @@ def nearest(
 ) -> DataFrame:
     """The k corpus rows of highest similarity plus bonuses for every query.
 
-    Exact, in one of two forms:
+    Exact, in one of three forms:
 
+    * A corpus whose size has been checked (``broadcast_cells``) is sent to the tasks once, unless the queries are few. Each
+      task finds the best rows of its queries among all, so nothing is shuffled but the queries and k rows for each.
     * A query set whose size has been checked (``broadcast_cells``) is sent to the tasks once, and the
       corpus is scanned where it lies: every pair is scored, as blocks of matrix products, and each block gives away
       no more than its k best rows per query. No shuffle of the corpus at all.
-    * For a larger one the corpus gets an index of pivot cells (``pivots``) with leaves of about ``block_rows`` rows. A query
+    * Where both are larger, the corpus gets an index of pivot cells (``pivots``) with leaves of about ``block_rows`` rows. A query
       meets the leaves it is closest to, and after that those whose upper bound, the largest bonus included, reaches
-      its k-th score. How many these are depends on how far the vectors lie apart. Nothing passes through the driver but
+      its k-th score. It travels once to each shard of neighbouring leaves, however many of them it meets there. How many these are depends on how far the vectors lie apart. Nothing passes through the driver but
       the bounded table of leaves.
 
     ``stored`` says that ``queries`` is a stored table already. Vectors of another length than the longest query,
@@ -274,7 +361,25 @@ def nearest(
     rows, dims = width["n"], width["w"] or 1
     # vectors of another length cannot be compared
     q, c = q.where(F.size(vector) == dims), c.where(F.size(vector) == dims)
-    if rows * dims <= broadcast_cells:
+    if rows > FEW_QUERIES:
+        # it is counted first, and read more than once by the index
+        c = materialize(c, "corpus")
+    if rows > FEW_QUERIES and c.count() * dims <= broadcast_cells:
+        held = c.toPandas()
+        table = held.drop(columns=vector), np.stack(held[vector].to_numpy()) if len(held) else np.zeros((0, dims))
+        against = queries.sparkSession.sparkContext.broadcast(table)
+
+        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            frame, matrix = against.value
+            c_vec = matrix.astype(np.float64)
+            for batch in batches:
+                if len(batch) and len(frame):
+                    ids = batch[query_id].to_numpy()
+                    yield finish(_best_of_block(batch, _matrix(batch, vector), frame, c_vec, keys, extra, bonus, k), ids)
+
+        tasks = max(1, min(3 * queries.sparkSession.sparkContext.defaultParallelism, rows // QUERY_STEP), rows // TASK_QUERIES)
+        candidates = q.repartition(tasks).mapInPandas(look, out)
+    elif rows * dims <= broadcast_cells:
         local = q.toPandas()
         if local.empty:
             return queries.sparkSession.createDataFrame([], T.StructType([*out.fields, T.StructField("rank", T.IntegerType())]))
@@ -298,16 +403,14 @@ def nearest(
         index = build_index(c, keys, vector, block_rows, most, bonus.reach, bonus.reach_column if bonus.reach else None)
 
         def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if left.empty or right.empty:
-                return pd.DataFrame(columns=names)
             return finish(_best_of_block(left, _matrix(left, vector), right, vector, keys, extra, bonus, k), left[query_id].to_numpy())
 
         numbers = q.where(~F.exists(vector, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
-        first = materialize(met_in_leaves(index.probes(numbers, vector, k), index.members, query_id, pair, out), "first-round")
+        first = met_in_leaves(index, index.visits(numbers, vector, k), query_id, pair, out, QUERY_STEP)
         best = top_k(first, [query_id], "score", keys, k).groupBy(query_id).agg(F.count(F.lit(1)).alias("__n"), F.min("score").alias("__score"))
         reached = best.select(F.col(query_id).alias("__id"), F.when(F.col("__n") == k, F.col("__score")).alias("__least"))
         again = numbers.join(reached, F.col(query_id).eqNullSafe(F.col("__id")), "left").drop("__id")
-        candidates = first.union(met_in_leaves(index.probes(again, vector, k, "__least"), index.members, query_id, pair, out))
+        candidates = met_in_leaves(index, index.visits(again, vector, k, "__least"), query_id, pair, out, QUERY_STEP)
     return top_k(candidates, [query_id], "score", keys, k)
 
 

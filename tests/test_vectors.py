@@ -262,3 +262,47 @@ def test_failed_calls_are_noted_and_taken_up_by_the_next_run(spark, tmp_path):
     assert V.embed_missing(calm, ["k"], "t", flaky(), path, retries=2, wait=0.0) == (200, 0)
     assert V.embedded(spark, path).select("k").distinct().count() == V.embedded(spark, path).count() == 600
     assert V.embed_missing(calm, ["k"], "t", flaky(), path, retries=0, wait=0.0) == (0, 0)
+
+
+def test_a_corpus_sent_to_the_tasks_gives_the_same_rows_and_shuffles_k_a_query(spark, monkeypatch):
+    """Many queries against a corpus that fits: no candidates but the k of each query, and none lost to single precision."""
+    corpus, x = clustered(spark, 1500, 4)
+    queries = corpus.select(F.col("k").alias("q"), "embedding", "category", "place")
+    scanned = V.nearest(queries.where("k < 800"), corpus, "q", ["k"], 8)
+    found = V.nearest(queries, corpus, "q", ["k"], 8)
+    assert {q: k for q, k in listed(found).items() if q < 800} == listed(scanned)
+    given = []
+    monkeypatch.setattr(V, "top_k", lambda df, *rest: given.append(df.count()) or df)
+    V.nearest(queries, corpus, "q", ["k"], 8)
+    assert given == [8 * 1500]
+
+
+def test_an_index_sends_a_query_once_to_a_shard(spark):
+    """Vectors without clusters reach nearly all leaves, but a query and its vector travel once for all leaves of a shard."""
+    from newsreach.operators import pivots
+
+    rng = np.random.default_rng(3)
+    data = [(i, v.tolist(), 1, 1, 0.5) for i, v in enumerate(rng.normal(size=(2000, 12)))]
+    corpus = spark.createDataFrame(data, "k long, embedding array<double>, category int, place int, reach_score double")
+    queries = corpus.where("k < 300").select(F.col("k").alias("q"), "embedding", "category", "place")
+    index = pivots.build_index(corpus, ["k"], "embedding", 20, 0.08, 0.05, "reach_score")
+    every = queries.withColumn("least", F.lit(float("-inf")))
+    assert len(index.leaves) > 90 and index.visits(every, "embedding", 8, "least").count() == 300
+    assert listed(V.nearest(queries, corpus, "q", ["k"], 8, broadcast_cells=0, block_rows=20)) == listed(V.nearest(queries, corpus, "q", ["k"], 8))
+
+
+def test_single_precision_hides_no_tie_and_no_large_number():
+    """The best of a block against scores in double precision: near ties, equal rows, numbers beyond single precision."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 8))
+    x = np.concatenate((base, base + 1e-8, base, rng.normal(size=(80, 8))))
+    for scale in (1.0, 1e-6, 1e200):
+        corpus = pd.DataFrame({"id": range(len(x)), "v": list(x * scale), "c": rng.integers(0, 3, len(x)).astype(float), "reach_score": rng.random(len(x))})
+        corpus.loc[::7, "c"] = None
+        queries = corpus.rename(columns={"id": "q"})
+        for bonus in (V.Bonus({"c": 0.04}, 0.05), V.Bonus({"c": 0.04}, null_matches_null=True), V.Bonus({})):
+            found = V._best_of_block(queries, x, corpus, "v", ["id"], [], bonus, 6)
+            full = V._scores(queries, corpus, x, x * scale, bonus)
+            for i in range(len(x)):
+                want = sorted(range(len(x)), key=lambda j: (-full[i, j], j))[:6]
+                assert found.loc[found["__q"] == i, "id"].tolist() == want, (scale, bonus, i)
