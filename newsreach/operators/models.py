@@ -34,6 +34,9 @@ CATEGORIES = ("category", "place")
 # Spark's own number of bins; class columns with more ids get one per id
 LEAST_BINS = 32
 
+# MB of the counts that one task of a forest's pass holds
+FOREST_MEMORY = 512
+
 
 def features(df: DataFrame, vector: str = "embedding", title: str = "title", out: str = "features") -> DataFrame:
     """Vector, category, place and presence flag as one ML vector, in this order (M1)."""
@@ -177,12 +180,21 @@ def fit_gbt(
 def fit_forest(
     df: DataFrame, target: str = "pv_score", column: str = "features", trees: int = K.FOREST_TREES, depth: int = 30
 ) -> Model:
-    """Random forest on the train rows."""
-    train, bins = with_nominal_classes(df.where(F.col("split") == "train"), column)
+    """Random forest on the train rows.
+
+    The nodes that rows have reached are kept beside them, or every pass would send all trees to all tasks. Rows are dealt
+    to all cores, and a pass splits as many nodes as ``FOREST_MEMORY`` holds.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        # the lineage of the reached nodes grows with every level
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    train, bins = with_nominal_classes(df.where(F.col("split") == "train").select(column, target, *CATEGORIES), column)
     return RandomForestRegressor(
         featuresCol=column, labelCol=target, predictionCol="forest", numTrees=trees, maxDepth=depth,
         featureSubsetStrategy=K.FOREST_FEATURES, minInstancesPerNode=K.FOREST_MIN_LEAF, maxBins=bins, seed=K.SEED,
-    ).fit(train)
+        cacheNodeIds=True, maxMemoryInMB=FOREST_MEMORY,
+    ).fit(train.repartition(context.defaultParallelism))
 
 
 def fit_ridge(
