@@ -220,8 +220,17 @@ def rescore_stale(
         changed = changed.withColumn("place", F.lit(None).cast("int"))
     found = changed.where(F.col("embedding").isNotNull()).withColumn("category", F.lit(None).cast("int"))
     queries = materialize(found.select("id", "new_text", "embedding", "category", "place"), "stale-events")
-    scored = plan_score(queries, corpus, "id", keys, k=k, bonus=SCORE_BONUS)
-    fresh = scored.join(queries.select("id", F.col("new_text").alias("__text")), "id")
+    # Events with the same vector and classes ask one question: two hashes of these name it.
+    asked = ["embedding", "category", "place"]
+    named = queries.where(F.col("id").isNotNull()).withColumn("__asked", F.struct(F.xxhash64(*asked), F.xxhash64(F.lit("again"), *asked)).cast("string"))
+    answers = materialize(plan_score(named.select("__asked", *asked).distinct(), corpus, "__asked", keys, k=k, bonus=SCORE_BONUS), "stale-scores")
+    fresh = named.select("id", "__asked", F.col("new_text").alias("__text")).join(answers, "__asked").select("id", "plan_score", "__text")
+    repeated = materialize(named.groupBy("id").count().where("count > 1").select("id"), "repeated-events")
+    if not repeated.isEmpty():
+        # several rows of one id are one question about all of their neighbours
+        again = materialize(queries.join(repeated, "id", "left_semi"), "repeated-rows")
+        joint = plan_score(again, corpus, "id", keys, k=k, bonus=SCORE_BONUS).join(again.select("id", F.col("new_text").alias("__text")), "id")
+        fresh = fresh.join(repeated, "id", "left_anti").unionByName(joint)
     done = F.col("__text").isNotNull()
     return (
         events.join(fresh, "id", "left")

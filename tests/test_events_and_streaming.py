@@ -250,3 +250,18 @@ def test_days_show_the_first_and_count_the_rest(spark):
 def test_scalar_inputs_are_checked(spark):
     with pytest.raises(ValueError):
         E.in_month(spark.range(1).withColumn("starts_at", F.current_timestamp()), "August")
+
+
+def test_events_of_one_vector_are_one_question(spark, monkeypatch):
+    """Stale events that share vector and classes are searched once; several rows of one id keep their joint answer."""
+    asked, plain = [], E.plan_score
+    monkeypatch.setattr(E, "plan_score", lambda queries, *rest, **more: asked.append(queries.count()) or plain(queries, *rest, **more))
+    rows = [(i, "t", "", f"d{i}", None, None) for i in range(50)]
+    schema = "id int, title string, location string, description string, score double, scored_text string"
+    corpus = spark.createDataFrame([(1, [1.0], None, None, 0.25)], "k int, embedding array<float>, category int, place int, pv_score double")
+
+    def embed(changed):
+        return changed.withColumn("embedding", F.array(F.lit(1.0)).cast("array<float>"))
+
+    found = E.rescore_stale(spark.createDataFrame(rows, schema), corpus, ["k"], embed, k=1).collect()
+    assert asked == [1] and len(found) == 50 and {r.score for r in found} == {0.25}
