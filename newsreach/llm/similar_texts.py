@@ -1,8 +1,8 @@
-"""Texts that share most of their shingles: MinHash bands propose pairs, the exact Jaccard similarity decides.
+"""Texts that share most of their shingles: SimHash and MinHash bands propose pairs, the exact Jaccard similarity decides.
 
 A text is known by its key, a hash of its words, so exact copies are one text from the start. Its shingles are runs of
 ``width`` words. Each of ``BANDS`` bands hashes the least values of ``ROWS`` hash functions over the shingles; texts
-that agree in a band are candidates. A pair at similarity s is proposed with probability 1 - (1 - s ** ROWS) ** BANDS:
+that agree in a band are candidates, and so are those that the SimHash links of ``near_duplicates`` join. By bands a pair at similarity s is proposed with probability 1 - (1 - s ** ROWS) ** BANDS:
 0.99994 at 0.8, more above. Candidates are linked only if their shingle sets reach the similarity themselves.
 
 A crowd that shares a band is first compared with single members, which joins near copies in as many comparisons as
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsreach.llm.components import connected_components
-from newsreach.llm.near_duplicates import words_of
+from newsreach.llm.near_duplicates import fingerprint, links, words_of
 from newsreach.llm.rows import lean
 from newsreach.sources.workspace import materialize
 
@@ -98,22 +98,23 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def marked_rows(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, key and band values (none for a text without words) of every row, in one pass over the texts."""
+    """doc_id, key, SimHash fingerprint and band values (none for a text without words) of every row, in one pass over the texts."""
 
     @lean
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, values = [], []
+            keys, values, prints = [], [], []
             for text in batch["text"]:
+                prints.append(fingerprint(text))
                 keys.append(xxhash.xxh64_intdigest(b" ".join(words_of(text or "")), SEED))
                 found = shingles(text, width)
                 values.append(bands(found) if len(found) else found.view(np.int64))
             if keys:
-                yield pd.DataFrame({"doc": batch["doc"], "known": batch["known"], "key": np.array(keys, np.uint64).view(np.int64), "values": values})
+                yield pd.DataFrame({"doc": batch["doc"], "known": batch["known"], "key": np.array(keys, np.uint64).view(np.int64), "fingerprint": np.array(prints, np.uint64).view(np.int64), "values": values})
 
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.col("doc_id").isNotNull().alias("known"), F.col("text").cast("string").alias("text"))
-    found = plain.mapInPandas(compute, "doc long, known boolean, key long, values array<long>")
-    return found.select(F.when(F.col("known"), F.col("doc")).alias("doc_id"), "key", "values")
+    found = plain.mapInPandas(compute, "doc long, known boolean, key long, fingerprint long, values array<long>")
+    return found.select(F.when(F.col("known"), F.col("doc")).alias("doc_id"), "key", "fingerprint", "values")
 
 
 def sets_of(texts: DataFrame, width: int) -> DataFrame:
@@ -179,20 +180,28 @@ def rare_pairs(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.where(most >= needed - 1e-6).select(F.col("key").alias("a"), F.col("other_key").alias("b")).distinct()
 
 
+def simhash_values(marked: DataFrame) -> DataFrame:
+    """(value, key) of the texts with words of ``marked``: one value for all that SimHash links of at most 2 bits hold together."""
+    prints = materialize(marked.where(F.size("values") > 0).select("key", "fingerprint").distinct(), "simhash")
+    joined = connected_components(links(prints)).withColumnRenamed("node", "fingerprint")
+    return prints.join(joined, "fingerprint", "left").select(F.xxhash64(F.lit("simhash"), F.coalesce("root", "fingerprint")).alias("value"), "key")
+
+
 def roots(marked: DataFrame, docs: DataFrame, width: int = WIDTH, least: float = SIMILARITY) -> DataFrame:
-    """(key, root) of every key of ``marked`` (key, values) that is linked to another; the root is the smallest key.
+    """(key, root) of every key of ``marked`` (key, fingerprint, values) that is linked to another; the root is the smallest key.
 
     Links are the pairs of candidates with a similarity of ``least`` or more. A crowd is first compared with single
     members, so a group of near copies is joined in as many comparisons as it has texts; what remains apart is
     compared where its rarest shingles meet. Only texts of ``docs`` (key, text) that share a band are read again.
     """
-    values = materialize(marked.select("key", F.explode("values").alias("value")).select("value", "key").distinct(), "band-values")
+    banded = marked.select("key", F.explode("values").alias("value")).select("value", "key")
+    values = materialize(banded.union(simhash_values(marked)).distinct(), "band-values")
     crowds = values.groupBy("value").count().where("count > 1").select("value")
     members = materialize(values.join(crowds, "value").withColumn("root", F.col("key")), "band-members")
     candidates = members.select("key").distinct()
     texts = docs.select("key", "text").join(candidates, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     sets = materialize(sets_of(texts, width), "candidates")
-    links = found = None
+    similar = found = None
     for turn in range(STARS + 1):
         centre = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "root")).alias("centre")
         apart = members.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), centre).where("low < high")
@@ -203,8 +212,8 @@ def roots(marked: DataFrame, docs: DataFrame, width: int = WIDTH, least: float =
             rest = materialize(members.join(apart.select("value"), "value").select("key", "root").distinct(), "band-rest")
             pairs = rare_pairs(rest, sets, least)
         new = materialize(shared(pairs, sets, least), "similar")
-        links = new if links is None else links.union(new)
-        found = materialize(connected_components(links), "roots")
+        similar = new if similar is None else similar.union(new)
+        found = materialize(connected_components(similar), "roots")
         if turn < STARS:
             named = found.withColumnRenamed("node", "key")
             members = materialize(members.drop("root").join(named, "key", "left").select("value", "key", F.coalesce("root", "key").alias("root")), "band-members")

@@ -486,3 +486,23 @@ def test_graph_search_scores_doubles_as_they_are(spark):
         scores[q] = -np.inf
         hits += len(found[q] & set(np.argsort(-scores)[:20].tolist()))
     assert hits >= 0.95 * 60 * 20
+
+
+def test_near_duplicate_stage_compares_what_simhash_links(spark, tables, monkeypatch):
+    """Texts whose fingerprints differ in at most 2 bits are candidates whatever the bands say; texts without words are not."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    words = [f"w{i * i % 997}" for i in range(900)]
+    texts = [" ".join(words), " ".join([*words[:-1], "o0"]), " ".join(reversed(words)), "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = similar_texts.marked_rows(rows, 5)
+    prints = {r.doc_id: r.fingerprint for r in marked.collect()}
+    assert 0 < ((prints[0] ^ prints[1]) % 2**64).bit_count() <= 2 < ((prints[0] ^ prints[2]) % 2**64).bit_count()
+    value = {r.key: r.value for r in similar_texts.simhash_values(marked).collect()}
+    key = {r.doc_id: r.key for r in marked.collect()}
+    assert value[key[0]] == value[key[1]] != value[key[2]] and len(value) == 3
+    without_bands = marked.withColumn("values", F.array(F.col("doc_id")))
+    monkeypatch.setattr(similar_texts, "marked_rows", lambda docs, width: without_bands)
+    kept = corpus_pipeline.near_duplicate_filter(spark, rows.where("doc_id < 3"), tables)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
