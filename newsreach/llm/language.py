@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsreach.llm.rows import groups_of, held_out, lean, sampled
-from newsreach.llm.subwords import Examples, WordTable, scatter
+from newsreach.llm.subwords import Examples, WordTable, scatter, word_means
 
 #: Documents the classifiers are fitted on, at most (in expectation).
 SAMPLE_ROWS = 2000
@@ -118,7 +118,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rounds: in
     for step, (docs, bucket, count, share) in enumerate(data.batches(batch, rounds, seed) if width else ()):
         pace = rate * (1 - step / steps)
         word = np.repeat(np.arange(len(count)), count)
-        values = np.add.reduceat(weights[bucket], np.cumsum(count) - count, axis=0) / count[:, None]
+        values = word_means(weights, bucket, count)
         margins = share @ values + bias
         wanted = target[docs]
         if step >= steps * (rounds - 1) // rounds:
@@ -126,7 +126,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", rounds: in
         error = wanted / (1 + np.exp(np.clip(margins * wanted, -50, 50))) / len(docs)
         back = (share.T @ error) / count[:, None]
         bias += 0.1 * pace * error.sum(axis=0)
-        scatter(weights, bucket, pace * len(docs) * back[word])
+        scatter(weights, bucket, pace * len(docs) * back, word)
     right = np.clip((hits + 1) / (seen + 2), 0.5, 0.999)
     trust = np.log(right / (1 - right)) + 1e-3
     return LanguageModel(classes, code, weights.astype(np.float32), bias, trust / trust.sum() if width else trust)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsreach.llm.rows import groups_of, held_out, lean, sampled
-from newsreach.llm.subwords import Examples, WordTable, scatter
+from newsreach.llm.subwords import Examples, WordTable, scatter, word_means
 
 #: Documents the model is fitted on, at most (in expectation).
 SAMPLE_ROWS = 3000
@@ -72,7 +72,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", dim: in
     for step, (docs, bucket, count, share) in enumerate(data.batches(batch, rounds, seed)):
         pace = rate * (1 - step / steps)
         word = np.repeat(np.arange(len(count)), count)
-        vectors = np.add.reduceat(inner[bucket], np.cumsum(count) - count, axis=0) / count[:, None]
+        vectors = word_means(inner, bucket, count)
         hidden = share @ vectors
         logits = hidden @ outer + bias
         chance = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -81,7 +81,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", dim: in
         back = (share.T @ (error @ outer.T)) / count[:, None]
         outer += pace * hidden.T @ error
         bias += pace * 0.1 * error.sum(axis=0)
-        scatter(inner, bucket, pace * len(docs) * back[word])
+        scatter(inner, bucket, pace * len(docs) * back, word)
     return QualityModel((inner @ (outer[:, 1] - outer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 

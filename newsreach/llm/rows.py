@@ -61,10 +61,15 @@ def lean(compute: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
         for batch in batches:
             yield from compute(iter((batch,)))
             del batch
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # another C library
-                pass
+            give_back()
 
     return run
+
+
+def give_back() -> None:
+    """Give memory that is not used any more back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

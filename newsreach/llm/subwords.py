@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsreach.llm.rows import groups_of
+from newsreach.llm.rows import give_back, groups_of
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0x100000001B3)
 OPEN, CLOSE = "\x02", "\x03"
 
+#: Features of which rows of weights are held at once while fitting.
+FEATURE_STEP = 1 << 16
+
 
 def features(words: list[str], sizes: Iterable[int], bits: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(index of the word, bucket below ``2 ** bits``) of every feature of the words.
@@ -129,14 +132,18 @@ class Examples:
         words = pa.chunked_array([x.flatten() for x in rows["words"].chunks], pa.string()).dictionary_encode().unify_dictionaries()
         chunks = words.chunks
         self.words = chunks[0].dictionary.to_pylist() if chunks else []
-        self.word = np.concatenate([x.indices.to_numpy() for x in chunks]).astype(np.int64) if chunks else np.zeros(0, np.int64)
+        self.word = np.concatenate([x.indices.to_numpy() for x in chunks]).astype(np.int32) if chunks else np.zeros(0, np.int32)
         self.times = np.concatenate([x.flatten().to_numpy() for x in rows["times"].chunks]).astype(np.float64) if chunks else np.zeros(0)
         self.sizes = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False) for x in rows["words"].chunks]).astype(np.int64) if chunks else np.zeros(0, np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        owner, self.bucket = features(self.words, sizes, bits, whole)
-        order = np.argsort(owner, kind="stable")
-        self.bucket = self.bucket[order]
-        self.count = np.bincount(owner, minlength=len(self.words))
+        del rows, words, chunks
+        give_back()
+        found, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for run in groups_of(self.words, 20_000, 200_000):
+            owner, bucket = features(run, sizes, bits, whole)
+            found.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+            counts.append(np.bincount(owner, minlength=len(run)))
+        self.bucket, self.count = np.concatenate(found), np.concatenate(counts)
         self.first = np.cumsum(self.count) - self.count
 
     def __len__(self) -> int:
@@ -165,7 +172,20 @@ def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def scatter(target: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Add ``values`` to the given rows of ``target``; rows may repeat."""
+def word_means(weights: np.ndarray, bucket: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Mean row of ``weights`` over the buckets of each word, ``count`` of them a word; rows are taken some thousands at a time."""
+    ends = np.cumsum(count)
+    out = np.empty((len(count), weights.shape[1]))
+    at = 0
+    while at < len(count):
+        start = ends[at] - count[at]
+        end = max(at + 1, int(np.searchsorted(ends, start + FEATURE_STEP, "right")))
+        np.add.reduceat(weights[bucket[start : ends[end - 1]]], ends[at:end] - count[at:end] - start, axis=0, out=out[at:end])
+        at = end
+    return out / count[:, None]
+
+
+def scatter(target: np.ndarray, rows: np.ndarray, values: np.ndarray, owner: np.ndarray) -> None:
+    """Add to each of the given rows of ``target`` the row of ``values`` that ``owner`` names; rows may repeat."""
     for column in range(target.shape[1]):
-        target[:, column] += np.bincount(rows, values[:, column], len(target))
+        target[:, column] += np.bincount(rows, values[:, column][owner], len(target))

@@ -506,3 +506,21 @@ def test_near_duplicate_stage_compares_what_simhash_links(spark, tables, monkeyp
     monkeypatch.setattr(similar_texts, "marked_rows", lambda docs, width: without_bands)
     kept = corpus_pipeline.near_duplicate_filter(spark, rows.where("doc_id < 3"), tables)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2]
+
+
+def test_fitting_holds_few_rows_of_weights_at_once():
+    """Means of the words of a step equal those taken at once, without a row of weights for every feature in memory."""
+    import tracemalloc
+
+    from newsreach.llm.subwords import word_means
+
+    rng = np.random.default_rng(4)
+    count = rng.integers(1, 40, 20_000)
+    weights, bucket = rng.normal(size=(1 << 12, 8)), rng.integers(0, 1 << 12, count.sum()).astype(np.int32)
+    tracemalloc.start()
+    found = word_means(weights, bucket, count)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(found, np.add.reduceat(weights[bucket], np.cumsum(count) - count, axis=0) / count[:, None])
+    assert peak < bucket.size * 8 * 8 / 2
+    assert word_means(weights, bucket[:0], count[:0]).shape == (0, 8)
