@@ -32,11 +32,21 @@ SAMPLED = 4
 # Leaves of a query's first round, besides those needed to hold k vectors
 FIRST_LEAVES = 2
 
-# Rows of a shard, about, and queries of one shard that one task scores; bounds (queries x leaves) computed at once
+# Rows of a shard, about: an eighth of the corpus within these limits, as a query travels once to each shard
 SHARD_ROWS = 32_768
-SHARD_QUERIES = 16_384
+MOST_SHARD_ROWS = 131_072
+SHARDS = 8
+
+# Queries of one shard that one task scores, at most, and at least if all cores are to have work
+SHARD_QUERIES = 65_536
+LEAST_QUERIES = 4_096
+
+# Bounds (queries x leaves) computed at once
 BOUND_CELLS = 4_000_000
 
+# Queries are scored together with all leaves that some of them visit if that makes no more pairs than so many times those of their steps
+MERGED = 1.25
+
 # Angles and products are rounded; a bound this close counts as reached
 SLACK = 1e-6
 
@@ -93,7 +103,7 @@ class PivotIndex:
     def _visiting(
         self, queries: DataFrame, vector: str, k: int, least: str | None, more: Sequence[T.StructField], give: Callable[[pd.DataFrame, np.ndarray], Iterator[pd.DataFrame]], again: bool = False
     ) -> DataFrame:
-        columns = [c for c in queries.columns if c != least]
+        columns = queries.columns
         schema = T.StructType([*[queries.schema[c] for c in columns], *more])
         index = PivotIndex(None, self.leaves, self.pivots, self.bonus, self.shards)
 
@@ -187,7 +197,7 @@ def build_index(
     ranged = placed.repartitionByRange(parts, F.col("__at.cell"), F.col("__at.angle"), *[F.col(c) for c in keys])
     members = materialize(ranged.withColumn("__leaf", F.col("__at.cell") * F.lit(2 * MOST_LEAVES) + F.spark_partition_id()), "pivot-members")
     # Neighbouring parts of the range make a shard.
-    each = max(1, SHARD_ROWS // leaf_rows)
+    each = max(1, min(MOST_SHARD_ROWS, max(SHARD_ROWS, rows // SHARDS)) // leaf_rows)
     leaves = members.groupBy(F.col("__leaf").alias("leaf")).agg(
         F.first("__at.cell").alias("pivot"), F.min("__at.angle").alias("low"), F.max("__at.angle").alias("high"),
         F.min("__at.norm").alias("least_norm"), F.max("__at.norm").alias("most_norm"), F.max(gain.cast("double")).alias("reach"), F.count(F.lit(1)).alias("rows"),
@@ -198,15 +208,34 @@ def build_index(
     return PivotIndex(members.drop("__at").withColumn("__shard", shard), table, pivots, bonus, table["leaf"].to_numpy(np.int64) % (2 * MOST_LEAVES) // each)
 
 
+def alike(visited: list[np.ndarray], rows: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Runs (first, behind the last) of steps that visit nearly the same leaves of ``rows`` members, and the leaves that a run visits."""
+    first = 0
+    while first < len(visited):
+        wanted, apart, last = visited[first], int(rows[visited[first]].sum()), first + 1
+        while last < len(visited):
+            both, more = wanted | visited[last], apart + int(rows[visited[last]].sum())
+            if rows[both].sum() * (last + 1 - first) > MERGED * more:
+                break
+            wanted, apart, last = both, more, last + 1
+        yield first, last, wanted
+        first = last
+
+
 def met_in_leaves(
     index: PivotIndex, visits: DataFrame, query_id: str, score: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: T.StructType, step: int
 ) -> DataFrame:
-    """Queries and members of the leaves they visit scored together, ``step`` queries of the most alike visits at a time.
+    """Queries and members of the leaves they visit scored together, those of the most alike visits at a time.
 
-    A task has the members of one shard; a shard that very many queries visit is dealt to several tasks.
+    A task has the members of one shard; a shard that very many queries visit, or one of fewer shards than cores, is dealt to
+    several tasks. Queries are taken in steps of ``step``; steps that visit nearly the same leaves are scored as one, so that the
+    members are made ready once.
     """
     stored = materialize(visits, "visits")
-    counted = stored.groupBy("__shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_QUERIES).cast("int").alias("__parts"))
+    number = F.count(F.lit(1))
+    tasks = -(-3 * stored.sparkSession.sparkContext.defaultParallelism // max(1, len(np.unique(index.shards))))
+    parts = F.greatest(F.ceil(number / SHARD_QUERIES), F.least(F.ceil(number / LEAST_QUERIES), F.lit(tasks)))
+    counted = stored.groupBy("__shard").agg(parts.cast("int").alias("__parts"))
     left = stored.join(counted, "__shard").withColumn("__part", F.pmod(F.xxhash64(query_id), F.col("__parts")).cast("int")).drop("__parts")
     right = index.members.join(counted, "__shard").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
     names = schema.fieldNames()
@@ -218,10 +247,15 @@ def met_in_leaves(
             asked = asked.sort_values("__leaves", kind="stable")
             leaves = of_shard[int(members["__shard"].iloc[0])]
             place = np.searchsorted(leaves, members["__leaf"].to_numpy())
-            for start in range(0, len(asked), step):
-                part = asked.iloc[start : start + step]
-                bits = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in part["__leaves"]]), axis=0)
-                near = members[np.unpackbits(bits)[: len(leaves)].astype(bool)[place]]
+            rows = np.bincount(place, minlength=len(leaves))
+            starts = list(range(0, len(asked), step))
+            visited = [
+                np.unpackbits(np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in asked["__leaves"].iloc[at : at + step]]), axis=0))[: len(leaves)].astype(bool)
+                for at in starts
+            ]
+            for first, last, wanted in alike(visited, rows):
+                part = asked.iloc[starts[first] : starts[last - 1] + step]
+                near = members if wanted[place].all() else members[wanted[place]]
                 if len(near):
                     found.append(score(part, near))
         return pd.concat(found[1:] or found, ignore_index=True)

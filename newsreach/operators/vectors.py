@@ -218,7 +218,7 @@ def _hints(
         right.append(gain[:, None])
     asked, held = (np.concatenate(x, axis=1) for x in (left, right))
     with np.errstate(over="ignore", invalid="ignore"):
-        size = np.sqrt((asked**2).sum(axis=1)).max(initial=0) * np.sqrt((held**2).sum(axis=1)).max(initial=0)
+        size = np.sqrt(np.einsum("ij,ij->i", asked, asked)).max(initial=0) * np.sqrt(np.einsum("ij,ij->i", held, held)).max(initial=0)
     if not size < MOST_PRODUCT:
         return None
     # Both sides are rounded once, and so is each of the sums.
@@ -228,12 +228,16 @@ def _hints(
 
 def _best_of_block(
     queries: pd.DataFrame, q_vec: np.ndarray, corpus: pd.DataFrame, vector: str | np.ndarray, keys: Sequence[str],
-    carry: Sequence[str], bonus: Bonus, k: int,
+    carry: Sequence[str], bonus: Bonus, k: int, reached: np.ndarray | None = None,
 ) -> pd.DataFrame:
     """Local top-k of one corpus block (``vector``: its column or matrix) for all queries; ties at the cut are all looked at.
 
-    Products of single precision tell which pairs can be among the best; only these are scored.
+    Products of single precision tell which pairs can be among the best; only these are scored. ``reached`` is a score that k rows
+    of the whole corpus are known to reach (NaN: none); rows below it are left out.
     """
+    floor = np.full(len(queries), -np.inf)
+    if reached is not None:
+        floor = np.where(np.isnan(reached), -np.inf, reached - 2 * 10.0**-SCORE_DECIMALS)
     c_vec = _matrix(corpus, vector) if isinstance(vector, str) else vector
     held = [corpus[key].to_numpy() for key in keys]
     hints = _hints(queries, corpus, q_vec, c_vec, bonus)
@@ -242,7 +246,7 @@ def _best_of_block(
         part = slice(start, start + QUERY_STEP)
         asked, vectors = queries.iloc[part], q_vec[part]
         row, col, val = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        least = np.full(len(asked), -np.inf)
+        least = floor[part]
         for first in range(0, len(corpus), CORPUS_STEP):
             span = slice(first, first + CORPUS_STEP)
             if hints is None:
@@ -263,7 +267,7 @@ def _best_of_block(
                 found = scores[near, place]
             else:
                 found = _pair_scores(asked, corpus, vectors, c_vec, near, place + first, bonus)
-            real = np.isfinite(found)
+            real = np.isfinite(found) & (found >= floor[part][near])
             row, col, val = np.r_[row, near[real]], np.r_[col, place[real] + first], np.r_[val, found[real]]
             if len(row):
                 keep = _keep_best(row, val, [key[col] for key in held], k)
@@ -271,7 +275,7 @@ def _best_of_block(
                 full = np.bincount(row, minlength=len(asked)) == k
                 low = np.full(len(asked), np.inf)
                 np.minimum.at(low, row, val)
-                least = np.where(full, low, -np.inf)
+                least = np.where(full, low, floor[part])
         rows.append(row + start)
         cols.append(col)
         vals.append(val)
@@ -403,7 +407,8 @@ def nearest(
         index = build_index(c, keys, vector, block_rows, most, bonus.reach, bonus.reach_column if bonus.reach else None)
 
         def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            return finish(_best_of_block(left, _matrix(left, vector), right, vector, keys, extra, bonus, k), left[query_id].to_numpy())
+            reached = left["__least"].to_numpy(np.float64) if "__least" in left else None
+            return finish(_best_of_block(left, _matrix(left, vector), right, vector, keys, extra, bonus, k, reached), left[query_id].to_numpy())
 
         numbers = q.where(~F.exists(vector, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))))
         first = met_in_leaves(index, index.visits(numbers, vector, k), query_id, pair, out, QUERY_STEP)

@@ -306,3 +306,28 @@ def test_single_precision_hides_no_tie_and_no_large_number():
             for i in range(len(x)):
                 want = sorted(range(len(x)), key=lambda j: (-full[i, j], j))[:6]
                 assert found.loc[found["__q"] == i, "id"].tolist() == want, (scale, bonus, i)
+
+
+def test_a_score_known_to_be_reached_leaves_out_what_is_below():
+    """The second round of the index gives no row below the k-th score of the first, and all that reach it."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 8))
+    corpus = pd.DataFrame({"id": range(200), "v": list(x), "reach_score": rng.random(200)})
+    for scale in (1.0, 1e200):
+        bonus = V.Bonus({}, 0.05)
+        full = V._best_of_block(corpus, x, corpus, x * scale, ["id"], [], bonus, 6)
+        reached = full.groupby("__q")["score"].nth(2).to_numpy()
+        some = V._best_of_block(corpus, x, corpus, x * scale, ["id"], [], bonus, 6, np.where(np.arange(200) % 2, reached, np.nan))
+        for q, found in some.groupby("__q"):
+            assert found["id"].tolist() == full.loc[full["__q"] == q, "id"].tolist()[: 3 if q % 2 else 6]
+
+
+def test_steps_with_the_same_leaves_are_scored_as_one():
+    from newsreach.operators import pivots
+
+    rows = np.array([10, 10, 10, 1])
+    every, one, other = np.ones(4, bool), np.array([True, False, False, False]), np.array([False, True, False, False])
+    runs = list(pivots.alike([every, every & (rows > 1), one, one, other], rows))
+    assert [(first, last) for first, last, _ in runs] == [(0, 2), (2, 4), (4, 5)]
+    assert runs[0][2].all() and (runs[1][2] == one).all()
+    assert list(pivots.alike([], rows)) == []
