@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from newsreach.operators.outcome import regional_reach
 from newsreach.operators.rollup import clip_rollup, outlet_frequency, outlet_set, outlet_total
-from newsreach.sources.files import read_table
+from newsreach.sources.files import read_table, rows_of
+from newsreach.sources.workspace import materialize
 
 KEY = ["release_id"]
 OWN_OUTLET = 5
@@ -19,19 +20,21 @@ LIFT_MIN = 1.2
 
 
 class Roles:
-    """Lazily read roles of one data folder."""
+    """Lazily read roles of one data folder; the corpus with vectors is stored once for all its uses."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder
+        self._vectors: DataFrame | None = None
 
     def table(self, name: str, *columns: str) -> DataFrame:
         return read_table(self.spark, self.folder, name, columns or None)
 
-    def release(self) -> DataFrame:
-        """Announcements: orders with their customer's segment and nation."""
+    def release(self, orders: DataFrame | None = None) -> DataFrame:
+        """Announcements: orders (all, or those given) with their customer's segment and nation."""
         customer = self.table("customer", "c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-        return self.table("orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        orders = self.table("orders") if orders is None else orders
+        return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
             F.col("o_orderkey").alias("release_id"),
             F.col("o_custkey").alias("company_id"),
             F.col("c_name").alias("company_name"),
@@ -76,16 +79,20 @@ class Roles:
 
     def vectors(self) -> DataFrame:
         """Corpus with vectors: an embedding belongs to the order of the same number."""
-        release = self.release().select(
-            "release_id", "company_id", "created_at", "title", F.col("place"), F.col("page_view")
-        )
-        embedding = self.table("embeddings").select(F.col("vec_id").alias("release_id"), "embedding", F.col("label").alias("category"))
-        return embedding.join(release, KEY).withColumns(
-            {
-                "reach_score": F.round(F.col("page_view") / 500000, 6),
-                "pv_score": F.round(F.log1p("page_view") / 14, 6),
-            }
-        )
+        if self._vectors is None:
+            orders = rows_of(self.table("orders"), ["o_orderkey"], self.table("embeddings", "vec_id"))
+            release = self.release(orders).select(
+                "release_id", "company_id", "created_at", "title", F.col("place"), F.col("page_view")
+            )
+            embedding = self.table("embeddings").select(F.col("vec_id").alias("release_id"), "embedding", F.col("label").alias("category"))
+            rows = embedding.join(release, KEY).withColumns(
+                {
+                    "reach_score": F.round(F.col("page_view") / 500000, 6),
+                    "pv_score": F.round(F.log1p("page_view") / 14, 6),
+                }
+            )
+            self._vectors = materialize(rows, "vectors")
+        return self._vectors
 
     def queries(self) -> DataFrame:
         """Search requests: every vector with its own category and place."""

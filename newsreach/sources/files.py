@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsreach.sources import commits
-from newsreach.sources.workspace import discard
+from newsreach.sources.workspace import discard, materialize
 
 
 def read_table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -22,6 +22,22 @@ def read_table(spark: SparkSession, folder: str, name: str, columns: Sequence[st
     return df if columns is None else df.select(*columns)
 
 
+# Keys up to this many travel to the tasks
+KEY_ROWS = 1_000_000
+
+
+def rows_of(df: DataFrame, columns: Sequence[str], keys: DataFrame) -> DataFrame:
+    """Rows of a table whose ``columns`` are among ``keys`` (as many columns); NULL is none.
+
+    The keys are stored and counted. Up to ``KEY_ROWS`` of them travel to the tasks, so a long table is filtered where it
+    lies; more are joined as Spark plans it.
+    """
+    names = [f"__key{i}" for i in range(len(columns))]
+    known = materialize(keys.toDF(*names).distinct(), "keys")
+    few = F.broadcast(known) if known.count() <= KEY_ROWS else known
+    return df.join(few, [F.col(column) == F.col(name) for column, name in zip(columns, names)], "left_semi")
+
+
 # Files whose first lines are read at a time, and bytes of a first line at most
 HEADER_READERS = 16
 HEADER_BYTES = 1 << 20

@@ -331,3 +331,28 @@ def test_steps_with_the_same_leaves_are_scored_as_one():
     assert [(first, last) for first, last, _ in runs] == [(0, 2), (2, 4), (4, 5)]
     assert runs[0][2].all() and (runs[1][2] == one).all()
     assert list(pivots.alike([], rows)) == []
+
+
+def test_rows_of_keys_are_found_without_a_shuffle_of_the_table(spark, monkeypatch):
+    from newsreach.sources import files
+
+    table = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "c"), (3, "d")], "k long, x string")
+    keys = spark.createDataFrame([(1,), (1,), (3,), (None,), (9,)], "id long")
+    found = files.rows_of(table, ["k"], keys)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    want = [(1, "a"), (1, "a"), (3, "d")]
+    assert sorted(map(tuple, found.collect())) == want
+    monkeypatch.setattr(files, "KEY_ROWS", 0)
+    assert sorted(map(tuple, files.rows_of(table, ["k"], keys).collect())) == want
+    assert "hashpartitioning" not in found.select("x")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_corpus_with_vectors_is_stored_once(spark, tables):
+    from newsreach.plans.stand_ins import Roles
+
+    roles = Roles(spark, tables)
+    plan = roles.queries()._jdf.queryExecution().executedPlan().toString()
+    assert roles.vectors() is roles.vectors() and "Join" not in plan
+    orders = roles.table("orders").select(F.col("o_orderkey").alias("vec_id"))
+    assert roles.vectors().count() == roles.table("embeddings").join(orders, "vec_id").count() > 0
