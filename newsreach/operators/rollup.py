@@ -91,9 +91,9 @@ def category_counts(corpus: DataFrame, category: Sequence[str]) -> DataFrame:
     return corpus.where(F.col(category[0]).isNotNull()).groupBy(*category).agg(F.count(F.lit(1)).alias("cases"))
 
 
-def outlet_frequency(media: DataFrame, keys: Sequence[str], outlet: str) -> DataFrame:
-    """Number of distinct cases per outlet."""
-    cases = media.select(outlet, *keys).distinct()
+def outlet_frequency(media: DataFrame, keys: Sequence[str], outlet: str, unique: bool = False) -> DataFrame:
+    """Number of distinct cases per outlet (A9); ``unique`` says that ``media`` holds each pair once."""
+    cases = media if unique else media.select(outlet, *keys).distinct()
     return cases.groupBy(outlet).agg(F.count(F.lit(1)).alias("case_count"))
 
 

@@ -20,7 +20,7 @@ from newsreach.functions.arrays import dot, l2_normalize
 from newsreach.functions.scoring import match_bonus, rarity
 from newsreach.operators.pivots import build_index, met_in_leaves
 from newsreach.sources import commits
-from newsreach.sources.files import missing_rows
+from newsreach.sources.files import missing_rows, rows_of
 from newsreach.sources.workspace import materialize
 
 # Seconds between two tries of a batch call, at most
@@ -485,7 +485,8 @@ def distinctive(
     the set (but more than one case) would have taken anything and are dropped. Name settles ties.
     """
     members = materialize(cases.select(query_id, *keys), "cases")
-    taken = members.join(media.select(*keys, outlet), list(keys))
+    asked = rows_of(media.select(*keys, outlet), keys, members.select(*keys))
+    taken = materialize(members.join(asked, list(keys)), "taken")
     sizes = members.groupBy(query_id).agg(F.count(F.lit(1)).alias("__cases"))
     hits = taken.groupBy(query_id, outlet).agg(F.count(F.lit(1)).alias("hits"))
     rare = (

@@ -125,7 +125,7 @@ def distinctive(r: Roles) -> tuple[DataFrame, DataFrame]:
 def lookups(r: Roles) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Outlets per case, their frequency and the number of cases: tables that a search finds ready."""
     media = materialize(r.media(), "media")
-    return media, outlet_frequency(media, KEY, "outlet"), outlet_total(media, KEY)
+    return media, outlet_frequency(media, KEY, "outlet", unique=True), outlet_total(media, KEY)
 
 
 BUNDLE_SQL = f"""

@@ -356,3 +356,12 @@ def test_the_corpus_with_vectors_is_stored_once(spark, tables):
     assert roles.vectors() is roles.vectors() and "Join" not in plan
     orders = roles.table("orders").select(F.col("o_orderkey").alias("vec_id"))
     assert roles.vectors().count() == roles.table("embeddings").join(orders, "vec_id").count() > 0
+
+
+def test_cases_per_outlet_of_a_table_that_is_distinct_already(spark):
+    from newsreach.operators.rollup import outlet_frequency
+
+    media = spark.createDataFrame([(1, "a"), (2, "a"), (None, "a"), (2, "b")], "k long, outlet string")
+    known, counted = outlet_frequency(media, ["k"], "outlet", unique=True), outlet_frequency(media, ["k"], "outlet")
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, counted.collect())) == [("a", 3), ("b", 1)]
+    assert known._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") < counted._jdf.queryExecution().executedPlan().toString().count("hashpartitioning")
