@@ -112,6 +112,29 @@ def grouped_ndcg(
     )
 
 
+def ndcg_of_models(
+    df: DataFrame, group: Sequence[str], models: Sequence[str], actual: str, keys: Sequence[str], k: int = K.NDCG_K
+) -> DataFrame:
+    """Mean NDCG@k over groups of bounded size for several models (M8): ``model``, ``ndcg``. The figures of ``grouped_ndcg``.
+
+    A group travels once, for all models and the ideal; each task ranks its groups in every order.
+    """
+    by_key = [F.col(key).asc() for key in keys]
+    columns = [actual, *models]
+    ranks = {
+        f"__r{i}": F.row_number().over(Window.partitionBy(*group).orderBy(F.col(c).cast("double").desc() if i else F.col(c).desc(), *by_key))
+        for i, c in enumerate(columns)
+    }
+
+    def dcg(i: int) -> Column:
+        return F.sum(F.when(F.col(f"__r{i}") <= k, F.col(actual) / F.log2(F.col(f"__r{i}") + 1)))
+
+    gains = df.select(*dict.fromkeys([*group, *keys, *columns])).withColumns(ranks).groupBy(*group).agg(*[dcg(i).alias(f"__g{i}") for i in range(len(columns))])
+    shares = [F.when(F.col("__g0") > 0, F.col(f"__g{i}") / F.col("__g0")).otherwise(F.lit(0.0)).alias(model) for i, model in enumerate(models, 1)]
+    means = gains.select(*shares).agg(*[F.coalesce(F.avg(model), F.lit(0.0)).alias(model) for model in models])
+    return melt(means, models, name="model").withColumnRenamed("value", "ndcg")
+
+
 def bootstrap_draws(seed: int, keys: Sequence[str], rounds: int) -> Column:
     """Array of (round, w) with a Poisson(1) weight per round, from a hash of seed, round and key."""
 
@@ -251,11 +274,8 @@ def metric_report(
     keep = [*dict.fromkeys([*keys, *entity]), actual]
     df = materialize(df.select(*dict.fromkeys([*keep, *models])), "reported")
     rows = melt_models(df, models, keep)
-    random = melt_models(fixed_groups(df, keys, size, seed), models, [*keep, "group_id"])
     large = melt_models(entity_groups(df, entity, min_rows), models, keep)
-    by_random = grouped_ndcg(random, ["group_id"], "pred", actual, keys, k, ["model"]).select(
-        "model", F.col("ndcg").alias("ndcg_random")
-    )
+    by_random = ndcg_of_models(fixed_groups(df, keys, size, seed), ["group_id"], models, actual, keys, k).withColumnRenamed("ndcg", "ndcg_random")
     by_entity = grouped_ndcg(large, entity, "pred", actual, keys, k, ["model"]).select(
         "model", F.col("ndcg").alias("ndcg_entity"), F.col("groups").alias("entity_groups")
     )

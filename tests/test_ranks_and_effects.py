@@ -282,3 +282,30 @@ def test_small_wrong_answers_stay_right(spark):
     assert drafts[0].p is None and drafts[1].p.title == "x"
     modes = {r.v: r.is_mode for r in E.value_histogram(spark.createDataFrame([(None,), (None,), (1,)], "v int"), "v").collect()}
     assert modes == {None: True, 1: False}
+
+
+def test_positions_of_a_long_table_equal_ranks_and_travel_once(spark, monkeypatch):
+    from newsreach.operators import ranks
+
+    rows = [(i, (i * 7919) % 500 if i % 10 else 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, v long").withColumn("v", F.unhex(F.md5(F.col("v").cast("string"))))
+    want = {r["id"]: (r["before"], r["n"]) for r in ranks.with_ranks(df, [], "v").collect()}
+    stored = []
+    monkeypatch.setattr(ranks, "materialize", lambda df, name, keep=ranks.materialize: stored.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    found = ranks.positions(df, "v", "at", hot_rows=0).collect()
+    assert {r["id"]: (r["at"], r["n"]) for r in found} == want and len(found) == 600
+    assert stored[0].count("Exchange") == 1
+
+
+def test_ndcg_of_models_equals_grouped_ndcg_and_shuffles_once(spark):
+    from newsreach.operators import evaluate
+
+    rows = [(i, i // 20 if i < 195 else None, float(i * 37 % 101) if i % 9 else None, float(i * 53 % 7), float(i * 11 % 13) if i >= 20 else 0.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, g long, p double, q double, actual double")
+    found = evaluate.ndcg_of_models(df, ["g"], ["p", "q"], "actual", ["id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(g") == 1
+    got = {r["model"]: r["ndcg"] for r in found.collect()}
+    for model in ("p", "q"):
+        assert got[model] == pytest.approx(evaluate.grouped_ndcg(df, ["g"], model, "actual", ["id"]).first()["ndcg"], abs=1e-12)
+    assert [r["ndcg"] for r in evaluate.ndcg_of_models(df.limit(0), ["g"], ["p", "q"], "actual", ["id"]).collect()] == [0.0, 0.0]
