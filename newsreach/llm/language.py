@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from newsreach.llm.rows import groups_of, held_out, lean, sampled
 from newsreach.llm.subwords import Examples, WordTable, scatter, word_means
+from newsreach.operators.ranks import quantiles
+from newsreach.sources.workspace import materialize
 
 #: Documents the classifiers are fitted on, at most (in expectation).
 SAMPLE_ROWS = 2000
@@ -28,9 +30,10 @@ BITS = 16
 UNKNOWN = "und"
 #: Normalised gap between the nearest two codewords below which a document is ambiguous.
 GAP = 0.1
-#: Labelled documents, at most (in expectation), that limits of the loss are measured on, and the share of them within.
-CALIBRATION_ROWS = 4000
+#: Share of the labelled documents within the limits of the loss.
 WITHIN = 0.998
+#: Different losses that one task puts in order; more are dealt by range.
+WINDOW_ROWS = 10_000
 #: Texts with fewer words have a limit of their own, as their losses scatter more.
 SHORT = 20
 
@@ -153,24 +156,30 @@ def _short(text: str) -> Column:
     return F.size(F.split(F.substring(F.col(text), 1, 64 * SHORT), r"\s+", SHORT)) < SHORT
 
 
-def loss_limits(model: LanguageModel, docs: DataFrame, rows: int = CALIBRATION_ROWS) -> tuple[float, float]:
-    """Losses that ``WITHIN`` of the documents with a language stay within, (long, short) texts; none held out, few fitted on.
+def with_loss(model: LanguageModel, docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows with ``__loss`` (NULL for ``und``) and ``__short``, stored, so that limits and decision rest on one decoding of every text."""
+    loss = predict_column(model, text)["loss"].alias("__loss")
+    found = materialize(docs.select("*", loss, _short(text).alias("__short")), "language-losses")
+    return found.withColumn("__loss", F.when(~F.isnan("__loss"), F.col("__loss")))
 
-    Measured on a bounded sample. Without a text of one kind its limit is that of the other, without any there is none.
+
+def loss_limits(found: DataFrame) -> tuple[float, float]:
+    """Losses that ``WITHIN`` of the documents with a language stay within, (long, short) texts; ``found`` is from ``with_loss``.
+
+    Measured on every such document that is not held out. Without a text of one kind its limit is that of the other,
+    without any there is none.
     """
-    known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    found = sampled(known, rows, salt="calibration").select(_short("text").alias("short"), predict_column(model)["loss"].alias("loss"))
-    # A filter on the loss would compute it twice, in two Python workers a core.
-    within = F.percentile(F.when(~F.isnan("loss"), F.col("loss")), F.lit(WITHIN))
-    limits = {r["short"]: r["limit"] for r in found.groupBy("short").agg(within.alias("limit")).collect() if r["limit"] is not None}
+    known = found.where(~held_out() & F.col("lang").isNotNull() & F.col("__loss").isNotNull())
+    rows = quantiles(known, ["__short"], "__loss", {"limit": WITHIN}, hot_rows=WINDOW_ROWS).collect()
+    limits = {r["__short"]: r["limit"] for r in rows}
     most = max(limits.values(), default=float("inf"))
     return limits.get(False, most), max(limits.get(True, most), limits.get(False, most))
 
 
-def accepted(model: LanguageModel, limits: tuple[float, float], text: str = "text") -> Column:
-    """Whether a text has letters and its loss is within the limit of its length."""
-    loss = predict_column(model, text)["loss"]
-    return ~F.isnan(loss) & (loss <= F.when(_short(text), F.lit(limits[1])).otherwise(F.lit(limits[0])))
+def accepted(limits: tuple[float, float]) -> Column:
+    """Whether a row of ``with_loss`` has letters and its loss is within the limit of its length."""
+    within = F.col("__loss") <= F.when(F.col("__short"), F.lit(limits[1])).otherwise(F.lit(limits[0]))
+    return F.coalesce(within, F.lit(False))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

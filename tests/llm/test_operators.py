@@ -229,6 +229,32 @@ def test_language_stage_rejects_other_languages_and_keeps_known_ones(spark):
     assert corpus_pipeline.language_filter(spark, given.limit(0), folder).count() == 0
 
 
+def test_language_limits_rest_on_every_known_document(spark, monkeypatch):
+    """The limits are the exact quantiles of all labelled documents that are not held out, short and long texts apart."""
+
+    class Spelled:
+        classes = ["en"]
+
+        def predict(self, texts):
+            import pandas as pd
+
+            loss = [float(x.split()[-1]) if x else float("nan") for x in texts]
+            return pd.DataFrame({"lang_pred": "en", "score": 1.0, "ambiguous": False, "loss": loss})
+
+    rng = np.random.default_rng(3)
+    losses = [*rng.lognormal(size=14000).round(9).tolist(), 1e9, 1e9]
+    short = [i % 5 == 0 for i in range(len(losses))]
+    rows = [(i, f"{'w ' * (3 if s else 30)}{x!r}", "en" if i < 14000 else None) for i, (x, s) in enumerate(zip(losses, short))]
+    given = spark.createDataFrame([*rows, (None, None, "en"), (-1, "", None)], "doc_id long, text string, lang string")
+    known = [i for i in range(14000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    limits = {s: np.quantile([losses[i] for i in known if short[i] == s], language.WITHIN) for s in (False, True)}
+    limits[True] = max(limits.values())
+    monkeypatch.setattr(language, "fit_from_documents", lambda docs: Spelled())
+    kept = corpus_pipeline.language_filter(spark, given, "")
+    assert kept.columns == given.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, x in enumerate(losses) if x <= limits[short[i]]]
+
+
 def test_stages_stand_awkward_and_empty_tables(spark, tables, awkward):
     docs = awkward.withColumn("n_chars", F.length("text").cast("long"))
     for name, stage in corpus_pipeline.STAGES:
