@@ -26,8 +26,9 @@ from newsreach import constants as K
 from newsreach.functions.scoring import clip01, fill_category
 from newsreach.functions.text import presence_flag
 from newsreach.operators.evaluate import melt_models, rmse, spearman
+from newsreach.operators.forest import PartedForest
 from newsreach.operators.splits import split_sizes
-from newsreach.sources.workspace import materialize, shared_dir
+from newsreach.sources.workspace import kept_path, materialize, release, shared_dir
 
 CATEGORIES = ("category", "place")
 
@@ -37,6 +38,12 @@ LEAST_BINS = 32
 # MB of the counts that one task of a forest's pass holds
 FOREST_MEMORY = 512
 
+# Nodes of a forest that are on the driver at once, at most; a tree has them all at once
+FOREST_NODES = 200_000
+
+# Seeds of a forest's parts lie apart, as Spark adds the number of a partition
+PART_SEEDS = 1_000_003
+
 
 def features(df: DataFrame, vector: str = "embedding", title: str = "title", out: str = "features") -> DataFrame:
     """Vector, category, place and presence flag as one ML vector, in this order (M1)."""
@@ -177,24 +184,43 @@ def fit_gbt(
         length = min(rounds, 2 * length)
 
 
+def forest_parts(rows: int, trees: int, depth: int) -> list[int]:
+    """Trees of each part of a forest, so that no part has more than ``FOREST_NODES`` nodes if a tree has no more."""
+    leaves = max(1, min(rows // K.FOREST_MIN_LEAF, 1 << depth))
+    parts = -(-trees // max(1, FOREST_NODES // (2 * leaves)))
+    return [trees // parts + (place < trees % parts) for place in range(parts)]
+
+
 def fit_forest(
     df: DataFrame, target: str = "pv_score", column: str = "features", trees: int = K.FOREST_TREES, depth: int = 30
-) -> Model:
+) -> Model | PartedForest:
     """Random forest on the train rows.
 
     The nodes that rows have reached are kept beside them, or every pass would send all trees to all tasks. Rows are dealt
-    to all cores, and a pass splits as many nodes as ``FOREST_MEMORY`` holds.
+    to all cores, and a pass splits as many nodes as ``FOREST_MEMORY`` holds. Spark grows and keeps the nodes on the
+    driver, so a forest of more than ``FOREST_NODES`` is fitted and stored some trees at a time.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         # the lineage of the reached nodes grows with every level
         context.setCheckpointDir(shared_dir(df.sparkSession))
     train, bins = with_nominal_classes(df.where(F.col("split") == "train").select(column, target, *CATEGORIES), column)
-    return RandomForestRegressor(
-        featuresCol=column, labelCol=target, predictionCol="forest", numTrees=trees, maxDepth=depth,
-        featureSubsetStrategy=K.FOREST_FEATURES, minInstancesPerNode=K.FOREST_MIN_LEAF, maxBins=bins, seed=K.SEED,
-        cacheNodeIds=True, maxMemoryInMB=FOREST_MEMORY,
-    ).fit(train.repartition(context.defaultParallelism))
+    counts = forest_parts(train.count(), trees, depth)
+
+    def grown(count: int, seed: int) -> Model:
+        return RandomForestRegressor(
+            featuresCol=column, labelCol=target, predictionCol="forest", numTrees=count, maxDepth=depth,
+            featureSubsetStrategy=K.FOREST_FEATURES, minInstancesPerNode=K.FOREST_MIN_LEAF, maxBins=bins, seed=seed,
+            cacheNodeIds=True, maxMemoryInMB=FOREST_MEMORY,
+        ).fit(train.repartition(context.defaultParallelism))
+
+    if len(counts) == 1:
+        return grown(trees, K.SEED)
+    paths = [kept_path(df.sparkSession, "forest-part") for _ in counts]
+    for place, (path, count) in enumerate(zip(paths, counts)):
+        grown(count, K.SEED + place * PART_SEEDS).save(path)
+        release(df.sparkSession)
+    return PartedForest(tuple(paths), tuple(counts), column, "forest")
 
 
 def fit_ridge(
@@ -224,13 +250,13 @@ def fit_ridge(
     return fitted[alpha], alpha
 
 
-def predict(model: Model, df: DataFrame, out: str) -> DataFrame:
+def predict(model: Model | PartedForest, df: DataFrame, out: str) -> DataFrame:
     """Predictions limited to 0..1."""
     return model.transform(df).withColumn(out, clip01(out))
 
 
 def save_run(
-    models: Mapping[str, Model], scored: DataFrame, path: str, meta: Mapping[str, object], target: str = "pv_score",
+    models: Mapping[str, Model | PartedForest], scored: DataFrame, path: str, meta: Mapping[str, object], target: str = "pv_score",
     encoder: Encoder | None = None,
 ) -> DataFrame:
     """Store fitted models below ``path`` with a table of run data, and give that table back.
@@ -263,7 +289,7 @@ def load_encoder(spark: SparkSession, path: str) -> Encoder:
     return Encoder({c: stored[c] for c in CATEGORIES}, load_model(spark, f"{path}/encoder"))
 
 
-def load_model(spark: SparkSession, path: str) -> Model:
+def load_model(spark: SparkSession, path: str) -> Model | PartedForest:
     """Reload a stored model of any kind."""
     from pyspark.ml.util import DefaultParamsReader
 
@@ -272,6 +298,7 @@ def load_model(spark: SparkSession, path: str) -> Model:
     classes = {
         "GBTRegressionModel": "pyspark.ml.regression", "RandomForestRegressionModel": "pyspark.ml.regression",
         "LinearRegressionModel": "pyspark.ml.regression", "OneHotEncoderModel": "pyspark.ml.feature",
+        "PartedForest": "newsreach.operators.forest",
     }
     if name == "PipelineModel":
         return PipelineModel.load(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,14 +38,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept_path(spark: SparkSession, name: str) -> str:
+    """A fresh path that is deleted together with the stored tables."""
+    path = fresh_path(spark, name)
+    (_scopes.get() or (_stored,))[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back.
 
     Used where several branches of a plan need one expensive intermediate result. The written table
     outlives executors, so a lost executor costs a re-read and not a recomputation.
     """
-    path = fresh_path(df.sparkSession, name)
-    (_scopes.get() or (_stored,))[-1].append(path)
+    path = kept_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -55,6 +62,19 @@ def discard(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver give up what nothing refers to any more, and Spark the broadcasts and shuffles that hang on it."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def copy(spark: SparkSession, source: str, path: str) -> None:
+    """Copy a folder to a path where nothing is yet."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    old, new = hadoop.Path(source), hadoop.Path(path)
+    hadoop.FileUtil.copy(old.getFileSystem(conf), old, new.getFileSystem(conf), new, False, conf)
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside the ``with`` block are deleted at its end, and no others.

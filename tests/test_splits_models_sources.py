@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from newsreach.operators import evaluate as V
@@ -108,6 +109,42 @@ def test_models_beat_the_mean_and_survive_storage(spark, learning, tmp_path):
     assert error(again, "ridge") == pytest.approx(error(scored, "ridge"))
 
 
+def test_a_large_forest_is_grown_stored_and_used_in_parts(spark, learning, tmp_path, monkeypatch):
+    df, x, y = learning
+    rows = W.materialize(M.features(df.unionAll(df.limit(3))), "forest-input")
+    grown = []
+
+    def regressor(**given):
+        grown.append(given["numTrees"])
+        return RandomForestRegressor(**given)
+
+    monkeypatch.setattr(M, "FOREST_NODES", 50, raising=False)
+    monkeypatch.setattr(M, "RandomForestRegressor", regressor)
+    model = M.fit_forest(rows, trees=7, depth=6)
+    assert grown == [3, 2, 2]
+    forest = M.predict(model, rows, "forest").collect()
+    path = str(tmp_path / "run" / "forest")
+    M.save_run({"forest": model}, M.predict(model, rows, "forest"), str(tmp_path / "run"), {})
+    model.write().overwrite().save(path)
+    M.load_model(spark, path).write().overwrite().save(path)
+    again = M.predict(M.load_model(spark, path), rows, "forest").collect()
+    trees = [tree for path in model.paths for tree in RandomForestRegressionModel.load(path).trees]
+    assert len(trees) == 7 and len({tree.toDebugString for tree in trees}) == 7
+    assert len(forest) == len(again) == 243
+    for row in forest:
+        assert row.forest == pytest.approx(np.clip(np.mean([tree.predict(row.features) for tree in trees]), 0, 1))
+    assert sorted((r.k, r.forest) for r in forest) == sorted((r.k, r.forest) for r in again)
+    mean = np.mean((y[200:] - y[:160].mean()) ** 2)
+    assert np.mean([(r.forest - r.pv_score) ** 2 for r in forest if r.split == "test"]) < mean
+
+
+def test_parts_of_a_forest_bound_its_nodes():
+    assert M.forest_parts(1400, 200, 30) == [200] and M.forest_parts(0, 20, 6) == [20]
+    for size in (100_000, 420_000, 10_000_000):
+        parts = M.forest_parts(size, 200, 30)
+        assert sum(parts) == 200 and (max(parts) == 1 or max(parts) * 2 * (size // 20) <= M.FOREST_NODES)
+
+
 def test_ridge_is_the_closed_form(spark, learning):
     df, x, y = learning
     encoded = M.encode(df, M.fit_encoder(df.where("split = 'train'")))
